@@ -5,6 +5,7 @@ from __future__ import annotations
 import string
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,11 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, also where body uses it for each element of an array."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def text_of(name: str = "text") -> Column:
     """The text, null as the empty text."""
     return F.coalesce(F.col(name), F.lit(""))
