@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, url_filter
+from . import fingerprint, pii, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -71,3 +71,13 @@ SELECT page_id, host, path, rule, CASE
   WHEN list_has_any(string_split(host, '.'), [{_LABELS}]) THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled
 """
+
+
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    base = F.sha2(F.encode(pii.digest(pii.KINDS), "UTF-8"), 256)
+    return found.select("doc_id", *counts, base.alias("base_sha256"), pii.digest((*pii.KINDS, "term")).alias("spans"), F.size("term").cast("long").alias("n_term"))
+
+
+QUERIES["op6_personal_data"] = op6_personal_data
