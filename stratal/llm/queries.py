@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, pii, url_filter
+from . import decontaminate, fingerprint, pii, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -81,3 +81,25 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_personal_data"] = op6_personal_data
+
+
+def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES["op7_benchmark_leaks"] = op7_benchmark_leaks
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLES["op7_benchmark_leaks"] = f"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex({_LOWER.format("text")}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents
+), i AS (
+  SELECT item_id, list_filter(string_split_regex({_LOWER.format("text")}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM benchmark
+), ds AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) AS s FROM d WHERE len(w) >= 5
+), iset AS (
+  SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) AS s FROM i WHERE len(w) >= 5
+), n AS (SELECT item_id, COUNT(*) AS n_shingles FROM iset GROUP BY 1
+), hit AS (SELECT doc_id, item_id, COUNT(*) AS n_found FROM ds JOIN iset USING (s) GROUP BY 1, 2)
+SELECT doc_id, item_id, n_shingles, n_found, n_found / n_shingles AS containment
+FROM hit JOIN n USING (item_id) WHERE n_found >= 0.8 * n_shingles - 1e-9
+"""
