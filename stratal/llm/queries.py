@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, pii, url_filter
+from . import decontaminate, fingerprint, pii, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -103,3 +103,13 @@ WITH d AS (
 SELECT doc_id, item_id, n_shingles, n_found, n_found / n_shingles AS containment
 FROM hit JOIN n USING (item_id) WHERE n_found >= 0.8 * n_shingles - 1e-9
 """
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn_from(docs, _table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.in_fold(3, 1).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.7).cast("int").alias("predicted"))
+
+
+QUERIES["op5_toxicity"] = op5_toxicity
