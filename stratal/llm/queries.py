@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, pii, toxicity, url_filter
+from . import decontaminate, fingerprint, pieces, pii, token_counts, toxicity, url_filter
+from .common import text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -113,3 +114,34 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_toxicity"] = op5_toxicity
+
+
+#: Where the public vocabularies are.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str, model: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
+    vocabulary = pieces.load(model)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", text_of().alias("text"))
+    back = pieces.decode(pieces.encode(docs, vocabulary), vocabulary)
+    fallback = F.size(F.filter("ids", lambda i: i.between(3, 258))).cast("long")
+    return back.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.size("ids").cast("long").alias("n_tokens"), fallback.alias("n_byte_tokens"), F.xxhash64("ids").alias("ids_hash"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("round_trip"))
+
+
+QUERIES["op9_sentencepiece"] = op9_sentencepiece
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str, ranks: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
+    """Three edits of every text: a replaced stretch, an inserted and a deleted one."""
+    table = token_counts.read_ranks(ranks)
+    n = F.char_length("text")
+    place = lambda share, by=0: (F.floor(n * share).cast("int") + by)
+    change = lambda start, end, by: F.struct(start.alias("start"), end.alias("end"), by.alias("replacement"))
+    edits = F.array(change(place(0.25), place(0.25, 20), F.substring("text", 1, 30)), change(place(0.5), place(0.5), F.lit(" (revised 2024) ")), change(place(0.75), place(0.75, 40), F.lit("")))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", text_of().alias("text"))
+    before = token_counts.with_trees(docs, table).withColumns({"edits": edits, "n_chars": n.cast("long"), "n_tokens_before": F.col("n_tokens")})
+    after = token_counts.edited(before, table)
+    return after.select("doc_id", "n_chars", F.col("n_tokens_before").alias("n_tokens"), F.char_length("text").cast("long").alias("edited_chars"), F.col("n_tokens").alias("edited_tokens"), F.size("tree.chars").cast("long").alias("n_leaves"), F.col("recounted").alias("recounted_chars"), F.sha2(F.encode("text", "UTF-8"), 256).alias("edited_sha256"))
+
+
+QUERIES["op1_token_counts"] = op1_token_counts
