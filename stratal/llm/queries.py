@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, pieces, pii, token_counts, toxicity, url_filter
+from . import decontaminate, fingerprint, pieces, pii, repeats, token_counts, toxicity, url_filter
 from .common import text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,3 +145,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str, ranks: str = f"{TOKENIZER
 
 
 QUERIES["op1_token_counts"] = op1_token_counts
+
+
+def op10_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES["op10_repeated_strings"] = op10_repeated_strings
