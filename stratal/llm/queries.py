@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, pieces, pii, repeats, token_counts, toxicity, url_filter
+from . import decontaminate, fingerprint, jaccard_join, pieces, pii, repeats, token_counts, toxicity, url_filter
 from .common import text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -154,3 +154,10 @@ def op10_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_repeated_strings"] = op10_repeated_strings
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
+QUERIES["op8_jaccard_join"] = op8_jaccard_join
