@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, jaccard_join, pieces, pii, repeats, token_counts, toxicity, url_filter
+from . import decontaminate, fingerprint, jaccard_join, pieces, pii, pitman_yor, repeats, token_counts, toxicity, url_filter
 from .common import text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -161,3 +161,10 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_jaccard_join"] = op8_jaccard_join
+
+
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES["op3_language_model"] = op3_language_model
