@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import text_of
 from .shingles import Hashes, distinct, mix, pieces, shingled, words
@@ -93,14 +94,17 @@ class _Index:
         return found
 
 
-def _searcher(shared, threshold: float):
+def _searcher(shared, threshold: float, schema: T.StructType):
+    names = [f.name for f in schema.fields if f.name != "leaks"]
+    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("n_shingles", pa.int64()), ("n_found", pa.int64())]))
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, hashes = shared.value, Hashes()
-        for part in pieces(batches, "text"):
-            texts = [words(t) for t in part.column("text").to_pylist()]
+        for part in pieces(batches, "__text"):
+            texts = [words(t) for t in part.column("__text").to_pylist()]
             starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
             flat = hashes.of([w for t in texts for w in t])
-            out: list[tuple[int, int, int, int]] = []
+            leaks: list[list[dict]] = [[] for _ in texts]
             cand: dict[int, set[int]] = defaultdict(set)
             for size, mask in index.mask.items():
                 h, own = shingled(flat, starts, size, whole=False)
@@ -109,7 +113,6 @@ def _searcher(shared, threshold: float):
                 for d in np.unique(own[hits]):
                     near = hits[(hits >= begin[d]) & (hits < begin[d + 1])] - begin[d]
                     cand[d] |= index.candidates(h[begin[d] : begin[d + 1]], near, size)
-            ids = part.column("doc_id").to_pylist()
             for d, items in cand.items():
                 ws, sets = texts[d], {}
                 for i in sorted(items):
@@ -117,26 +120,39 @@ def _searcher(shared, threshold: float):
                     if size not in sets:
                         sets[size] = {tuple(ws[j : j + size]) for j in range(len(ws) - size + 1)}
                     n = len(shingles & sets[size])
-                    if n >= threshold * len(shingles) - 1e-9 and n:
-                        out.append((ids[d], item_id, len(shingles), n))
-            cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "n_shingles", "n_found"])
+                    if n and n >= threshold * len(shingles) - 1e-9:
+                        leaks[d].append({"item_id": item_id, "n_shingles": len(shingles), "n_found": n})
+            yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], pa.array(leaks, kind)], names=[*names, "leaks"])
 
     return search
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8, perms: int = 128, part_bytes: int = 1 << 24) -> DataFrame:
-    """doc_id, item_id, n_shingles (of the item), n_found, containment of all pairs that reach the threshold."""
+LEAKS = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("item_id", "n_shingles", "n_found")]))
+
+
+def with_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8, perms: int = 128, part_bytes: int = 1 << 24) -> DataFrame:
+    """docs with leaks, an array of item_id, n_shingles (of the item) and n_found for items that reach the threshold."""
     spark = docs.sparkSession
+    own = [f for f in docs.schema.fields if f.name not in ("leaks", "__text", "__leaks")]
     items = items.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text")).where(F.col("text") != "")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = math.ceil(total / part_bytes) or 1
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    found = None
+    found = docs.select(*[F.col(f"`{f.name}`") for f in own])
     for part in range(parts):
         mine = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
         index = _Index([(r[0], r[1]) for r in mine.collect()], perms)  # at most about part_bytes of text
         shared = spark.sparkContext.broadcast(index)
-        more = rows.mapInArrow(_searcher(shared, threshold), "doc_id long, item_id long, n_shingles long, n_found long")
-        found = more if found is None else found.unionAll(more)
+        before = [T.StructField("__leaks", LEAKS)] if part else []
+        rows = found.withColumnRenamed("leaks", "__leaks") if part else found
+        kind = T.StructType([*own, *before, T.StructField("leaks", LEAKS)])
+        found = rows.withColumn("__text", text_of()).mapInArrow(_searcher(shared, threshold, kind), kind)
+        if part:
+            found = found.withColumn("leaks", F.concat("__leaks", "leaks")).drop("__leaks")
+    return found
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8, perms: int = 128, part_bytes: int = 1 << 24) -> DataFrame:
+    """doc_id, item_id, n_shingles (of the item), n_found, containment of all pairs that reach the threshold."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = with_leaks(rows, items, threshold, perms, part_bytes).select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
     return found.withColumn("containment", F.col("n_found") / F.col("n_shingles"))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Answer, Block, answered, asked, by_bucket, in_blocks, pack, unpack, with_answers
-from .common import written
+from .common import text_of, words_of, written
 from .components import components
 from .shingles import Hashes, mix, shingled
 
@@ -135,8 +135,9 @@ def _marker(shared, threshold: int, buckets: int):
                         local = np.searchsorted(who, owner[some]).astype(np.uint16 if len(who) < 65536 else np.uint32)
                         rows.append((int(b), pack(keys[some], local, who.astype(np.int32), ids[who], np.array([len(sets.sets[d]) for d in who], dtype=np.int32), np.array([len(maps[int(d)]) for d in who], dtype=np.int32), np.frombuffer(b"".join(maps[int(d)] for d in who), dtype=np.uint8))))
                 k = len(rows)
-                docs = [block.ids] + [[]] * (k - 1), [[len(s) for s in sets.sets]] + [[]] * (k - 1), [ids.tolist()] + [[]] * (k - 1)
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([number] * k, pa.int64()), pa.array([p for _, p in rows], pa.binary()), *[pa.array(d, pa.list_(pa.int64())) for d in docs]], names=["bucket", "block", "payload", "doc_ids", "sizes", "sets"])
+                texts = [xxhash.xxh64_intdigest(block.bytes[a:b], seed=42) for a, b in zip(block.starts[:-1], block.starts[1:], strict=True)]
+                docs = [[x, *[[]] * (k - 1)] for x in (block.ids, [len(s) for s in sets.sets], ids.tolist(), np.array(texts, dtype=np.uint64).view(np.int64).tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([number] * k, pa.int64()), pa.array([p for _, p in rows], pa.binary()), *[pa.array(d, pa.list_(pa.int64())) for d in docs]], names=["bucket", "block", "payload", "doc_ids", "sizes", "sets", "hashes"])
 
     return run
 
@@ -297,7 +298,7 @@ def _verified(blocks: DataFrame, pairs: DataFrame, places: DataFrame, threshold:
 
 
 def linked(docs: DataFrame, threshold: int = 80, dense: float = 0.001, block_bytes: int = 4_000_000) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id that links reach) and set (the class of equal sets)."""
+    """doc_id, n_shingles, component_id (the least doc_id that links reach) and text_hash (xxhash64 of the text)."""
     spark = docs.sparkSession
     blocks = in_blocks(docs, block_bytes)
     counts = blocks.select("ids", "lengths", "data").mapInArrow(_counted(dense), "key long, times long, kind int").groupBy("kind", "key").agg(F.sum("times").alias("times"))
@@ -318,7 +319,7 @@ def linked(docs: DataFrame, threshold: int = 80, dense: float = 0.001, block_byt
         return [(int(b), pack(keys[order[cuts[b] : cuts[b + 1]]])) for b in np.flatnonzero(np.diff(cuts))]
 
     told = with_answers(blocks, answered(asked(blocks, ask), _met))
-    kind = "bucket int, block long, payload binary, doc_ids array<bigint>, sizes array<bigint>, sets array<bigint>"
+    kind = "bucket int, block long, payload binary, doc_ids array<bigint>, sizes array<bigint>, sets array<bigint>, hashes array<bigint>"
     marks = written(told.select("block", "ids", "lengths", "data", "answers").mapInArrow(_marker(shared, threshold, buckets), kind), "marks")
     clusters = marks.where("bucket >= 0").select("bucket", "block", "payload").groupBy("bucket").applyInArrow(_clustered(threshold), CLUSTERS)
     clusters = written(clusters.dropDuplicates(["cluster"]), "clusters")
@@ -335,10 +336,25 @@ def linked(docs: DataFrame, threshold: int = 80, dense: float = 0.001, block_byt
     if more.limit(1).count():
         links = links.unionAll(_verified(blocks, more, places, threshold))
         roots = components(links)
-    docs = marks.where("bucket = -1").select(F.explode(F.arrays_zip("doc_ids", "sizes", "sets")).alias("d")).select(F.col("d.doc_ids").alias("doc_id"), F.col("d.sizes").alias("n_shingles"), F.col("d.sets").alias("set"))
+    docs = marks.where("bucket = -1").select(F.explode(F.arrays_zip("doc_ids", "sizes", "sets", "hashes")).alias("d")).select(F.col("d.doc_ids").alias("doc_id"), F.col("d.sizes").alias("n_shingles"), F.col("d.sets").alias("set"), F.col("d.hashes").alias("text_hash"))
     full = docs.where("n_shingles > 0")
     classes = full.groupBy("set").agg(F.min("doc_id").alias("least")).join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     named = classes.join(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("set", "component_id")
-    found = full.join(named, "set").select("doc_id", "n_shingles", "component_id", "set")
-    empty = docs.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("set"))
+    found = full.join(named, "set").select("doc_id", "n_shingles", "component_id", "text_hash")
+    empty = docs.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_hash")
     return found.unionAll(empty)
+
+
+def one_of_each(docs: DataFrame, threshold: int = 80) -> DataFrame:
+    """docs without those that link, over however many steps, with a document of a smaller doc_id. Of rows that repeat
+    the same doc_id and text one stays, and of documents without words all."""
+    found = linked(docs, threshold)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "text_hash").agg(F.count("*").alias("copies"), F.max("n_shingles").alias("n"))
+    kept = written(kept, "kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "copies", "n")
+    same = docs["doc_id"].eqNullSafe(kept["__id"]) & (F.xxhash64(text_of()) == kept["__hash"])
+    if (kept.where("n > 0").agg(F.max("copies")).first()[0] or 0) > 1:
+        keyed = docs.withColumn("__text", F.xxhash64(text_of()))
+        empty = F.size(words_of(text_of())) == 0
+        docs = keyed.where(~empty).dropDuplicates(["doc_id", "__text"]).unionAll(keyed.where(empty)).drop("__text")
+        same = docs["doc_id"].eqNullSafe(kept["__id"]) & (F.xxhash64(text_of()) == kept["__hash"])
+    return docs.join(kept, same, "left_semi")
