@@ -1 +1 @@
-
+"""Column builders with the semantics of the dialect."""

@@ -1 +1 @@
-
+"""DataFrame forms of operators."""

@@ -1 +1 @@
-
+"""The dialect: syntax, compiler, engine, serving, and the query catalog."""

@@ -1 +1 @@
-
+"""Results in batches, as they come."""
