@@ -8,9 +8,10 @@ which subsets of two begin to cost more than lists of the length that is found i
 
 Sets that are equal are one class and take part once. Keys met by one set only end there. On the others' lists, pairs
 are told apart by size and by a bound that parity bitmaps give: the bits in which two bitmaps differ are at most the
-elements in which the sets differ. What is left falls into clusters; a spanning tree of each cluster is verified
-exactly, links are merged into components, and the pairs of a cluster that are not yet in one component are then
-verified too. So no link is lost, and no group is written out as pairs.
+elements in which the sets differ. Pairs that this leaves open hold groups of sets together. Within a group the links
+are found exactly, by counting common shingles on inverted lists: each set that is reached scans the lists of those not
+reached yet. Groups too large for one task are dealt into slices of which every two meet. So no link is lost, and no
+pairs of a group are ever written as rows.
 
 Dense shingles can number at most the mean set size over ``dense``, whatever the corpus: that bounds what is broadcast.
 
@@ -95,54 +96,48 @@ def _differ(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
-def _counted(dense: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
-        for batch in batches:
-            for i in range(batch.num_rows):
-                block = Block(*(batch.column(c)[i].as_py() for c in ("ids", "lengths", "data")))
-                sets = _Sets(block, hashes).sets
-                keys, times = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
-                often = times >= max(3, 0.5 * dense * len(sets))
-                n = np.array([times.sum(), len(keys), len(sets)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([keys[often].view(np.int64), [0, 0, 0]])), pa.array(np.concatenate([times[often], n])), pa.array(np.concatenate([np.zeros(often.sum(), np.int32), [1, 2, 3]]).astype(np.int32))], names=["key", "times", "kind"])
-
-    return run
-
-
-def _marker(shared, threshold: int, buckets: int):
-    """Second pass: a row for the block's documents and rows for buckets, of keys that others have too."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
-        dense, boundary = shared.value
-        for batch in batches:
-            for i, number in enumerate(batch.column("block").to_pylist()):
-                block = Block(*(batch.column(c)[i].as_py() for c in ("ids", "lengths", "data")))
-                answers = {a["round_bucket"]: a["payload"] for a in batch.column("answers")[i].as_py() or ()}
-                sets = _Sets(block, hashes)
-                ids, keys, owner, order, cuts = _asked_keys(sets, dense, threshold, boundary, buckets)
-                shared_key = np.zeros(len(keys), dtype=bool)
-                for b, payload in answers.items():
-                    shared_key[order[cuts[b] : cuts[b + 1]]] = np.unpackbits(np.frombuffer(payload, dtype=np.uint8), count=int(cuts[b + 1] - cuts[b])).astype(bool)
-                rows: list[tuple[int, bytes]] = [(-1, b"")]
-                maps = {int(d): _parity(sets.sets[d]) for d in np.unique(owner[shared_key])}
-                for b in np.flatnonzero(np.diff(cuts)):
-                    some = order[cuts[b] : cuts[b + 1]]
-                    some = some[shared_key[some]]
-                    if len(some):
-                        who = np.unique(owner[some])
-                        local = np.searchsorted(who, owner[some]).astype(np.uint16 if len(who) < 65536 else np.uint32)
-                        rows.append((int(b), pack(keys[some], local, who.astype(np.int32), ids[who], np.array([len(sets.sets[d]) for d in who], dtype=np.int32), np.array([len(maps[int(d)]) for d in who], dtype=np.int32), np.frombuffer(b"".join(maps[int(d)] for d in who), dtype=np.uint8))))
-                k = len(rows)
-                texts = [xxhash.xxh64_intdigest(block.bytes[a:b], seed=42) for a, b in zip(block.starts[:-1], block.starts[1:], strict=True)]
-                docs = [[x, *[[]] * (k - 1)] for x in (block.ids, [len(s) for s in sets.sets], ids.tolist(), np.array(texts, dtype=np.uint64).view(np.int64).tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([number] * k, pa.int64()), pa.array([p for _, p in rows], pa.binary()), *[pa.array(d, pa.list_(pa.int64())) for d in docs]], names=["bucket", "block", "payload", "doc_ids", "sizes", "sets", "hashes"])
-
-    return run
-
-
-def _asked_keys(sets: _Sets, dense: np.ndarray, threshold: int, boundary: int, buckets: int):
+def _first(batches: Iterator[pa.RecordBatch], dense: float) -> Iterator[pa.RecordBatch]:
+    """First pass: a block's documents with their sets, its totals, and the shingles that many of its texts have."""
+    hashes = Hashes()
+    for batch in batches:
+        for i, number in enumerate(batch.column("block").to_pylist()):
+            block = Block(*(batch.column(c)[i].as_py() for c in ("ids", "lengths", "data")))
+            sets = _Sets(block, hashes)
+            keys, times = np.unique(np.concatenate([*sets.sets, np.zeros(0, np.uint64)]), return_counts=True)
+            often = times >= max(3, 0.5 * dense * len(sets.sets))
+            texts = np.array([xxhash.xxh64_intdigest(block.bytes[a:b], seed=42) for a, b in zip(block.starts[:-1], block.starts[1:], strict=True)], dtype=np.uint64)
+            lists = (block.ids, [len(s) for s in sets.sets], sets.ids().tolist(), texts.view(np.int64).tolist(), keys[often].view(np.int64).tolist(), times[often].tolist(), [int(times.sum()), len(keys), len(sets.sets)])
+            names = ["doc_ids", "sizes", "sets", "hashes", "often", "times", "totals"]
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *[pa.array([x], pa.list_(pa.int64())) for x in lists]], names=["block", *names])
+
+
+FIRST = "block long, doc_ids array<bigint>, sizes array<bigint>, sets array<bigint>, hashes array<bigint>, often array<bigint>, times array<bigint>, totals array<bigint>"
+
+
+def _entries(shared, threshold: int, buckets: int):
+    """Third pass: for each bucket the sets with keys that others have too, with their bitmaps."""
+
+    def entries(block: Block, answers: Answer) -> list[tuple[int, bytes]]:
+        sets = _Sets(block, Hashes())
+        ids, keys, owner, order, cuts = _asked_keys(sets, *shared.value, threshold, buckets)
+        met = np.zeros(len(keys), dtype=bool)
+        for b, payload in answers.items():
+            met[order[cuts[b] : cuts[b + 1]]] = np.unpackbits(np.frombuffer(payload, dtype=np.uint8), count=int(cuts[b + 1] - cuts[b])).astype(bool)
+        maps, rows = {int(d): _parity(sets.sets[d]) for d in np.unique(owner[met])}, []
+        for b in np.flatnonzero(np.diff(cuts)):
+            some = order[cuts[b] : cuts[b + 1]]
+            some = some[met[some]]
+            if len(some):
+                who, local = np.unique(owner[some], return_inverse=True)
+                own = [maps[int(d)] for d in who]
+                local = local.astype(np.uint16 if len(who) < 65536 else np.uint32)
+                rows.append((int(b), pack(keys[some], local, ids[who], np.array([len(sets.sets[d]) for d in who], dtype=np.int32), np.array([len(m) for m in own], dtype=np.int32), np.frombuffer(b"".join(own), dtype=np.uint8))))
+        return rows
+
+    return entries
+
+
+def _asked_keys(sets: _Sets, dense: np.ndarray, boundary: int, threshold: int, buckets: int):
     """A block's keys, those of the first text with each set, and their order by bucket."""
     ids = sets.ids()
     _, first = np.unique(ids, return_index=True)
@@ -167,92 +162,71 @@ def _may_link(na: int, nb: int, a: np.ndarray, b: np.ndarray, threshold: int) ->
     return 100 * (na + nb - _differ(a, b)) >= threshold * (na + nb + _differ(a, b))
 
 
-def _grown(row: list[int], at: dict, threshold: int) -> list[tuple[list[int], list[tuple[int, int]]]]:
-    """Clusters of two or more sets of a list in order of size, each with the pairs that hold it together."""
-    clusters: list[tuple[list[int], list[tuple[int, int]]]] = []
-    for s in row:
-        n, own = at[s][2], at[s][3]
-        mine, tree, apart = [s], [], []
-        for group, pairs in clusters:
-            hit = None
-            for t in reversed(group):
-                if 100 * at[t][2] < threshold * n:
-                    break  # and so are all before it
-                if _may_link(at[t][2], n, at[t][3], own, threshold):
-                    hit = t
-                    break
-            if hit is None:
-                apart.append((group, pairs))
-            else:
-                mine = group + mine if len(mine) == 1 else sorted(group + mine, key=lambda x: (at[x][2], x))
-                tree += [*pairs, (min(s, hit), max(s, hit))]
-        clusters = [*apart, (mine, tree)]
-    return [c for c in clusters if len(c[0]) > 1]
+def _stars(parent: dict[int, int]) -> list[tuple[int, int]]:
+    """Each group of two or more as pairs of its least member and another."""
+    groups: dict[int, list[int]] = {}
+    for x in parent:
+        groups.setdefault(_root(parent, x), []).append(x)
+    return [(least, x) for g in groups.values() if len(g) > 1 for least in [min(g)] for x in g if x != least]
 
 
-def _clustered(threshold: int):
-    """Clusters of the sets on a bucket's lists, and for each a spanning tree of pairs that may link."""
+def _root(parent: dict[int, int], x: int) -> int:
+    while parent[x] != x:
+        parent[x] = parent[parent[x]]
+        x = parent[x]
+    return x
+
+
+def _grouped(threshold: int):
+    """Groups of a bucket's sets that pairs which may link hold together, as stars."""
 
     def run(table: pa.Table) -> pa.Table:
-        at: dict[int, tuple[int, int, int, np.ndarray]] = {}
+        at: dict[int, tuple[int, np.ndarray]] = {}
         keys, members = [], []
-        for number, payload in zip(table.column("block").to_pylist(), table.column("payload").to_pylist(), strict=True):
-            k, local, who, ids, sizes, lengths, maps = unpack(payload)
-            ends = np.cumsum(lengths)
-            for w, s, n, e, m in zip(who.tolist(), ids.tolist(), sizes.tolist(), ends.tolist(), lengths.tolist(), strict=True):
-                if s not in at or (number, w) < at[s][:2]:
-                    at[s] = (number, w, n, maps[e - m : e])
+        for payload in table.column("payload").to_pylist():
+            k, local, ids, sizes, lengths, maps = unpack(payload)
+            for s, n, e, m in zip(ids.tolist(), sizes.tolist(), np.cumsum(lengths).tolist(), lengths.tolist(), strict=True):
+                at.setdefault(s, (n, maps[e - m : e]))
             keys.append(k)
             members.append(ids[local])
         keys, members = np.concatenate(keys), np.concatenate(members)
         order = np.lexsort((members, keys))
         keys, members = keys[order], members[order]
-        new = np.ones(len(keys), dtype=bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (members[1:] != members[:-1])
-        keys, members = keys[new], members[new]
         cuts = np.append(np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])), len(keys))
-        seen: set[bytes] = set()
-        out: dict[bytes, tuple[list[int], list[tuple[int, int]]]] = {}
+        parent = {s: s for s in at}
+        tried: set[tuple[int, int]] = set()
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if b - a < 2 or (mark := members[a:b].tobytes()) in seen:
-                continue
-            seen.add(mark)
-            row = sorted(members[a:b].tolist(), key=lambda s: (at[s][2], s))
-            for group, tree in _grown(row, at, threshold):
-                out.setdefault(np.sort(np.array(group)).tobytes(), (group, tree))
-        rows = [(xxhash.xxh3_64_intdigest(m) - 2**63, g, t) for m, (g, t) in out.items()]
-        kind = pa.struct([("set", pa.int64()), ("block", pa.int64()), ("place", pa.int32()), ("n", pa.int32()), ("map", pa.binary())])
-        return pa.table({
-            "cluster": pa.array([r[0] for r in rows], pa.int64()),
-            "members": pa.array([[{"set": s, "block": at[s][0], "place": at[s][1], "n": at[s][2], "map": at[s][3].tobytes()} for s in r[1]] for r in rows], pa.list_(kind)),
-            "tree": pa.array([[{"a": a, "b": b} for a, b in r[2]] for r in rows], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))),
-        })
+            row = sorted(set(members[a:b].tolist()), key=lambda s: (at[s][0], s))
+            if len(row) > 1:
+                _joined(row, at, parent, tried, threshold)
+                if len(tried) > 2_000_000:
+                    tried.clear()
+        pairs = _stars(parent)
+        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
     return run
 
 
-CLUSTERS = "cluster long, members array<struct<set:bigint,block:bigint,place:int,n:int,map:binary>>, tree array<struct<a:bigint,b:bigint>>"
-
-
-def _across(threshold: int):
-    """Pairs of a cluster whose sets are in different components and may link."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for row in batch.column("members").to_pylist():
-                maps = [np.frombuffer(m["map"], dtype=np.uint8) for m in row]
-                order = sorted(range(len(row)), key=lambda i: row[i]["n"])
-                for x, i in enumerate(order):
-                    for j in order[x + 1 :]:
-                        if 100 * row[i]["n"] < threshold * row[j]["n"]:
-                            break
-                        if row[i]["root"] != row[j]["root"] and _may_link(row[i]["n"], row[j]["n"], maps[i], maps[j], threshold):
-                            out.append((min(row[i]["set"], row[j]["set"]), max(row[i]["set"], row[j]["set"])))
-            a, b = zip(*out, strict=True) if out else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return run
+def _joined(row: list[int], at: dict, parent: dict[int, int], tried: set, threshold: int) -> None:
+    """Joins the groups of a list's sets (in order of size) where a pair of them may link."""
+    groups: dict[int, list[int]] = {}
+    for s in row:
+        n, own = at[s]
+        mine = _root(parent, s)
+        for root in list(groups):
+            if root == mine or root not in groups:
+                continue
+            for t in reversed(groups[root]):
+                if 100 * at[t][0] < threshold * n:
+                    break  # and so are all before it
+                pair = (s, t) if s < t else (t, s)
+                if pair not in tried:
+                    if _may_link(at[t][0], n, at[t][1], own, threshold):
+                        parent[root] = mine
+                        groups[mine] = sorted(groups.pop(root) + groups.get(mine, []), key=lambda x: (at[x][0], x))
+                        break
+                    tried.add(pair)
+        groups.setdefault(mine, []).append(s)
 
 
 def _fetcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,76 +241,109 @@ def _fetcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 some = places[at : at + 256]
                 data = dict(zip(some, [s.tobytes() for s in _Sets(block, hashes, some).sets], strict=True))
                 mine = [w for w in wanted if w["place"] in data]
-                yield pa.RecordBatch.from_arrays([pa.array([w["part"] for w in mine], pa.int64()), pa.array([w["set"] for w in mine], pa.int64()), pa.array([data[w["place"]] for w in mine], pa.binary())], names=["part", "set", "data"])
+                yield pa.RecordBatch.from_arrays([*[pa.array([w[c] for w in mine], pa.int64()) for c in ("part", "root", "set")], pa.array([data[w["place"]] for w in mine], pa.binary())], names=["part", "root", "set", "data"])
+
 
+def _linker(threshold: int):
+    """Exact links among the sets of each group of a part, as stars."""
 
-def _verifier(threshold: int):
-    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        data = dict(zip(sets.column("set").to_pylist(), sets.column("data").to_pylist(), strict=True))
-        out = []
-        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
-            x, y = np.frombuffer(data[a], dtype=np.uint64), np.frombuffer(data[b], dtype=np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * both >= threshold * (len(x) + len(y) - both):
-                out.append((a, b))
-        a, b = zip(*out, strict=True) if out else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    def run(table: pa.Table) -> pa.Table:
+        groups: dict[int, list[int]] = {}
+        for i, root in enumerate(table.column("root").to_pylist()):
+            groups.setdefault(root, []).append(i)
+        ids, data, pairs = table.column("set").to_pylist(), table.column("data"), []
+        for rows in groups.values():
+            sets = [np.frombuffer(data[i].as_py(), dtype=np.uint64) for i in rows]
+            for one in _linked_sets(sets, threshold):
+                if len(one) > 1:
+                    members = sorted(ids[rows[x]] for x in one)
+                    pairs += [(members[0], m) for m in members[1:]]
+        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
     return run
 
 
-def _verified(blocks: DataFrame, pairs: DataFrame, places: DataFrame, threshold: int, part_sets: int = 1500) -> DataFrame:
-    """Those pairs (a, b) that link. Sets travel to parts: whole components of pairs, or slices of large ones."""
-    roots = components(pairs)
-    sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
-    part = F.xxhash64("root", F.pmod(F.xxhash64("a"), F.ceil(F.col("size") / part_sets).cast("long")))
-    pairs = written(pairs.join(roots.withColumnRenamed("node", "a"), "a").join(sizes, "root").select("a", "b", part.alias("part")), "pairs")
-    wanted = pairs.select("part", F.col("a").alias("set")).unionAll(pairs.select("part", F.col("b").alias("set"))).distinct()
-    wanted = wanted.join(places, "set").groupBy("block").agg(F.collect_list(F.struct("part", "set", "place")).alias("wanted"))
-    sets = blocks.join(wanted, "block").select("ids", "lengths", "data", "wanted").mapInArrow(_fetcher, "part long, set long, data binary")
-    return pairs.groupBy("part").cogroup(sets.groupBy("part")).applyInArrow(_verifier(threshold), "a long, b long")
+def _linked_sets(sets: list[np.ndarray], threshold: int) -> list[list[int]]:
+    """Components of the sets under links: each set met scans the inverted lists of those that are not met yet."""
+    sizes = np.array([len(s) for s in sets])
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    left, out = np.ones(len(sets), dtype=bool), []
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    n_keys = int(flat.max()) + 1
+
+    def lists(keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        f, o = flat[keep[owner]], owner[keep[owner]]
+        order = np.argsort(f, kind="stable")
+        return o[order], np.concatenate([[0], np.cumsum(np.bincount(f, minlength=n_keys))])
+
+    who, cuts = lists(left)
+    listed = len(sets)
+    while left.any():
+        first = int(np.flatnonzero(left)[0])
+        left[first] = False
+        todo, one = [first], [first]
+        while todo and left.any():
+            if left.sum() * 2 < listed:
+                who, cuts = lists(left)
+                listed = int(left.sum())
+            x = todo.pop()
+            keys = flat[starts[x] : starts[x + 1]]
+            lo, n = cuts[keys], cuts[keys + 1] - cuts[keys]
+            total = np.cumsum(n)
+            at = np.arange(total[-1]) - np.repeat(total - n - lo, n)
+            both = np.bincount(who[at], minlength=len(sets))
+            hit = np.flatnonzero(left & (100 * both >= threshold * (sizes + sizes[x] - both)))
+            left[hit] = False
+            todo += hit.tolist()
+            one += hit.tolist()
+        out.append(one)
+    return out
+
+
+def _verified(blocks: DataFrame, groups: DataFrame, places: DataFrame, threshold: int, most: int = 4000) -> DataFrame:
+    """Links (a, b) within the groups (node, root). Small groups share parts; those of more than ``most`` sets are dealt
+    into slices, and every two slices meet in a part of their own."""
+    sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
+    k = F.ceil(F.col("size") / (most / 2)).cast("int")
+    rows = groups.join(sizes, "root").withColumn("k", F.when(F.col("size") <= most, 1).otherwise(k))
+    parts = max(1, (groups.count() // 1000))
+    slice_of = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
+    met = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")
+    rows = rows.select("node", "root", "k", slice_of.alias("own"), met)
+    part = F.when(F.col("k") == 1, F.pmod(F.xxhash64("root"), F.lit(parts))).otherwise(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")))
+    rows = rows.select(part.alias("part"), "root", F.col("node").alias("set"))
+    wanted = rows.join(places, "set").groupBy("block").agg(F.collect_list(F.struct("part", "root", "set", "place")).alias("wanted"))
+    sets = blocks.join(wanted, "block").select("ids", "lengths", "data", "wanted").mapInArrow(_fetcher, "part long, root long, set long, data binary")
+    return sets.groupBy("part").applyInArrow(_linker(threshold), "a long, b long")
 
 
 def linked(docs: DataFrame, threshold: int = 80, dense: float = 0.001, block_bytes: int = 4_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links reach) and text_hash (xxhash64 of the text)."""
     spark = docs.sparkSession
     blocks = in_blocks(docs, block_bytes)
-    counts = blocks.select("ids", "lengths", "data").mapInArrow(_counted(dense), "key long, times long, kind int").groupBy("kind", "key").agg(F.sum("times").alias("times"))
-    counts = written(counts, "dense")
-    total = {r["kind"]: r["times"] for r in counts.where("kind > 0").collect()}  # three rows
-    n_docs = total.get(3) or 1
+    first = written(blocks.select("block", "ids", "lengths", "data").mapInArrow(lambda batches: _first(batches, dense), FIRST), "sets")
+    shingles, distinct_, n_docs = (x or 1 for x in first.select(*[F.sum(F.get("totals", i)) for i in range(3)]).first())
+    often = first.select(F.explode(F.arrays_zip("often", "times")).alias("o")).groupBy("o.often").agg(F.sum("o.times").alias("times"))
     # at most mean set size / dense rows
-    often = [r["key"] for r in counts.where((F.col("kind") == 0) & (F.col("times") >= max(8.0, dense * n_docs))).select("key").collect()]
-    dense_keys = np.sort(np.array(often, dtype=np.int64).view(np.uint64))
+    found = [r[0] for r in often.where(F.col("times") >= max(8.0, dense * n_docs)).select("often").collect()]
+    dense_keys = np.sort(np.array(found, dtype=np.int64).view(np.uint64))
     # a set of n has C(p, 2) subsets or p lists, p about 0.2 n + 2; lists cost their length on top
-    length = 4 * (total.get(1) or 1) / (total.get(2) or 1)
-    boundary = int((2 * (1 + length) - 1) * 100 / (100 - threshold))
+    boundary = int((2 * (1 + 4 * shingles / distinct_) - 1) * 100 / (100 - threshold))
     shared = spark.sparkContext.broadcast((dense_keys, boundary))
-    buckets = max(8, blocks.count() // 2)
+    buckets = max(8, blocks.count() // 6)
 
     def ask(block: Block, _: Answer) -> list[tuple[int, bytes]]:
-        _, keys, _, order, cuts = _asked_keys(_Sets(block, Hashes()), shared.value[0], threshold, shared.value[1], buckets)
+        _, keys, _, order, cuts = _asked_keys(_Sets(block, Hashes()), *shared.value, threshold, buckets)
         return [(int(b), pack(keys[order[cuts[b] : cuts[b + 1]]])) for b in np.flatnonzero(np.diff(cuts))]
 
     told = with_answers(blocks, answered(asked(blocks, ask), _met))
-    kind = "bucket int, block long, payload binary, doc_ids array<bigint>, sizes array<bigint>, sets array<bigint>, hashes array<bigint>"
-    marks = written(told.select("block", "ids", "lengths", "data", "answers").mapInArrow(_marker(shared, threshold, buckets), kind), "marks")
-    clusters = marks.where("bucket >= 0").select("bucket", "block", "payload").groupBy("bucket").applyInArrow(_clustered(threshold), CLUSTERS)
-    clusters = written(clusters.dropDuplicates(["cluster"]), "clusters")
-    member = clusters.select("cluster", F.explode("members").alias("m")).select("cluster", "m.*")
-    places = written(member.groupBy("set").agg(F.min(F.struct("block", "place")).alias("at")).select("set", "at.block", "at.place"), "places")
-    tree = written(clusters.select(F.explode("tree").alias("p")).select("p.a", "p.b").distinct(), "trees")
-    links = written(_verified(blocks, tree, places, threshold), "links")
+    entries = asked(told, _entries(shared, threshold, buckets))
+    stars = entries.groupBy("bucket").applyInArrow(_grouped(threshold), "a long, b long").distinct()
+    docs = first.select("block", F.posexplode(F.arrays_zip("doc_ids", "sizes", "sets", "hashes")).alias("place", "d")).select("block", "place", F.col("d.doc_ids").alias("doc_id"), F.col("d.sizes").alias("n_shingles"), F.col("d.sets").alias("set"), F.col("d.hashes").alias("text_hash"))
+    places = docs.where("n_shingles > 0").groupBy("set").agg(F.min(F.struct("block", "place")).alias("at")).select("set", "at.block", "at.place")
+    links = _verified(blocks, components(stars), places, threshold)
     roots = components(links)
-    held = member.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-    mixed = held.groupBy("cluster").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("cluster")
-    again = held.join(mixed, "cluster").groupBy("cluster").agg(F.collect_list(F.struct("set", "n", "map", "root")).alias("members"))
-    more = again.select("members").mapInArrow(_across(threshold), "a long, b long").distinct().join(tree, ["a", "b"], "left_anti")
-    more = written(more, "across")
-    if more.limit(1).count():
-        links = links.unionAll(_verified(blocks, more, places, threshold))
-        roots = components(links)
-    docs = marks.where("bucket = -1").select(F.explode(F.arrays_zip("doc_ids", "sizes", "sets", "hashes")).alias("d")).select(F.col("d.doc_ids").alias("doc_id"), F.col("d.sizes").alias("n_shingles"), F.col("d.sets").alias("set"), F.col("d.hashes").alias("text_hash"))
     full = docs.where("n_shingles > 0")
     classes = full.groupBy("set").agg(F.min("doc_id").alias("least")).join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     named = classes.join(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("set", "component_id")
