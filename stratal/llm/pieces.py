@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -164,37 +165,43 @@ class Codec:
 
     def _best(self, chunk: str) -> list[int]:
         """Viterbi over one chunk, whose spaces stand for markers."""
-        base, check, value, scores = self.trie.base, self.trie.check, self.trie.value, self.scores
-        own = [MARK.encode() if c == " " else b"" if c == MARK else c.encode("utf-8", "surrogatepass") for c in chunk]
-        n = len(chunk)
-        best, back = [0.0] + [-1e300] * n, [(0, -1)] * (n + 1)
+        base, check, value, scores, lost = self.trie.base, self.trie.check, self.trie.value, self.scores, self.lost
+        # a marker of the text itself becomes bytes that no piece has
+        raw = b"\xf5\x80\x80".join(x.replace(" ", MARK).encode("utf-8", "surrogatepass") for x in chunk.split(MARK))
+        n = len(raw)
+        best, start, piece = [0.0] + [-1e300] * n, [0] * (n + 1), [-1] * (n + 1)
         for i in range(n):
-            at, state, whole = best[i], 0, False
-            for j in range(i, n):
-                if not own[j]:
-                    break
-                for b in own[j]:
-                    to = base[state] + b + 1
-                    if check[to] != state or to == 0:
-                        state = -1
-                        break
-                    state = to
-                if state < 0:
+            lead = raw[i]
+            if 0x80 <= lead < 0xC0:
+                continue
+            at, state, j = best[i], 0, i
+            end = i + (1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 or lead == 0xF5 else 4)
+            single = False
+            while j < n:
+                to = base[state] + raw[j] + 1
+                if check[to] != state:
                     break
-                k = value[state]
+                state = to
+                j += 1
+                k = value[to]
                 if k >= 0:
-                    whole = whole or j == i
+                    if j == end:
+                        single = True
                     s = at + scores[k]
-                    if s > best[j + 1]:
-                        best[j + 1], back[j + 1] = s, (i, k)
-            if not whole and at + self.lost > best[i + 1]:
-                best[i + 1], back[i + 1] = at + self.lost, (i, -1)
+                    if s > best[j]:
+                        best[j], start[j], piece[j] = s, i, k
+            if not single and at + lost > best[end]:
+                best[end], start[end], piece[end] = at + lost, i, -1
         out: list[int] = []
         while n:
-            i, k = back[n]
-            out += [k] if k >= 0 else [self.bytes[b] for b in reversed((MARK if chunk[i] in (" ", MARK) else chunk[i]).encode("utf-8", "surrogatepass"))]
+            i, k = start[n], piece[n]
+            if k >= 0:
+                out.append(k)
+            else:
+                out += [self.bytes[b] for b in reversed(MARK.encode() if raw[i] == 0xF5 else raw[i:n])]
             n = i
-        return out[::-1]
+        out.reverse()
+        return out
 
     def encode(self, text: str | None) -> bytes:
         """The text's ids as 32-bit integers."""
@@ -216,7 +223,7 @@ class Codec:
             known.clear()
         new, long = set(chunks).difference(known), {}
         for c in new:
-            ids = np.array(self._best(c if c[:1] == " " else " " + c), dtype=np.int32).tobytes()
+            ids = array("i", self._best(c if c[:1] == " " else " " + c)).tobytes()
             (known if len(c) <= 64 else long)[c] = ids
         if long:
             return head + b"".join([long.get(c) or known[c] for c in chunks])
