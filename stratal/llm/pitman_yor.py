@@ -15,7 +15,7 @@ as well; which these are is read off a few blocks, and does not change what is c
 
 Nulls and odd rows: a null or empty text is the end token alone. Documents outside the training fold are scored
 only. Without any training document all probabilities are the base's. Rows that repeat are counted and scored each.
-Words are told apart by 64-bit hashes, a word within one context by 40 bits of it.
+Words are told apart by 64-bit hashes, contexts by 48 bits and a word within one context by 40 bits of them.
 """
 
 from __future__ import annotations
@@ -47,13 +47,26 @@ def _spread_out(data: bytes) -> list[np.ndarray]:
     return unpack(zstandard.ZstdDecompressor().decompress(data))
 
 
+#: Words that this worker has met, over all its blocks.
+_HASHES = Hashes()
+
+
+def _planes(x: np.ndarray) -> np.ndarray:
+    """32-bit whole numbers as their lowest bytes, then the next, and so on: what small numbers compress well in."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).ravel()
+
+
+def _whole(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x.reshape(4, -1).T).view("<u4").ravel()
+
+
 class _Pairs:
     """A block's distinct words and pairs of a context and a word, with the pair of each token."""
 
-    def __init__(self, block: Block, hot: np.ndarray, buckets: int, modulus: int, held_out: int) -> None:
-        hashes, parts, lengths = Hashes(), [], []
+    def __init__(self, block: Block, hot: np.ndarray, buckets: int, modulus: int, held_out: int, samples: int) -> None:
+        parts, lengths = [], []
         for a, b in zip(block.starts[:-1], block.starts[1:], strict=True):
-            h = hashes.of(block.bytes[a:b].lower().split())
+            h = _HASHES.of(block.bytes[a:b].lower().split())
             parts += [np.array([_START]), h, np.array([_END])]
             lengths.append(len(h) + 1)
         h = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
@@ -71,16 +84,19 @@ class _Pairs:
         self.count = np.bincount(self.pair, weights=train, minlength=len(pairs)).astype(np.int64)
         self.word_count = np.bincount(self.token, weights=train, minlength=len(self.words)).astype(np.int64)
         self.left, self.right = np.divmod(pairs, max(1, len(self.words)))
-        u, w = self.words[self.left], self.words[self.right]
-        spread = np.isin(u, hot)
-        key = np.where(spread, mix(u + mix(w % np.uint64(PARTS))), u)
-        self.bucket = ((key >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-        self.order = np.lexsort((w, u, self.bucket))
-        self.cuts = np.searchsorted(self.bucket[self.order], np.arange(buckets + 1))
+        dealt = ((self.words >> np.uint64(40)) % np.uint64(buckets)).astype(np.uint32)
+        bucket = dealt[self.left]
+        self.hot = np.isin(self.words, hot)
+        at_hot = np.flatnonzero(self.hot[self.left])
+        u, w = self.words[self.left[at_hot]], self.words[self.right[at_hot]]
+        bucket[at_hot] = (mix(u + mix(w % np.uint64(PARTS))) >> np.uint64(40)) % np.uint64(buckets)
+        # pairs are in order of context and word already
+        self.order = np.argsort(bucket.astype(np.uint16) if buckets < 65536 else bucket, kind="stable")
+        self.cuts = np.searchsorted(bucket[self.order], np.arange(buckets + 1))
         self.word_bucket = ((self.words >> np.uint64(36)) % np.uint64(buckets)).astype(np.int64)
         self.word_order = np.argsort(self.word_bucket, kind="stable")
         self.word_cuts = np.searchsorted(self.word_bucket[self.word_order], np.arange(buckets + 1))
-        self.train, self.buckets = train, buckets
+        self.train, self.buckets, self.samples = train, buckets, samples
 
     def questions(self) -> list[tuple[int, bytes]]:
         out = []
@@ -91,7 +107,8 @@ class _Pairs:
             w, c = self.words[self.right[some]], self.count[some]
             big = np.flatnonzero(c > 254)
             small = np.minimum(c, 255).astype(np.uint8)
-            out.append((int(b), pack(self.words[left[new]], np.diff(np.append(new, len(some))).astype(np.int32), (w >> np.uint64(32)).astype(np.uint32), (w >> np.uint64(24)).astype(np.uint8), small, big.astype(np.int32), c[big])))
+            u = self.words[left[new]]
+            out.append((int(b), pack((u >> np.uint64(32)).astype(np.uint32), (u >> np.uint64(16)).astype(np.uint16), np.diff(np.append(new, len(some))).astype(np.int32), (w >> np.uint64(32)).astype(np.uint32), (w >> np.uint64(24)).astype(np.uint8), small, big.astype(np.int32), c[big])))
         return out
 
     def told(self, answers: Answer, totals: dict[int, tuple[float, float]], strength: float, discount: float):
@@ -101,17 +118,18 @@ class _Pairs:
             if b < 0:
                 continue
             some = self.order[self.cuts[b] : self.cuts[b + 1]]
-            rest, per, guests, tables = _spread_out(payload)
+            codes, upper, count, tables, guests, held = _spread_out(payload)
+            code = codes.astype(np.int64) | (upper.astype(np.int64) << 8)
             left = self.left[some]
             new = np.flatnonzero(np.concatenate([[True], left[1:] != left[:-1]]))
             sizes = np.diff(np.append(new, len(some)))
-            guests, tables = guests.astype(float), tables.astype(float)
-            for n, u in enumerate(self.words[left[new]].tolist()):
-                if u in totals:
-                    guests[n], tables[n] = totals[u]
-            own[some] = rest / np.repeat(strength + guests, sizes)
-            weight[some] = np.repeat((strength + discount * tables) / (strength + guests), sizes)
-            share[some] = per
+            guests, held = _whole(guests).astype(float), _whole(held) / self.samples
+            for n in np.flatnonzero(self.hot[left[new]]):
+                guests[n], held[n] = totals.get(int(self.words[left[new[n]]] >> np.uint64(16)), (guests[n], held[n]))
+            tables = tables / self.samples
+            own[some] = (count - discount * tables)[code] / np.repeat(strength + guests, sizes)
+            weight[some] = np.repeat((strength + discount * held) / (strength + guests), sizes)
+            share[some] = (tables / np.maximum(count, 1))[code]
         return own, weight, share
 
     def word_questions(self, share: np.ndarray) -> list[tuple[int, bytes]]:
@@ -218,23 +236,21 @@ def _seated_anew(c: np.ndarray, weight: np.ndarray, discount: float, parent: np.
 def _seater(hot: np.ndarray, strength: float, discount: float, burn: int, samples: int):
     def answer(payloads: list[bytes]) -> list[bytes]:
         parts = [unpack(p) for p in payloads]
-        u = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
-        w = np.concatenate([(p[2].astype(np.uint64) << np.uint64(8)) | p[3] for p in parts])
+        u = np.concatenate([(p[0].astype(np.uint64) << np.uint64(16)) | p[1] for p in parts])
+        w = np.concatenate([(p[3].astype(np.uint64) << np.uint64(8)) | p[4] for p in parts])
         counts = []
         for p in parts:
-            c = p[4].astype(np.int64)
-            c[p[5]] = p[6]
+            c = p[5].astype(np.int64)
+            c[p[6]] = p[7]
             counts.append(c)
-        c = np.concatenate(counts)
-        contexts, ui = np.unique(u, return_inverse=True)
-        order = np.lexsort((w, ui))
-        uo, wo = ui[order], w[order]
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = (uo[1:] != uo[:-1]) | (wo[1:] != wo[:-1])
-        kind = np.empty(len(order), dtype=np.int64)
-        kind[order] = np.cumsum(new) - 1
-        total = np.bincount(kind, weights=c).astype(np.int64)
-        group, dish = uo[new], wo[new]
+        contexts, here = np.unique(u, return_inverse=True)
+        if len(contexts) >= 1 << 24:
+            raise ValueError("too many contexts in one bucket; take smaller blocks")
+        of = np.repeat(here, np.concatenate([p[2] for p in parts])).astype(np.uint64)
+        # 40 bits of the word below 24 of the context's rank
+        kinds, kind = np.unique((of << np.uint64(40)) | w, return_inverse=True)
+        total = np.bincount(kind, weights=np.concatenate(counts)).astype(np.int64)
+        group, dish = (kinds >> np.uint64(40)).astype(np.int64), kinds & np.uint64((1 << 40) - 1)
         have = np.flatnonzero(total > 0)
         words, wi = np.unique(dish[have], return_inverse=True)
         by_word = np.bincount(wi, weights=total[have]) if len(have) else np.zeros(0)
@@ -242,23 +258,30 @@ def _seater(hot: np.ndarray, strength: float, discount: float, burn: int, sample
         rng = np.random.default_rng(int(contexts[0]) % (1 << 32))
         # restaurants without customers here have no number in between
         used, gi = np.unique(group[have], return_inverse=True)
-        scale = np.where(np.isin(contexts[used], hot), float(PARTS), 1.0) if len(have) else 1.0
+        scale = np.where(np.isin(contexts[used], hot >> np.uint64(16)), float(PARTS), 1.0) if len(have) else 1.0
         tables = np.zeros(len(total))
         if len(have):
             tables[have] = seat(total[have], gi, parent, strength, discount, burn, samples, rng, scale)
-        rest = (total - discount * tables).astype(np.float32)
-        per = np.where(total > 0, tables / np.maximum(total, 1), 0).astype(np.float32)
-        guests = np.bincount(group, weights=total, minlength=len(contexts)).astype(np.float32)
-        held = np.bincount(group, weights=tables, minlength=len(contexts)).astype(np.float32)
-        out, at = [], 0
+        whole = np.rint(tables * samples).astype(np.int64)
+        guests = np.bincount(group, weights=total, minlength=len(contexts))
+        held = np.bincount(group, weights=whole, minlength=len(contexts))
+        # pairs of customers and tables by frequency: the usual ones have numbers of one byte
+        combos, code, times = np.unique((total << 32) | whole, return_inverse=True, return_counts=True)
+        rank = np.empty(len(combos), dtype=np.int64)
+        usual = np.argsort(-times, kind="stable")
+        rank[usual] = np.arange(len(combos))
+        combos, code = combos[usual], rank[code]
+        out, at, first = [], 0, 0
         for n, p in enumerate(parts):
-            mine = kind[at : at + len(counts[n])]
+            mine = code[kind[at : at + len(counts[n])]]
             at += len(counts[n])
-            here = np.searchsorted(contexts, p[0])
-            out.append(_squeezed(rest[mine], per[mine], guests[here], held[here]))
+            known, mine = np.unique(mine, return_inverse=True)
+            mine_contexts = here[first : first + len(p[0])]
+            first += len(p[0])
+            out.append(_squeezed(mine.astype(np.uint8), (mine >> 8).astype(np.uint16), (combos[known] >> 32).astype(np.float64), (combos[known] & (2**32 - 1)).astype(np.float64), _planes(guests[mine_contexts]), _planes(held[mine_contexts])))
         # the first answer also carries what this bucket has of common contexts
-        some = np.flatnonzero(np.isin(contexts, hot))
-        out[0] = pack(np.frombuffer(out[0], dtype=np.uint8), contexts[some], guests[some], held[some])
+        some = np.flatnonzero(np.isin(contexts, hot >> np.uint64(16)))
+        out[0] = pack(np.frombuffer(out[0], dtype=np.uint8), contexts[some], guests[some], held[some] / samples)
         return [out[0], *[pack(np.frombuffer(x, dtype=np.uint8), *[np.zeros(0)] * 3) for x in out[1:]]]
 
     return answer
@@ -296,7 +319,7 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             block = Block(*(batch.column(c)[i].as_py() for c in ("ids", "lengths", "data")))
-            words, times = np.unique(Hashes().of(block.bytes.lower().split()), return_counts=True)
+            words, times = np.unique(_HASHES.of(block.bytes.lower().split()), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(words[times * 1000 >= times.sum()].view(np.int64))], names=["word"])
 
 
@@ -324,11 +347,11 @@ def score(docs: DataFrame, modulus: int = 5, held_out: int = 1, strength: float
     buckets = max(8, blocks.count())
 
     def pairs(block: Block) -> _Pairs:
-        return _Pairs(block, np.append(hot, _START), buckets, modulus, held_out)
+        return _Pairs(block, np.append(hot, _START), buckets, modulus, held_out, samples)
 
     first = written(answered(asked(blocks, lambda block, _: pairs(block).questions()), _seater(np.append(hot, _START), strength, discount, burn, samples)), "seatings")
     summed = first.select("payload").mapInArrow(_totals_of_contexts, "u long, guests double, tables double").groupBy("u").agg(F.sum("guests"), F.sum("tables"))
-    totals = {r[0] & (2**64 - 1): (r[1], r[2]) for r in summed.collect()}  # a row for each common context
+    totals = {r[0]: (r[1], r[2]) for r in summed.collect()}  # a row for each common context
 
     def ask_words(block: Block, answers: Answer) -> list[tuple[int, bytes]]:
         p = pairs(block)
