@@ -200,7 +200,9 @@ class Compiler:
         if s.where is not None:
             if _has(s.where, (S.Call,), aggregates=True) or _has(s.where, (S.Window,)):
                 raise AnalysisError("WHERE takes no aggregates or windows")
-            text += f" WHERE {self.condition(s.where, scope, 'WHERE')}"
+            text += f" WHERE ({self.condition(s.where, scope, 'WHERE')})"
+            if self.contradicts(s.where, scope):
+                text += " AND FALSE"  # Catalyst then reads nothing at all
         group = [scope.resolve(g)[0] for g in s.group]
         if s.group or s.having is not None or any(_has(i.expr, (S.Call,), aggregates=True) for i in s.items):
             scope.grouped = set(group)
@@ -229,6 +231,29 @@ class Compiler:
         scope.grouped = None
         return out, cols, scope, spelled
 
+    def contradicts(self, where: object, scope: Scope) -> bool:
+        """Whether conjuncts leave no whole number for some BIGINT column."""
+        bounds: dict[str, tuple[int, int]] = {}
+        todo = [where]
+        flipped = {"<": ">", "<=": ">=", ">": "<", ">=": "<=", "=": "="}
+        while todo:
+            e = todo.pop()
+            if isinstance(e, S.Binary) and e.op == "and":
+                todo += [e.left, e.right]
+            elif isinstance(e, S.Between) and not e.negated:
+                todo += [S.Binary(">=", e.arg, e.low), S.Binary("<=", e.arg, e.high)]
+            elif isinstance(e, S.Binary) and e.op in flipped:
+                name, op, value = (e.left, e.op, e.right) if isinstance(e.left, S.Name) else (e.right, flipped[e.op], e.left)
+                if isinstance(name, S.Name) and isinstance(value, S.Literal) and value.kind == "int" and scope.resolve(name)[1] == "int":
+                    low, high = bounds.get(scope.resolve(name)[0], (-(2**63), 2**63 - 1))
+                    v = value.value
+                    if op in (">", ">=", "="):
+                        low = max(low, v + (op == ">"))
+                    if op in ("<", "<=", "="):
+                        high = min(high, v - (op == "<"))
+                    bounds[scope.resolve(name)[0]] = (low, high)
+        return any(low > high for low, high in bounds.values())
+
     def unnest(self, j: S.Join, scope: Scope) -> str:
         u = j.right
         sql, t = scope.resolve(u.path)

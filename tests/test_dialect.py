@@ -181,3 +181,10 @@ def test_plans(engine, spark, tmp_path):
     assert "PushedFilters: [IsNotNull(k), GreaterThan(k,3)]" in plan and "ReadSchema: struct<id:bigint,k:bigint>" in plan
     assert "TakeOrderedAndProject" in e.explain("SELECT id FROM t ORDER BY id DESC LIMIT 3 OFFSET 2")
     assert "BroadcastHashJoin" in e.explain("SELECT a.id FROM t a JOIN t b ON a.id = b.id")
+
+
+def test_contradictions_read_nothing(engine):
+    plan = engine.explain("SELECT event_id FROM events WHERE bytes > 10 AND bytes BETWEEN 2 AND 5 AND country = 'IN'")
+    assert "LocalTableScan" in plan and "<empty>" in plan
+    assert rows(engine, "SELECT COUNT(*) AS n FROM events WHERE bytes >= 10 AND 5 > bytes") == [(0,)]
+    assert len(rows(engine, "SELECT event_id FROM events WHERE bytes >= 100 AND 100 >= bytes")) == 1

@@ -161,3 +161,16 @@ def test_entry(spark, tiny):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from stratal.__main__ import main
+
+    spark.range(6).selectExpr("id", "struct(id AS a) AS s").coalesce(1).write.parquet(f"{tmp_path}/d")
+    (path,) = [str(p) for p in (tmp_path / "d").glob("*.parquet")]
+    assert main(["query", "--data", path, "--table", "t", "--sql", "SELECT s.a FROM t WHERE id > 3 ORDER BY a", "--stats"]) == 0
+    said = capsys.readouterr()
+    assert said.out == '[{"t":"i","v":4}]\n[{"t":"i","v":5}]\n' and json.loads(said.err.splitlines()[-1])["rows"] == 2
+    assert main(["scan", "--data", path, "--columns", "s.a", "--output", f"{tmp_path}/o.arrow"]) == 0
+    assert json.loads(capsys.readouterr().out)["rows"] == 6
+    assert main(["query", "--data", path, "--table", "t", "--sql", "SELECT z FROM t"]) == 1
