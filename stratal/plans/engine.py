@@ -26,8 +26,8 @@ def normalised(df: DataFrame, timestamps: str = "strict") -> DataFrame:
         t, c = of_spark(f.dataType), F.col(f"`{f.name}`")
         if supported(t):
             kind = to_spark(t)
-            if f.dataType.simpleString() != kind or "struct" in kind:
-                c = c.cast(kind)
+            if f.dataType.simpleString().lower() != kind.replace("`", "").replace(": ", ":").replace(", ", ","):
+                c = c.cast(kind)  # only where it must: under a cast Spark reads whole structs
             if t == "timestamp":
                 whole = F.date_trunc("second", c)
                 c = whole if timestamps == "cut" else F.when(c.isNull() | (whole == c), c).otherwise(F.raise_error(F.lit(f"{name}: a timestamp has a fraction of a second")).cast("timestamp"))

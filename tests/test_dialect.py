@@ -175,10 +175,11 @@ def test_prepared_and_limits(engine, spark):
 
 def test_plans(engine, spark, tmp_path):
     path = f"{tmp_path}/t.parquet"
-    spark.range(1000).selectExpr("id", "id % 7 AS k", "named_struct('a', id, 'b', 'x') AS s").write.parquet(path)
+    spark.range(1000).selectExpr("id", "id % 7 AS k", "named_struct('a', id, 'B', 'x') AS s").write.parquet(path)
     e = Engine(spark).register("t", spark.read.parquet(path))
     plan = e.explain("SELECT id FROM t WHERE k > 3")
     assert "PushedFilters: [IsNotNull(k), GreaterThan(k,3)]" in plan and "ReadSchema: struct<id:bigint,k:bigint>" in plan
+    assert "ReadSchema: struct<s:struct<B:string>>" in e.explain("SELECT s.b FROM t")
     assert "TakeOrderedAndProject" in e.explain("SELECT id FROM t ORDER BY id DESC LIMIT 3 OFFSET 2")
     assert "BroadcastHashJoin" in e.explain("SELECT a.id FROM t a JOIN t b ON a.id = b.id")
 
