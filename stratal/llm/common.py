@@ -33,6 +33,10 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(text), SPACE), lambda w: w != "")
 
 
+#: This process's own folder, in local mode without a shared one.
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share; a folder of this machine only in local mode without such a setting."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -42,8 +46,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='stratal-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _OWN.setdefault("folder", f"file://{tempfile.mkdtemp(prefix='stratal-')}")
     return base.rstrip("/")
 
 
