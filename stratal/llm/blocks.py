@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of, written
+from .lean import lean
 
 Answer = dict[int, bytes]
 
@@ -76,7 +77,7 @@ def _cutter(limit: int):
 def in_blocks(docs: DataFrame, limit: int) -> DataFrame:
     """docs (doc_id, text) as a written table of blocks of about ``limit`` bytes: block, ids, lengths, data."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    cut = rows.mapInArrow(_cutter(limit), "ids array<bigint>, lengths array<bigint>, data binary")
+    cut = rows.mapInArrow(lean(_cutter(limit)), "ids array<bigint>, lengths array<bigint>, data binary")
     return written(cut.withColumn("block", F.monotonically_increasing_id()), "blocks")
 
 
@@ -113,7 +114,7 @@ def _answerer(answer: Callable[[list[bytes]], list[bytes]]):
 
 def asked(blocks: DataFrame, ask: Callable[[Block, Answer], list[tuple[int, bytes]]]) -> DataFrame:
     """What blocks send to buckets: bucket, block, payload."""
-    return blocks.mapInArrow(_asker(ask), "bucket int, block long, payload binary")
+    return blocks.mapInArrow(lean(_asker(ask)), "bucket int, block long, payload binary")
 
 
 def answered(requests: DataFrame, answer: Callable[[list[bytes]], list[bytes]]) -> DataFrame:

@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import text_of
-from .shingles import Hashes, distinct, mix, pieces, shingled, words
+from .lean import lean
+from .shingles import hashed, joined, mix, pieces, shingled, words
 
 SIZE = 5
 
@@ -52,14 +53,14 @@ class _Index:
     def __init__(self, items: list[tuple[int, str]], perms: int) -> None:
         self.seeds = _seeds(perms)
         self.items: list[tuple[int, set[tuple[bytes, ...]], int]] = []
-        hashes = Hashes()
         by_class: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = defaultdict(list)
         for item_id, text in items:
             ws = words(text)
             if not ws:
                 continue
             size = min(SIZE, len(ws))
-            h, _ = shingled(hashes.of(ws), np.array([0, len(ws)]), size)
+            raw = text.encode("utf-8", "surrogatepass")
+            h, _ = shingled(*hashed(raw, np.array([0, len(raw)])), size)
             h = np.unique(h)
             by_class[size, int(math.log2(len(h)))].append((len(self.items), _least(h, self.seeds)))
             self.items.append((item_id, {tuple(ws[i : i + size]) for i in range(len(ws) - size + 1)}, size))
@@ -99,22 +100,20 @@ def _searcher(shared, threshold: float, schema: T.StructType):
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("n_shingles", pa.int64()), ("n_found", pa.int64())]))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, hashes = shared.value, Hashes()
+        index = shared.value
         for part in pieces(batches, "__text"):
-            texts = [words(t) for t in part.column("__text").to_pylist()]
-            starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-            flat = hashes.of([w for t in texts for w in t])
-            leaks: list[list[dict]] = [[] for _ in texts]
+            flat, starts = hashed(*joined(part.column("__text")))
+            leaks: list[list[dict]] = [[] for _ in range(part.num_rows)]
             cand: dict[int, set[int]] = defaultdict(set)
             for size, mask in index.mask.items():
                 h, own = shingled(flat, starts, size, whole=False)
                 hits = np.flatnonzero(mask[(h & np.uint64(len(mask) - 1)).astype(np.int64)])
-                begin = np.searchsorted(own, np.arange(len(texts) + 1))
+                begin = np.searchsorted(own, np.arange(part.num_rows + 1))
                 for d in np.unique(own[hits]):
                     near = hits[(hits >= begin[d]) & (hits < begin[d + 1])] - begin[d]
                     cand[d] |= index.candidates(h[begin[d] : begin[d + 1]], near, size)
             for d, items in cand.items():
-                ws, sets = texts[d], {}
+                ws, sets = words(part.column("__text")[int(d)].as_py()), {}
                 for i in sorted(items):
                     item_id, shingles, size = index.items[i]
                     if size not in sets:
@@ -145,7 +144,7 @@ def with_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8, perms:
         before = [T.StructField("__leaks", LEAKS)] if part else []
         rows = found.withColumnRenamed("leaks", "__leaks") if part else found
         kind = T.StructType([*own, *before, T.StructField("leaks", LEAKS)])
-        found = rows.withColumn("__text", text_of()).mapInArrow(_searcher(shared, threshold, kind), kind)
+        found = rows.withColumn("__text", text_of()).mapInArrow(lean(_searcher(shared, threshold, kind)), kind)
         if part:
             found = found.withColumn("leaks", F.concat("__leaks", "leaks")).drop("__leaks")
     return found

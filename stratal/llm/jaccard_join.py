@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 from .blocks import Answer, Block, answered, asked, by_bucket, in_blocks, pack, unpack, with_answers
 from .common import text_of, words_of, written
 from .components import components
-from .shingles import Hashes, mix, shingled
+from .lean import lean
+from .shingles import hashed, mix, shingled
 
 SIZE = 5
 
@@ -43,11 +44,13 @@ SIZE = 5
 class _Sets:
     """The distinct shingles of each text of a block, ascending; the first text with each set."""
 
-    def __init__(self, block: Block, hashes: Hashes, only: list[int] | None = None) -> None:
-        texts = [block.bytes[a:b].lower().split() for a, b in zip(block.starts[:-1], block.starts[1:], strict=True)] if only is None else [block.bytes[block.starts[i] : block.starts[i + 1]].lower().split() for i in only]
-        starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-        h, own = shingled(hashes.of([w for t in texts for w in t]), starts, SIZE)
-        cuts = np.searchsorted(own, np.arange(len(texts) + 1))
+    def __init__(self, block: Block, only: list[int] | None = None) -> None:
+        data, starts = block.bytes, block.starts
+        if only is not None:
+            texts = [data[starts[i] : starts[i + 1]] for i in only]
+            data, starts = b"".join(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        h, own = shingled(*hashed(data, starts), SIZE)
+        cuts = np.searchsorted(own, np.arange(len(starts)))
         self.sets = [np.unique(h[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def ids(self) -> np.ndarray:
@@ -98,11 +101,10 @@ def _differ(a: np.ndarray, b: np.ndarray) -> int:
 
 def _first(batches: Iterator[pa.RecordBatch], dense: float) -> Iterator[pa.RecordBatch]:
     """First pass: a block's documents with their sets, its totals, and the shingles that many of its texts have."""
-    hashes = Hashes()
     for batch in batches:
         for i, number in enumerate(batch.column("block").to_pylist()):
             block = Block(*(batch.column(c)[i].as_py() for c in ("ids", "lengths", "data")))
-            sets = _Sets(block, hashes)
+            sets = _Sets(block)
             keys, times = np.unique(np.concatenate([*sets.sets, np.zeros(0, np.uint64)]), return_counts=True)
             often = times >= max(3, 0.5 * dense * len(sets.sets))
             texts = np.array([xxhash.xxh64_intdigest(block.bytes[a:b], seed=42) for a, b in zip(block.starts[:-1], block.starts[1:], strict=True)], dtype=np.uint64)
@@ -118,7 +120,7 @@ def _entries(shared, threshold: int, buckets: int):
     """Third pass: for each bucket the sets with keys that others have too, with their bitmaps."""
 
     def entries(block: Block, answers: Answer) -> list[tuple[int, bytes]]:
-        sets = _Sets(block, Hashes())
+        sets = _Sets(block)
         ids, keys, owner, order, cuts = _asked_keys(sets, *shared.value, threshold, buckets)
         met = np.zeros(len(keys), dtype=bool)
         for b, payload in answers.items():
@@ -231,7 +233,6 @@ def _joined(row: list[int], at: dict, parent: dict[int, int], tried: set, thresh
 
 def _fetcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The shingles of the texts that are wanted of each block."""
-    hashes = Hashes()
     for batch in batches:
         for i in range(batch.num_rows):
             wanted = batch.column("wanted")[i].as_py()
@@ -239,7 +240,7 @@ def _fetcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             places = sorted({w["place"] for w in wanted})
             for at in range(0, len(places), 256):
                 some = places[at : at + 256]
-                data = dict(zip(some, [s.tobytes() for s in _Sets(block, hashes, some).sets], strict=True))
+                data = dict(zip(some, [s.tobytes() for s in _Sets(block, some).sets], strict=True))
                 mine = [w for w in wanted if w["place"] in data]
                 yield pa.RecordBatch.from_arrays([*[pa.array([w[c] for w in mine], pa.int64()) for c in ("part", "root", "set")], pa.array([data[w["place"]] for w in mine], pa.binary())], names=["part", "root", "set", "data"])
 
@@ -314,7 +315,7 @@ def _verified(blocks: DataFrame, groups: DataFrame, places: DataFrame, threshold
     part = F.when(F.col("k") == 1, F.pmod(F.xxhash64("root"), F.lit(parts))).otherwise(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")))
     rows = rows.select(part.alias("part"), "root", F.col("node").alias("set"))
     wanted = rows.join(places, "set").groupBy("block").agg(F.collect_list(F.struct("part", "root", "set", "place")).alias("wanted"))
-    sets = blocks.join(wanted, "block").select("ids", "lengths", "data", "wanted").mapInArrow(_fetcher, "part long, root long, set long, data binary")
+    sets = blocks.join(wanted, "block").select("ids", "lengths", "data", "wanted").mapInArrow(lean(_fetcher), "part long, root long, set long, data binary")
     return sets.groupBy("part").applyInArrow(_linker(threshold), "a long, b long")
 
 
@@ -322,7 +323,7 @@ def linked(docs: DataFrame, threshold: int = 80, dense: float = 0.001, block_byt
     """doc_id, n_shingles, component_id (the least doc_id that links reach) and text_hash (xxhash64 of the text)."""
     spark = docs.sparkSession
     blocks = in_blocks(docs, block_bytes)
-    first = written(blocks.select("block", "ids", "lengths", "data").mapInArrow(lambda batches: _first(batches, dense), FIRST), "sets")
+    first = written(blocks.select("block", "ids", "lengths", "data").mapInArrow(lean(lambda batches: _first(batches, dense)), FIRST), "sets")
     shingles, distinct_, n_docs = (x or 1 for x in first.select(*[F.sum(F.get("totals", i)) for i in range(3)]).first())
     often = first.select(F.explode(F.arrays_zip("often", "times")).alias("o")).groupBy("o.often").agg(F.sum("o.times").alias("times"))
     # at most mean set size / dense rows
@@ -334,7 +335,7 @@ def linked(docs: DataFrame, threshold: int = 80, dense: float = 0.001, block_byt
     buckets = max(8, blocks.count() // 6)
 
     def ask(block: Block, _: Answer) -> list[tuple[int, bytes]]:
-        _, keys, _, order, cuts = _asked_keys(_Sets(block, Hashes()), *shared.value, threshold, buckets)
+        _, keys, _, order, cuts = _asked_keys(_Sets(block), *shared.value, threshold, buckets)
         return [(int(b), pack(keys[order[cuts[b] : cuts[b + 1]]])) for b in np.flatnonzero(np.diff(cuts))]
 
     told = with_answers(blocks, answered(asked(blocks, ask), _met))

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import text_of
+from .lean import lean
 from .shingles import pieces as cut
 
 MARK = "▁"
@@ -148,7 +149,7 @@ class DoubleArray:
 class Codec:
     """Encodes and decodes single texts; remembers chunks up to ``bound`` of them."""
 
-    def __init__(self, vocabulary: Vocabulary, bound: int = 200_000) -> None:
+    def __init__(self, vocabulary: Vocabulary, bound: int = 120_000) -> None:
         v = self.vocabulary = vocabulary
         usable = {i: p for i, (p, k) in enumerate(zip(v.pieces, v.kinds, strict=True)) if k in (NORMAL, USER) and p}
         self.trie = DoubleArray({p.encode(): i for i, p in usable.items()})
@@ -271,7 +272,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     own = [f for f in docs.schema.fields if f.name not in ("ids", "__text")]
     rows = docs.select(*[F.col(f"`{f.name}`") for f in own], text_of().alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    return rows.mapInArrow(_encoder(shared), T.StructType([*own, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return rows.mapInArrow(lean(_encoder(shared)), T.StructType([*own, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def decode(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -279,4 +280,4 @@ def decode(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     own = [f for f in rows.schema.fields if f.name != "decoded"]
     shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
     rows = rows.select(*[F.coalesce("ids", F.array().cast("array<int>")).alias("ids") if f.name == "ids" else F.col(f"`{f.name}`") for f in own])
-    return rows.mapInArrow(_decoder(shared), T.StructType([*own, T.StructField("decoded", T.StringType())]))
+    return rows.mapInArrow(lean(_decoder(shared)), T.StructType([*own, T.StructField("decoded", T.StringType())]))

@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 from .blocks import Answer, Block, answered, asked, in_blocks, pack, unpack, with_answers
 from .common import written
-from .shingles import Hashes, mix
+from .lean import lean
+from .shingles import hashed, mix
 
 CAP = 50
 PARTS = 64
@@ -47,10 +48,6 @@ def _spread_out(data: bytes) -> list[np.ndarray]:
     return unpack(zstandard.ZstdDecompressor().decompress(data))
 
 
-#: Words that this worker has met, over all its blocks.
-_HASHES = Hashes()
-
-
 def _planes(x: np.ndarray) -> np.ndarray:
     """32-bit whole numbers as their lowest bytes, then the next, and so on: what small numbers compress well in."""
     return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).ravel()
@@ -64,16 +61,15 @@ class _Pairs:
     """A block's distinct words and pairs of a context and a word, with the pair of each token."""
 
     def __init__(self, block: Block, hot: np.ndarray, buckets: int, modulus: int, held_out: int, samples: int) -> None:
-        parts, lengths = [], []
-        for a, b in zip(block.starts[:-1], block.starts[1:], strict=True):
-            h = _HASHES.of(block.bytes[a:b].lower().split())
-            parts += [np.array([_START]), h, np.array([_END])]
-            lengths.append(len(h) + 1)
-        h = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        self.lengths = np.array(lengths, dtype=np.int64)
+        of_words, begin = hashed(block.bytes, block.starts)
+        self.lengths = np.diff(begin) + 1
+        # each text as a start, its words and an end
+        starts = np.concatenate([[0], np.cumsum(self.lengths + 1)]).astype(np.int64)
+        h = np.full(starts[-1], _END, dtype=np.uint64)
+        h[starts[:-1]] = _START
+        h[np.arange(len(of_words)) + 2 * np.repeat(np.arange(len(self.lengths)), np.diff(begin)) + 1] = of_words
         self.held_out = np.array([zlib.crc32(b"" if i is None else str(i).encode()) % modulus == held_out for i in block.ids], dtype=bool)
         self.words, inv = np.unique(h, return_inverse=True)
-        starts = np.concatenate([[0], np.cumsum(self.lengths + 1)]).astype(np.int64)
         cur = np.ones(len(h), dtype=bool)
         cur[starts[:-1]] = False
         at = np.flatnonzero(cur)
@@ -319,7 +315,7 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             block = Block(*(batch.column(c)[i].as_py() for c in ("ids", "lengths", "data")))
-            words, times = np.unique(_HASHES.of(block.bytes.lower().split()), return_counts=True)
+            words, times = np.unique(hashed(block.bytes, block.starts)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(words[times * 1000 >= times.sum()].view(np.int64))], names=["word"])
 
 
@@ -343,14 +339,14 @@ def score(docs: DataFrame, modulus: int = 5, held_out: int = 1, strength: float
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: log10 probabilities of whole texts."""
     spark = docs.sparkSession
     blocks = in_blocks(docs, block_bytes)
-    hot = np.unique(np.array([r[0] for r in blocks.limit(8).select("ids", "lengths", "data").mapInArrow(_common, "word long").collect()], dtype=np.int64).view(np.uint64))
+    hot = np.unique(np.array([r[0] for r in blocks.limit(8).select("ids", "lengths", "data").mapInArrow(lean(_common), "word long").collect()], dtype=np.int64).view(np.uint64))
     buckets = max(8, blocks.count())
 
     def pairs(block: Block) -> _Pairs:
         return _Pairs(block, np.append(hot, _START), buckets, modulus, held_out, samples)
 
     first = written(answered(asked(blocks, lambda block, _: pairs(block).questions()), _seater(np.append(hot, _START), strength, discount, burn, samples)), "seatings")
-    summed = first.select("payload").mapInArrow(_totals_of_contexts, "u long, guests double, tables double").groupBy("u").agg(F.sum("guests"), F.sum("tables"))
+    summed = first.select("payload").mapInArrow(lean(_totals_of_contexts), "u long, guests double, tables double").groupBy("u").agg(F.sum("guests"), F.sum("tables"))
     totals = {r[0]: (r[1], r[2]) for r in summed.collect()}  # a row for each common context
 
     def ask_words(block: Block, answers: Answer) -> list[tuple[int, bytes]]:
@@ -358,7 +354,7 @@ def score(docs: DataFrame, modulus: int = 5, held_out: int = 1, strength: float
         return p.word_questions(p.told({b: unpack(x)[0].tobytes() for b, x in answers.items()}, totals, strength, discount)[2])
 
     second = written(answered(asked(with_answers(blocks, first), ask_words), _word_seater(1e6, strength, discount, burn, samples)), "words")
-    n, v, guests, tables = (x or 0.0 for x in second.select("payload").mapInArrow(_totals_of_words, "n double, v double, guests double, tables double").agg(*[F.sum(c) for c in ("n", "v", "guests", "tables")]).first())
+    n, v, guests, tables = (x or 0.0 for x in second.select("payload").mapInArrow(lean(_totals_of_words), "n double, v double, guests double, tables double").agg(*[F.sum(c) for c in ("n", "v", "guests", "tables")]).first())
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -378,4 +374,4 @@ def score(docs: DataFrame, modulus: int = 5, held_out: int = 1, strength: float
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     kind = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return with_answers(blocks, first.unionAll(second)).select("ids", "lengths", "data", "answers").mapInArrow(finish, kind)
+    return with_answers(blocks, first.unionAll(second)).select("ids", "lengths", "data", "answers").mapInArrow(lean(finish), kind)

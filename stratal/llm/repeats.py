@@ -28,35 +28,21 @@ from pyspark.sql import DataFrame
 
 from .blocks import Answer, Block, answered, asked, by_bucket, in_blocks, pack, unpack, with_answers
 from .common import written
-from .shingles import mix
+from .lean import lean
+from .shingles import BASE, INVERSE, VALUES, mix, powers
 
 LENGTH, GRAM = 200, 48
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """base**0 to base**(n - 1) modulo 2**64, by doubling."""
-    out = np.ones(max(1, n), dtype=np.uint64)
-    done, step = 1, base
-    while done < n:
-        more = min(done, n - done)
-        out[done : done + more] = out[:more] * np.uint64(step)
-        done += more
-        step = step * step % (1 << 64)
-    return out[:n]
 
 
 class Prints:
     """64-bit fingerprints of any substrings of one byte string, from sums of its prefixes."""
 
     def __init__(self, data: bytes) -> None:
-        x = _TABLE[np.frombuffer(data, dtype=np.uint8)]
+        x = VALUES[np.frombuffer(data, dtype=np.uint8)]
         self.sums = np.zeros(len(x) + 1, dtype=np.uint64)
-        x *= _powers(_BASE, len(x))
+        x *= powers(BASE, len(x))
         np.cumsum(x, out=self.sums[1:])
-        self.down = _powers(_INVERSE, len(x) + 1)
+        self.down = powers(INVERSE, len(x) + 1)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.down[start])
@@ -268,4 +254,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
 
     one = written(answered(asked(blocks, first), _first_answers), "runs")
     two = answered(asked(with_answers(blocks, one), second), _second_answers)
-    return with_answers(blocks, one.unionAll(two)).select("ids", "lengths", "data", "answers").mapInArrow(_finisher(length, gram, buckets), RESULT)
+    return with_answers(blocks, one.unionAll(two)).select("ids", "lengths", "data", "answers").mapInArrow(lean(_finisher(length, gram, buckets)), RESULT)

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import text_of
+from .lean import lean
 from .shingles import pieces
 
 # Fixed value: the pattern of the public byte-level vocabularies.
@@ -43,7 +44,7 @@ EDITS = "array<struct<start:int,end:int,replacement:string>>"
 class Counter:
     """Tokens of single pre-tokens, the common ones remembered."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN, bound: int = 300_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN, bound: int = 200_000) -> None:
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.pattern, self.bound, self.known = regex.compile(pattern), bound, {}
 
@@ -192,7 +193,7 @@ def with_trees(docs: DataFrame, ranks: dict[bytes, int], pattern: str = PATTERN)
     own = [f for f in docs.schema.fields if f.name not in ("tree", "n_tokens")]
     shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
     rows = docs.select(*[text_of().alias("text") if f.name == "text" else F.col(f"`{f.name}`") for f in own])
-    return rows.mapInArrow(_builder(shared, "text"), T.StructType([*own, T.StructField("tree", TREE), T.StructField("n_tokens", T.LongType())]))
+    return rows.mapInArrow(lean(_builder(shared, "text")), T.StructType([*own, T.StructField("tree", TREE), T.StructField("n_tokens", T.LongType())]))
 
 
 def edited(rows: DataFrame, ranks: dict[bytes, int], pattern: str = PATTERN) -> DataFrame:
@@ -202,4 +203,4 @@ def edited(rows: DataFrame, ranks: dict[bytes, int], pattern: str = PATTERN) ->
     shared = rows.sparkSession.sparkContext.broadcast((ranks, pattern))
     out = [*own, T.StructField("text", T.StringType()), T.StructField("tree", TREE), T.StructField("n_tokens", T.LongType()), T.StructField("recounted", T.LongType())]
     cols = [text_of().alias("text") if f.name == "text" else F.col(f"`{f.name}`") for f in rows.schema.fields if f.name not in ("n_tokens", "recounted")]
-    return rows.select(*cols).mapInArrow(_editor(shared), T.StructType(out))
+    return rows.select(*cols).mapInArrow(lean(_editor(shared)), T.StructType(out))

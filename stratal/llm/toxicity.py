@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import text_of
+from .lean import lean
 from .shingles import CACHE, pieces, words
 
 # Words of the grammar's classes, in the languages of the corpus.
@@ -188,7 +189,7 @@ def learn(labelled: DataFrame, sample_rows: int = 6000, most_stems: int = 2000)
     if not (n0 and n1):
         return Model(Grammar(stems), np.array([0.5, 0.2, 1, 0.3, -0.3, -0.3, 0.3, 0.3, 0.3, 0.3, -3]))
     plain = rows.select("text", "label")
-    counts = plain.mapInArrow(_starts, "stem string, d1 long, d0 long").groupBy("stem").agg(F.sum("d1").alias("d1"), F.sum("d0").alias("d0"))
+    counts = plain.mapInArrow(lean(_starts), "stem string, d1 long, d0 long").groupBy("stem").agg(F.sum("d1").alias("d1"), F.sum("d0").alias("d0"))
     weight = F.log((F.col("d1") + 0.5) / (n1 + 1)) - F.log((F.col("d0") + 0.5) / (n0 + 1))
     least = max(3.0, 0.008 * n1)
     counts = counts.where(F.col("d1") >= least).withColumn("weight", weight).where(F.col("weight") >= 2.0)
@@ -196,7 +197,7 @@ def learn(labelled: DataFrame, sample_rows: int = 6000, most_stems: int = 2000)
     grammar = Grammar(stems)
     shared = spark.sparkContext.broadcast(grammar)
     kind = T.StructType([T.StructField("x", T.ArrayType(T.DoubleType())), T.StructField("label", T.IntegerType())])
-    found = plain.mapInArrow(_measure(shared), kind).collect()  # ten numbers for each of the sample's rows
+    found = plain.mapInArrow(lean(_measure(shared)), kind).collect()  # ten numbers for each of the sample's rows
     return Model(grammar, _fit(np.array([r["x"] for r in found]), np.array([r["label"] for r in found], dtype=float)))
 
 
@@ -216,7 +217,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     own = [f for f in docs.schema.fields if f.name not in ("toxicity", "__text")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*[F.col(f"`{f.name}`") for f in own], text_of().alias("__text"))
-    return rows.mapInArrow(_scorer(shared), T.StructType([*own, T.StructField("toxicity", T.DoubleType())]))
+    return rows.mapInArrow(lean(_scorer(shared)), T.StructType([*own, T.StructField("toxicity", T.DoubleType())]))
 
 
 def learn_from(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1) -> Model:
