@@ -201,7 +201,7 @@ def _grouped(threshold: int):
             row = sorted(set(members[a:b].tolist()), key=lambda s: (at[s][0], s))
             if len(row) > 1:
                 _joined(row, at, parent, tried, threshold)
-                if len(tried) > 2_000_000:
+                if len(tried) > 300_000:
                     tried.clear()
         pairs = _stars(parent)
         return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
@@ -291,9 +291,16 @@ def _linked_sets(sets: list[np.ndarray], threshold: int) -> list[list[int]]:
             x = todo.pop()
             keys = flat[starts[x] : starts[x + 1]]
             lo, n = cuts[keys], cuts[keys + 1] - cuts[keys]
-            total = np.cumsum(n)
-            at = np.arange(total[-1]) - np.repeat(total - n - lo, n)
-            both = np.bincount(who[at], minlength=len(sets))
+            both = np.zeros(len(sets), dtype=np.int64)
+            ends = np.cumsum(n)
+            first_key = 0
+            while first_key < len(keys):  # at most about two million entries at a time
+                last_key = max(first_key + 1, int(np.searchsorted(ends, (ends[first_key - 1] if first_key else 0) + 2_000_000, side="right")))
+                lo_some, n_some = lo[first_key:last_key], n[first_key:last_key]
+                total = np.cumsum(n_some)
+                at = np.arange(total[-1]) - np.repeat(total - n_some - lo_some, n_some)
+                both += np.bincount(who[at], minlength=len(sets))
+                first_key = last_key
             hit = np.flatnonzero(left & (100 * both >= threshold * (sizes + sizes[x] - both)))
             left[hit] = False
             todo += hit.tolist()
