@@ -161,6 +161,22 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_jaccard_join"] = op8_jaccard_join
+ORACLES["op8_jaccard_join"] = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex({_LOWER.format("text")}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) ELSE [array_to_string(w, ' ')] END) AS s FROM d WHERE len(w) > 0
+), n AS (SELECT doc_id, COUNT(*) AS n FROM s GROUP BY 1
+), common AS (SELECT s FROM s GROUP BY 1 HAVING COUNT(*) > 1
+), c AS (SELECT * FROM s SEMI JOIN common USING (s)
+), pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, COUNT(*) AS k FROM c a JOIN c b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)
+), either_way AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (SELECT a AS x, b AS y FROM either_way UNION SELECT x, b FROM reach JOIN either_way ON y = a
+), least AS (SELECT x, MIN(y) AS m FROM reach GROUP BY 1)
+SELECT d.doc_id, COALESCE(n.n, 0) AS n_shingles, LEAST(d.doc_id, COALESCE(m, d.doc_id)) AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least ON x = d.doc_id
+"""
 
 
 def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
