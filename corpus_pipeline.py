@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from stratal.llm import decontaminate, jaccard_join, pieces, pii, toxicity
 from stratal.llm.common import text_of, written
+from stratal.llm.ship import ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -48,7 +49,7 @@ def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, text as decoded from its ids, ids and n_tokens."""
     vocabulary = pieces.load(MODEL)
-    rows = pieces.decode(pieces.encode(docs.select(*COLUMNS), vocabulary), vocabulary)
+    rows = pieces.decode(pieces.encode(docs.select(*COLUMNS), vocabulary).drop("text", "n_chars"), vocabulary)
     return rows.select("doc_id", "lang", "source", F.col("decoded").alias("text"), "ids", F.size("ids").cast("long").alias("n_tokens"))
 
 
@@ -57,6 +58,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)

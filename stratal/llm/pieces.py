@@ -23,6 +23,7 @@ import struct
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -152,7 +153,7 @@ class Codec:
     def __init__(self, vocabulary: Vocabulary, bound: int = 120_000) -> None:
         v = self.vocabulary = vocabulary
         usable = {i: p for i, (p, k) in enumerate(zip(v.pieces, v.kinds, strict=True)) if k in (NORMAL, USER) and p}
-        self.trie = DoubleArray({p.encode(): i for i, p in usable.items()})
+        self.usable = usable
         self.scores = v.scores
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(v.pieces, v.kinds, strict=True)) if k == BYTE}
         if len(self.bytes) != 256:
@@ -164,6 +165,10 @@ class Codec:
         self.spelt = [spelt.get(k, lambda p: b"")(p) for p, k in zip(v.pieces, v.kinds, strict=True)]
         self.bound, self.known = bound, {}
 
+    @cached_property
+    def trie(self) -> DoubleArray:
+        return DoubleArray({p.encode(): i for i, p in self.usable.items()})
+
     def _best(self, chunk: str) -> list[int]:
         """Viterbi over one chunk, whose spaces stand for markers."""
         base, check, value, scores, lost = self.trie.base, self.trie.check, self.trie.value, self.scores, self.lost
@@ -259,10 +264,12 @@ def _decoder(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(shared.value)
         for batch in batches:
-            lists = batch.column("ids")
-            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-            texts = pa.array([codec.decode(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, "decoded"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                lists = part.column("ids")
+                ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+                texts = pa.array([codec.decode(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*part.schema.names, "decoded"])
 
     return run
 
