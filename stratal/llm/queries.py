@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, fingerprint, jaccard_join, pieces, pii, pitman_yor, repeats, token_counts, toxicity, url_filter
 from .common import text_of
+from .ship import shipped
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -16,7 +17,7 @@ ORACLES: dict[str, str] = {}
 
 
 def queries() -> dict[str, Query]:
-    return QUERIES
+    return {name: shipped(query) for name, query in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
