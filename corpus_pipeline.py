@@ -49,7 +49,7 @@ def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, text as decoded from its ids, ids and n_tokens."""
     vocabulary = pieces.load(MODEL)
-    rows = pieces.decode(pieces.encode(docs.select(*COLUMNS), vocabulary).drop("text", "n_chars"), vocabulary)
+    rows = pieces.encode_and_decode(docs.select(*COLUMNS), vocabulary)
     return rows.select("doc_id", "lang", "source", F.col("decoded").alias("text"), "ids", F.size("ids").cast("long").alias("n_tokens"))
 
 

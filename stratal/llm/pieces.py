@@ -18,6 +18,7 @@ character. Repeated rows are each encoded; empty tables give empty results; furt
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
 from array import array
@@ -78,10 +79,12 @@ class Vocabulary:
     scores: list[float]
     kinds: list[int]
     dummy_prefix: bool = True
+    #: Tells models apart; without one a codec is not kept.
+    key: str = ""
 
     @classmethod
     def read(cls, model: bytes) -> Vocabulary:
-        out, unigram = cls([], [], []), False
+        out, unigram = cls([], [], [], key=hashlib.sha256(model).hexdigest()), False
         for number, value in _fields(model):
             if number == 1:
                 f = dict(_fields(value))
@@ -150,7 +153,7 @@ class DoubleArray:
 class Codec:
     """Encodes and decodes single texts; remembers chunks up to ``bound`` of them."""
 
-    def __init__(self, vocabulary: Vocabulary, bound: int = 120_000) -> None:
+    def __init__(self, vocabulary: Vocabulary, bound: int = 200_000) -> None:
         v = self.vocabulary = vocabulary
         usable = {i: p for i, (p, k) in enumerate(zip(v.pieces, v.kinds, strict=True)) if k in (NORMAL, USER) and p}
         self.usable = usable
@@ -247,9 +250,23 @@ def load(path: str) -> Vocabulary:
         return Vocabulary.read(f.read())
 
 
+#: The codec of the model that this worker used last, with the chunks that it remembers.
+_KEPT: dict[str, Codec] = {}
+
+
+def codec_of(vocabulary: Vocabulary) -> Codec:
+    if vocabulary.key not in _KEPT:
+        _KEPT.clear()
+        codec = Codec(vocabulary)
+        if not vocabulary.key:
+            return codec
+        _KEPT[vocabulary.key] = codec
+    return _KEPT[vocabulary.key]
+
+
 def _encoder(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value)
+        codec = codec_of(shared.value)
         for part in cut(batches, "__text"):
             ids = [codec.encode(t) for t in part.column("__text").to_pylist()]
             ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
@@ -262,7 +279,7 @@ def _encoder(shared):
 
 def _decoder(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value)
+        codec = codec_of(shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -288,3 +305,15 @@ def decode(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
     rows = rows.select(*[F.coalesce("ids", F.array().cast("array<int>")).alias("ids") if f.name == "ids" else F.col(f"`{f.name}`") for f in own])
     return rows.mapInArrow(lean(_decoder(shared)), T.StructType([*own, T.StructField("decoded", T.StringType())]))
+
+
+def encode_and_decode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """docs with ids and decoded, both made in one pass of one worker."""
+    own = [f for f in docs.schema.fields if f.name not in ("ids", "decoded", "__text")]
+    rows = docs.select(*[F.col(f"`{f.name}`") for f in own], text_of().alias("__text"))
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _decoder(shared)(_encoder(shared)(batches))
+
+    return rows.mapInArrow(lean(run), T.StructType([*own, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]))

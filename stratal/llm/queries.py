@@ -124,7 +124,7 @@ TOKENIZERS = "/opt/tokenizers"
 def op9_sentencepiece(spark: SparkSession, sf_dir: str, model: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
     vocabulary = pieces.load(model)
     docs = _table(spark, sf_dir, "documents").select("doc_id", text_of().alias("text"))
-    back = pieces.decode(pieces.encode(docs, vocabulary), vocabulary)
+    back = pieces.encode_and_decode(docs, vocabulary)
     fallback = F.size(F.filter("ids", lambda i: i.between(3, 258))).cast("long")
     return back.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.size("ids").cast("long").alias("n_tokens"), fallback.alias("n_byte_tokens"), F.xxhash64("ids").alias("ids_hash"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("round_trip"))
 

@@ -349,6 +349,8 @@ def test_pieces(spark, odd, none, clash):
         assert codec.decode(np.frombuffer(codec.encode(text), dtype=np.int32)) == text
     got = pieces.decode(pieces.encode(odd, vocabulary), vocabulary).collect()
     assert len(got) == len(ODD) and all(x.decoded == (x.text or "") for x in got)
+    once = pieces.encode_and_decode(odd, vocabulary).collect()
+    assert sorted((x.text or "", x.ids, x.decoded) for x in once) == sorted((x.text or "", x.ids, x.decoded) for x in got)
     assert pieces.encode(none, vocabulary).count() == 0 and pieces.encode(clash, vocabulary).count() == 2
 
 
