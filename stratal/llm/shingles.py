@@ -124,15 +124,6 @@ def shingled(h: np.ndarray, starts: np.ndarray, size: int, whole: bool = True) -
     return out, own
 
 
-def distinct(values: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each owner's distinct values in ascending order."""
-    order = np.lexsort((values, owner))
-    v, o = values[order], owner[order]
-    new = np.ones(len(v), dtype=bool)
-    new[1:] = (v[1:] != v[:-1]) | (o[1:] != o[:-1])
-    return v[new], o[new]
-
-
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows with about ``limit`` bytes of text each; one text is never cut."""
     for batch in batches:

@@ -8,7 +8,7 @@ clauses give features (sums, the largest, counts by kind, density) to a logistic
 scored.
 
 Learning: insult stems are word beginnings and whole words that stand in far more toxic than other documents; the
-regression is fitted on the grammar's features. Both use one sample of labelled rows of at most ``sample_rows`` rows,
+regression is fitted on the grammar's features. Both use one sample of about ``sample_rows`` labelled rows,
 chosen by a hash of doc_id; it is the only bounded thing here. Scores use the text alone.
 
 Nulls and odd rows: a null or empty text has no clause and gets the score of a document without matches. Rows that
