@@ -148,6 +148,12 @@ dialect("container_order", "SELECT o_orderkey, nums FROM baskets ORDER BY nums D
 QUERIES["container_order"] = (lambda run: lambda spark, sf_dir: run(spark, sf_dir).withColumn("nums", F.array_join("nums", "-")))(QUERIES["container_order"])
 ORACLES["container_order"] = f"SELECT o_orderkey, array_to_string(nums, '-') AS nums FROM ({ORACLES['container_order']})"
 
+# the queries above that take a part of a table or text, over all of it
+dialect("three_valued_whole", "SELECT e.event_id, NULLIF(event_type, 'view') IN ('click', NULL) AS a, NOT (NULLIF(event_type, 'view') = 'click') AS b, NULLIF(event_type, 'view') IS NULL AS c, NULLIF(event_type, 'view') NOT IN ('click', 'error') AS d FROM events e")
+dialect("ascii_case_whole", "SELECT doc_id, UPPER(text) AS up FROM documents", "SELECT doc_id, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS up FROM documents")
+dialect("interval_whole", "SELECT o_orderkey, CAST(DATE(o_orderdate) + INTERVAL '1 week' AS VARCHAR) AS w, CAST(DATE(o_orderdate) - INTERVAL '2 days' AS VARCHAR) AS b, CAST(DATE(o_orderdate) + INTERVAL '5 hours' AS VARCHAR) AS nothing, CAST(o_orderdate + INTERVAL '90 minutes' AS VARCHAR) AS t FROM orders", "SELECT o_orderkey, CAST(CAST(CAST(o_orderdate AS DATE) + INTERVAL 7 DAY AS DATE) AS VARCHAR) AS w, CAST(CAST(CAST(o_orderdate AS DATE) - INTERVAL 2 DAY AS DATE) AS VARCHAR) AS b, NULL::VARCHAR AS nothing, CAST(o_orderdate + INTERVAL 90 MINUTE AS VARCHAR) AS t FROM orders")
+dialect("join_full_whole", "SELECT c_custkey, s_suppkey FROM customer FULL OUTER JOIN supplier ON c_custkey = s_suppkey")
+dialect("unnest_product_whole", "SELECT b.o_orderkey, x.value AS a, y.value AS b2 FROM baskets b CROSS JOIN UNNEST(nums) AS x INNER JOIN UNNEST(nums) AS y ON x.value < y.value", _B + "SELECT o_orderkey, a, b2 FROM (SELECT o_orderkey, x.num AS a, unnest(items).num AS b2 FROM (SELECT o_orderkey, items, unnest(items) AS x FROM b)) WHERE a < b2")
 
 # DataFrame helpers
 def nested_scan_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
