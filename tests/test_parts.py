@@ -156,6 +156,15 @@ def test_server(spark):
     time.sleep(0)
 
 
+def test_server_cuts_no_result(spark):
+    server = Server(Engine(spark).register("t", spark.range(7).toDF("i")))
+    assert server.handle("PREPARE q SELECT i FROM t") == "OK q"
+    assert server.handle("CONFIG max_rows 6") == "OK"
+    assert server.handle("EXEC q").startswith("ERROR ResourceExhausted") and server.handle("E2E SELECT i FROM t").startswith("ERROR ResourceExhausted")
+    assert server.handle("CONFIG max_rows 7") == "OK"
+    assert server.handle("EXEC q").startswith("OK 7 ") and server.handle("E2E SELECT i FROM t").startswith("OK 7 ")
+
+
 def test_entry(spark, tiny):
     import __spark_entry__ as e
 
