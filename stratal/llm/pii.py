@@ -1,13 +1,13 @@
 """Personal data: patterns find entities, corpus co-occurrence finds further terms that give them away.
 
-Protected entities are e-mail addresses, IP addresses, card numbers and phone numbers. For a term t that stands
-beside an entity e (within ``reach`` characters) the corpus gives pmi(t; e) = log2(N n(e,t) / (n(e) n(t))) and the
-entity's information content ic(e) = log2(N / n(e)), from numbers of documents: n(e) that hold e, n(t) that hold the
-word t anywhere, n(e,t) that hold t beside e. t discloses e to the degree pmi / ic, at most 1. Terms at or over the
-threshold, with n(e,t) of at least ``support``, are taken out wherever they stand beside e: words that contain
-digits are generalised to [NUMBER], others removed in favour of [TERM]; entities become [EMAIL], [IP], [CARD] and
-[PHONE]. All of it runs as SQL functions. Counts are summed before they are shuffled, so hot terms and entities cost
-a row for each task.
+Protected entities are e-mail addresses, IP addresses, card numbers and phone numbers. For a term t that stands in a
+document of an entity e, at any distance, the corpus gives pmi(t; e) = log2(N n(e,t) / (n(e) n(t))) and the entity's
+information content ic(e) = log2(N / n(e)), from numbers of documents: n(e) that hold e, n(t) that hold the word t,
+n(e,t) that hold both. t discloses e to the degree pmi / ic, at most 1. Terms at or over the threshold, with n(e,t) of
+at least ``support``, are taken out wherever they stand, in documents without e as well: words that contain digits are
+generalised to [NUMBER], others removed in favour of [TERM]; entities become [EMAIL], [IP], [CARD] and [PHONE]. Words
+that touch an entity are no terms. All of it runs as SQL functions. Counts are summed before they are shuffled, so hot
+terms and entities cost a row for each task.
 
 Nulls and odd rows: a null or empty text has no spans. Rows that repeat are each counted and each answered. Spans of
 one kind never overlap; spans of different kinds may, and sanitising merges those. Further columns pass through.
@@ -20,10 +20,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let, text_of, words_of, written
+from .common import SPACE, ascii_lower, let, text_of, words_of, written
 
 KINDS = ("email", "ip", "card", "phone")
-WORD = r"[^\x20\x09-\x0D]+"
 #: Marks for a span's ends and for a replaced character; where a text has them itself, _NONE stands in.
 _OPEN, _CLOSE, _OTHER, _NONE = "\x02", "\x03", "\x01", "\ufffd"
 _SPAN = "array<struct<start:int,end:int,value:string>>"
@@ -107,31 +106,43 @@ def _any(kinds: tuple[str, ...] = KINDS) -> Column:
     return reduce(lambda a, b: a | b, [F.size(k) > 0 for k in kinds])
 
 
-def _beside(held: DataFrame, reach: int) -> DataFrame:
-    """A row for each word beside an entity: key, entity, term, start and end of the word in its text."""
-    entity = lambda kind: F.transform(kind, lambda s: F.struct(F.concat(F.lit(f"{kind}:"), ascii_lower(s["value"])).alias("entity"), s["start"].alias("start"), s["end"].alias("end")))
-    each = held.select("__row", "doc_id", "text", *KINDS, F.explode(F.concat(*map(entity, KINDS))).alias("e"))
-    left_at = F.greatest(F.lit(0), F.col("e.start") - reach)
-    each = each.withColumns({"la": left_at, "left": F.substring("text", left_at + 1, F.col("e.start") - left_at), "right": F.substring("text", F.col("e.end") + 1, F.lit(reach))})
-    n = F.char_length("text")
-    # a word that the window cuts is left out
-    left = F.filter(matches(F.col("left"), WORD), lambda s: ((s["start"] > 0) | (F.col("la") == 0)) & (s["end"] < F.char_length("left")))
-    right = F.filter(matches(F.col("right"), WORD), lambda s: (s["start"] > 0) & ((s["end"] < F.char_length("right")) | (F.col("e.end") + s["end"] == n)))
-    moved = lambda spans, by: F.transform(spans, lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), ascii_lower(s["value"]).alias("term")))
-    base = F.concat(*[F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS])
-    each = each.select("__row", "doc_id", F.col("e.entity").alias("entity"), base.alias("base"), F.explode(F.concat(moved(left, F.col("la")), moved(right, F.col("e.end")))).alias("t"))
-    # other entities that stand in the window are spans already
-    apart = F.forall("base", lambda b: (b["end"] <= F.col("t.start")) | (b["start"] >= F.col("t.end")))
-    return each.where(apart).select("__row", "doc_id", "entity", F.col("t.term").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
-
-
-def disclosing(docs: DataFrame, beside: DataFrame, threshold: float, support: int) -> DataFrame:
-    """entity, term, pmi, ic and degree of the terms that disclose an entity. docs: the corpus with a column text."""
-    pairs = beside.groupBy("entity", "term", "__row").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
+def _replaced(text: Column, spans: Column) -> Column:
+    """The text with each span (start, end, by; in order) replaced; spans that overlap become the first one's ``by``."""
+    kept = "struct<at:int,out:array<string>>"
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")).cast(kept)
+
+    def step(acc: Column, s: Column) -> Column:
+        fresh = F.array(F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), s["start"] - acc["at"])), F.when(s["start"] >= acc["at"], s["by"]).otherwise(""))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], fresh).alias("out")).cast(kept)
+
+    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.char_length(text)))
+    return F.aggregate(spans, zero, step, rest)
+
+
+def _together(held: DataFrame, support: int) -> tuple[DataFrame, DataFrame]:
+    """Numbers of documents by entity (n_e), and by entity and term that share documents (n_et), of at least support."""
+    entity = lambda kind: F.transform(kind, lambda s: F.concat(F.lit(f"{kind}:"), ascii_lower(s["value"])))
+    each = held.select("__row", F.explode(F.array_distinct(F.concat(*map(entity, KINDS)))).alias("entity"))
+    n_entity = each.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
+    # an entity of fewer documents than support shares no more with any term
+    listed = each.join(n_entity.select("entity"), "entity", "left_semi").groupBy("__row").agg(F.collect_list("entity").alias("entities"))
+    gap = F.lit(_OPEN)
+    marks = F.array_sort(F.concat(*[F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), gap.alias("by"))) for k in KINDS]))
+    # a word that touches an entity has a mark in it
+    apart = F.filter(F.array_distinct(words_of(_replaced(F.translate(text_of(), _OPEN, _NONE), marks))), lambda w: ~F.contains(w, gap))
+    terms = held.join(listed, "__row").select("entities", apart.alias("terms"))
+    pairs = terms.select(F.explode("entities").alias("entity"), "terms").select("entity", F.explode("terms").alias("term"))
+    return n_entity, pairs.groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
+
+
+def disclosing(docs: DataFrame, held: DataFrame, threshold: float, support: int) -> DataFrame:
+    """entity, term, pmi, ic and degree of the terms that disclose an entity. docs: the corpus with a column text; held:
+    its documents with entities, with their spans and a column __row."""
+    n_entity, pairs = _together(held, support)
+    pairs = written(pairs, "together")
     terms = pairs.select("term").distinct()
-    held = docs.select(F.explode(F.array_distinct(words_of(text_of()))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") >= support)
-    n_term = held.join(terms, "term", "left_semi")
-    n_entity = beside.select("entity", "__row").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+    counted = docs.select(F.explode(F.array_distinct(words_of(text_of()))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") >= support)
+    n_term = counted.join(terms, "term", "left_semi")
     total = docs.agg(F.count("*").alias("n")).scalar()
     found = pairs.join(n_term, "term").join(n_entity, "entity").withColumn("n", total)
     pmi, ic = F.log2(F.col("n") * F.col("n_et") / (F.col("n_e") * F.col("n_t"))), F.log2(F.col("n") / F.col("n_e"))
@@ -140,19 +151,37 @@ def disclosing(docs: DataFrame, beside: DataFrame, threshold: float, support: in
     return found.withColumn("degree", degree).where(F.col("degree") >= threshold).select("entity", "term", "pmi", "ic", "degree")
 
 
-def find_personal_data(docs: DataFrame, reach: int = 48, threshold: float = 0.9, support: int = 2) -> DataFrame:
-    """docs with a column of spans for each kind and for term. Only documents with entities are written and joined."""
+def _places(text: Column, terms: Column, taken: Column) -> Column:
+    """Spans of the words of a text that are among terms, without those that touch a span of taken."""
+    space = r"\x20\x09-\x0D"
+    # each piece is a word and the space after it; the first may be space alone
+    pieces = F.split(text, rf"(?<=[{space}])(?=[^{space}])")
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        def told(word: Column) -> Column:
+            end = acc["at"] + F.char_length(word)
+            hit = F.array_contains(terms, word) & F.forall(taken, lambda s: (s["end"] <= acc["at"]) | (s["start"] >= end))
+            span = F.struct(acc["at"].alias("start"), end.alias("end"), word.alias("value"))
+            return F.when(hit, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
+
+        out = let(ascii_lower(F.regexp_replace(piece, SPACE, "")), told)
+        return F.struct((acc["at"] + F.char_length(piece)).alias("at"), out.alias("out"))
+
+    return F.aggregate(pieces, zero, step, lambda acc: acc["out"])
+
+
+def find_personal_data(docs: DataFrame, threshold: float = 0.9, support: int = 2) -> DataFrame:
+    """docs with a column of spans for each kind and for term."""
     own = [c for c in docs.columns if c not in (*KINDS, "term", "__row")]
     found = with_entities(docs.select(*[F.col(f"`{c}`") for c in own]))
-    held = written(found.where(_any()).withColumn("__row", F.monotonically_increasing_id()), "entities")
-    beside = written(_beside(held.withColumn("text", text_of()), reach), "beside")
-    told = disclosing(docs, beside, threshold, support)
-    hits = beside.join(told.select("entity", "term"), ["entity", "term"], "left_semi")
-    spans = F.array_sort(F.collect_set(F.struct("start", "end", F.col("term").alias("value"))))
-    hits = hits.groupBy("__row").agg(spans.alias("term"))
-    named = [*[F.col(f"`{c}`") for c in own], *map(F.col, KINDS)]
-    joined = held.join(hits, "__row", "left").select(*named, F.coalesce("term", F.array().cast(_SPAN)).alias("term"))
-    return joined.unionAll(found.where(~_any()).select(*named, F.array().cast(_SPAN).alias("term")))
+    rows = written(found.withColumn("__row", F.monotonically_increasing_id()), "entities")
+    told = written(disclosing(rows, rows.where(_any()), threshold, support).select("term").distinct(), "disclosing")
+    each = rows.select("__row", F.explode(F.array_distinct(words_of(text_of()))).alias("term"))
+    hits = each.join(told, "term", "left_semi").groupBy("__row").agg(F.collect_list("term").alias("__terms"))
+    none = F.array().cast(_SPAN)
+    term = F.when(F.col("__terms").isNotNull(), _places(text_of(), F.col("__terms"), F.concat(*KINDS))).otherwise(none)
+    return rows.join(hits, "__row", "left").select(*[F.col(f"`{c}`") for c in own], *KINDS, term.alias("term"))
 
 
 def digest(kinds: tuple[str, ...]) -> Column:
@@ -165,12 +194,4 @@ def sanitised(text: Column) -> Column:
     """The text with its spans (columns of find_personal_data) generalised or removed."""
     label = lambda kind: F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), (F.when(s["value"].rlike("[0-9]"), "[NUMBER]").otherwise("[TERM]") if kind == "term" else F.lit(f"[{kind.upper()}]")).alias("by")))
     spans = F.array_sort(F.concat(*map(label, (*KINDS, "term"))))
-    kept = "struct<at:int,out:array<string>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")).cast(kept)
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = F.array(F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), s["start"] - acc["at"])), F.when(s["start"] >= acc["at"], s["by"]).otherwise(""))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], fresh).alias("out")).cast(kept)
-
-    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.char_length(text)))
-    return F.aggregate(spans, zero, step, rest)
+    return _replaced(text, spans)

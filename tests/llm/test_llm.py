@@ -248,6 +248,23 @@ def test_disclosing_terms(spark, none, clash):
     assert pii.find_personal_data(none).count() == 0 and pii.find_personal_data(clash).where("size(email) = 1").count() == 1
 
 
+def test_disclosing_terms_at_any_distance(spark):
+    far = " ".join(["plain"] * 40)
+    rows = [(i, f"{far} note") for i in range(300)]
+    rows += [(1000 + i, f"\tZebulon {far} (at q.z@mail.org) {far} zebulon, quagmire \U0001d4b3 zebulon") for i in range(4)]
+    rows += [(2000, f"{far} zebulon and Quagmire {far}"), (2001, "zebulon")]
+    found = pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    terms = {r.doc_id: [(s.start, s.end, s.value) for s in r.term] for r in found}
+    assert len(found) == len(rows) and not any(terms[i] for i in range(300))
+    n_t, docs = Counter(w for _, t in rows for w in set(words(t))), len(rows)
+    degree = {w: math.log2(docs / n_t[w]) / math.log2(docs / 4) for w in n_t}  # n(e,t) = n(e) for the words beside
+    assert degree["zebulon"] >= 0.9 and degree["quagmire"] >= 0.9 > degree["plain"]
+    told = {w for w in n_t if degree[w] >= 0.9 and w in words(rows[300][1]) and w not in words("(at q.z@mail.org)")} | {"(at"}
+    for i, t in rows:
+        want = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\x20\x09-\x0d]+", t) if m[0].lower() in told]
+        assert terms[i] == want, i
+
+
 # op7
 def test_leaks(spark, odd, none, clash):
     r = random.Random(7)
