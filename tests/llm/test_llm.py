@@ -155,6 +155,36 @@ def test_seating():
     assert likely > 2 * rare
 
 
+def test_scores_do_not_depend_on_buckets(spark):
+    r = random.Random(14)
+    follow = {w: [r.randrange(3000) for _ in range(3)] for w in range(3000)}
+
+    def chain():
+        w = r.randrange(3000)
+        for _ in range(40):
+            yield f"w{w}"
+            w = r.choice(follow[w])
+
+    docs = spark.createDataFrame([(i, " ".join(chain())) for i in range(400)], "doc_id long, text string")
+    few, many = ({x.doc_id: x for x in pitman_yor.score(docs, samples=20, block_bytes=n).collect()} for n in (1_000_000, 400))
+    held = [i for i in few if few[i].held_out]
+    per_token = lambda got: sum(got[i].score for i in held) / sum(got[i].n_tokens for i in held)
+    print(per_token(few), per_token(many))
+    assert per_token(few) == pytest.approx(per_token(many), abs=0.002)
+
+
+def test_parent_restaurant_does_not_depend_on_buckets():
+    rng = np.random.default_rng(3)
+    words, guests = np.unique(rng.integers(1, 1 << 62, 2000).astype(np.uint64)), rng.integers(1, 40, 2000).astype(np.float32)
+
+    def tables(buckets):
+        seat = pitman_yor._word_seater(2000, 1.0, 0.75, 2, 10)
+        payloads = [pitman_yor._squeezed(words[k::buckets], guests[k::buckets].astype(np.uint32), guests[k::buckets]) for k in range(buckets)]
+        return sum(pitman_yor.unpack(seat([p])[0])[1][3] for p in payloads)
+
+    assert tables(100) == pytest.approx(tables(1), rel=0.05)
+
+
 # op4
 def test_url_filter(spark):
     r = random.Random(5)
