@@ -185,6 +185,23 @@ def test_parent_restaurant_does_not_depend_on_buckets():
     assert tables(100) == pytest.approx(tables(1), rel=0.05)
 
 
+def test_common_contexts_come_from_all_blocks(spark):
+    r = random.Random(15)
+    # the late word is in the last third only, and no block of the first twenty has it
+    docs = [(i, " ".join(f"x{r.randint(0, 5000)}" for _ in range(30)) + (" late late late" if i >= 200 else "")) for i in range(300)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    blocks = pitman_yor.in_blocks(frame, 2000)
+    assert blocks.count() > 20
+    every = Counter(w for _, t in docs for w in [*words(t), ""])
+    _, n, v, hot = pitman_yor.counted(blocks, 8, 5, 1)
+    train = Counter(w for i, t in docs if zlib.crc32(str(i).encode()) % 5 != 1 for w in [*words(t), ""])
+    assert (n, v) == (sum(train.values()), len(train))
+    names = [w for w in every if w and every[w] * 1000 >= sum(every.values())]
+    raw = " ".join(names).encode()
+    want = set(pitman_yor.hashed(raw, np.array([0, len(raw)]))[0].tolist()) | {int(pitman_yor._END)}
+    assert "late" in names and set(hot.tolist()) == want
+
+
 # op4
 def test_url_filter(spark):
     r = random.Random(5)
