@@ -178,7 +178,8 @@ def find_personal_data(docs: DataFrame, threshold: float = 0.9, support: int = 2
     rows = written(found.withColumn("__row", F.monotonically_increasing_id()), "entities")
     told = written(disclosing(rows, rows.where(_any()), threshold, support).select("term").distinct(), "disclosing")
     each = rows.select("__row", F.explode(F.array_distinct(words_of(text_of()))).alias("term"))
-    hits = each.join(told, "term", "left_semi").groupBy("__row").agg(F.collect_list("term").alias("__terms"))
+    # written, so that its size is known: while it is small, texts need not move to meet it
+    hits = written(each.join(told, "term", "left_semi").groupBy("__row").agg(F.collect_list("term").alias("__terms")), "hits")
     none = F.array().cast(_SPAN)
     term = F.when(F.col("__terms").isNotNull(), _places(text_of(), F.col("__terms"), F.concat(*KINDS))).otherwise(none)
     return rows.join(hits, "__row", "left").select(*[F.col(f"`{c}`") for c in own], *KINDS, term.alias("term"))
