@@ -8,8 +8,11 @@ than the worst piece and becomes its UTF-8 bytes as byte pieces; so do marker ch
 makes decoding return every text unchanged.
 
 No piece crosses from another character to a marker, so texts fall into chunks of markers and what follows them,
-each segmented on its own; chunks met before are remembered up to a bound. A model with pieces that do cross is
-segmented as a whole.
+each segmented on its own; chunks met before are remembered up to a bound. New chunks are segmented together: all
+places of all of them walk the trie at once, a byte a step, and the best sums are passed on from place to place in
+step. Chunks of more than ``_LONG`` characters are segmented one by one, to the same result. A model with pieces that do
+cross is segmented as a whole. Of the model's normaliser only the dummy prefix is read: no character is changed, no
+white space removed, so that decoding gives back the text.
 
 Nulls and odd rows: a null text counts as the empty text; both have no ids and decode to the empty text. Ids outside
 the model raise an error in decoding, control ids decode to nothing, bytes that are not UTF-8 to the replacement
@@ -21,7 +24,6 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -37,7 +39,8 @@ from .lean import lean
 from .shingles import pieces as cut
 
 MARK = "▁"
-_CHUNK = re.compile(" +[^ ]*")
+_CHUNK = re.compile(" +[^ ]*|[^ ]+")
+_LONG = 64
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -146,6 +149,7 @@ class DoubleArray:
                 check[b + x + 1] = s
                 place[children[node][x]] = b + x + 1
                 todo.append(children[node][x])
+        check[0] = -2  # nothing leads back to the root
         # every look-up stays inside: base is -256 at least, and a negative place is one of the last
         self.base, self.check, self.value = base + [0] * 258, check + [-1] * 258, value + [-1] * 258
 
@@ -161,22 +165,107 @@ class Codec:
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(v.pieces, v.kinds, strict=True)) if k == BYTE}
         if len(self.bytes) != 256:
             raise ValueError("the model has no byte pieces to fall back on")
+        self.byte_ids = np.array([self.bytes[b] for b in range(256)], dtype=np.int32)
         self.lost = min(v.scores[i] for i in usable) - 10.0
         self.crosses = any(MARK in p.lstrip(MARK) for p in usable.values())
         # what each id decodes to: control ids nothing, the unknown id a replacement character
         spelt = {NORMAL: lambda p: p.replace(MARK, " ").encode(), USER: lambda p: p.replace(MARK, " ").encode(), BYTE: lambda p: bytes([int(p[3:5], 16)]), UNKNOWN: lambda p: "�".encode()}
-        self.spelt = [spelt.get(k, lambda p: b"")(p) for p, k in zip(v.pieces, v.kinds, strict=True)]
+        self.spelt = pa.array([spelt.get(k, lambda p: b"")(p) for p, k in zip(v.pieces, v.kinds, strict=True)], pa.large_binary())
         self.bound, self.known = bound, {}
 
     @cached_property
     def trie(self) -> DoubleArray:
         return DoubleArray({p.encode(): i for i, p in self.usable.items()})
 
+    @cached_property
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The trie's base, check and value, and the scores."""
+        t = self.trie
+        return *(np.array(x, dtype=np.int32) for x in (t.base, t.check, t.value)), np.array(self.scores, dtype=np.float64)
+
+    def _arcs(self, data: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and piece of every piece in joined chunks, -1 for a character without one. stop: of each byte, the
+        end of its chunk."""
+        base, check, value, _ = self.arrays
+        first = np.flatnonzero((data & 0xC0) != 0x80)
+        ends = np.append(first[1:], len(data))
+        starts, state, at = first, np.zeros(len(first), dtype=np.int32), first
+        single, found = np.zeros(len(data) + 1, dtype=bool), []
+        last = np.zeros(len(data) + 1, dtype=np.int64)
+        last[first] = ends
+        while len(starts):
+            to = base[state] + data[at] + 1
+            ok = check[to] == state
+            starts, state, at = starts[ok], to[ok], at[ok] + 1
+            piece = value[state]
+            hit = np.flatnonzero(piece >= 0)
+            found.append((starts[hit], at[hit], piece[hit]))
+            single[starts[hit][last[starts[hit]] == at[hit]]] = True
+            go = at < stop[starts]
+            starts, state, at = starts[go], state[go], at[go]
+        bare = first[~single[first]]
+        found.append((bare, last[bare], np.full(len(bare), -1, dtype=np.int32)))
+        return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
+
+    def _best_of_each(self, chunks: list[str]) -> list[bytes]:
+        """Viterbi over many chunks, whose spaces stand for markers: the ids of each as 32-bit integers."""
+        raws = [self._raw(c) for c in chunks]
+        sizes = np.array([len(r) for r in raws], dtype=np.int64)
+        data, ends = np.frombuffer(b"".join(raws), dtype=np.uint8), np.cumsum(sizes)
+        chunk = np.repeat(np.arange(len(raws)), sizes)
+        start, end, piece = self._arcs(data, ends[chunk])
+        place = start - (ends - sizes)[chunk[start]]
+        order = np.argsort(place.astype(np.uint16), kind="stable")
+        start, end, piece, place = start[order], end[order], piece[order], place[order]
+        gain = np.where(piece >= 0, self.arrays[3][piece], self.lost)
+        # each chunk has a place more than bytes, so that its end is not the next one's start
+        a, b = start + chunk[start], end + chunk[start]
+        best, back = np.full(len(data) + len(raws), -1e300), np.full(len(data) + len(raws), -1, dtype=np.int64)
+        best[ends - sizes + np.arange(len(raws))] = 0.0
+        cuts = np.searchsorted(place, np.arange(int(place[-1]) + 2 if len(place) else 1))
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            # arcs from the same place of a chunk end in different places
+            to, sums = b[x:y], best[a[x:y]] + gain[x:y]
+            better = np.flatnonzero(sums > best[to])
+            best[to[better]], back[to[better]] = sums[better], better + x
+        here, whose, steps = ends + np.arange(len(raws)), np.arange(len(raws)), []
+        while len(whose):
+            arc = back[here]
+            go = arc >= 0
+            arc, whose = arc[go], whose[go]
+            steps.append((whose, arc))
+            here = a[arc]
+        whose, arc = (np.concatenate([s[i] for s in steps]) for i in range(2))
+        order = np.argsort(whose, kind="stable")
+        whose, arc = whose[order][::-1], arc[order][::-1]  # chunks backwards, pieces forwards
+        order = np.argsort(whose, kind="stable")
+        whose, arc = whose[order], arc[order]
+        width = np.where(piece[arc] >= 0, 1, end[arc] - start[arc])
+        ids = np.repeat(piece[arc], width)
+        bare = np.flatnonzero(ids < 0)
+        if len(bare):
+            which = np.repeat(np.arange(len(arc)), width)[bare]
+            at = start[arc[which]] + bare - (np.cumsum(width) - width)[which]
+            raw = data[at].copy()
+            mark = np.frombuffer(MARK.encode(), dtype=np.uint8)
+            own = data[start[arc[which]]] == 0xF5
+            raw[own] = mark[(at - start[arc[which]])[own]]
+            ids[bare] = self.byte_ids[raw]
+        out, cut = ids.astype("<i4").tobytes(), 4 * np.concatenate([[0], np.cumsum(np.bincount(whose, weights=width, minlength=len(raws)))]).astype(np.int64)
+        cut = cut.tolist()
+        return [out[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
+
+    @staticmethod
+    def _raw(chunk: str) -> bytes:
+        # a marker of the text itself becomes bytes that no piece has
+        if MARK in chunk:
+            return b"\xf5\x80\x80".join(x.replace(" ", MARK).encode("utf-8", "surrogatepass") for x in chunk.split(MARK))
+        return chunk.replace(" ", MARK).encode("utf-8", "surrogatepass")
+
     def _best(self, chunk: str) -> list[int]:
         """Viterbi over one chunk, whose spaces stand for markers."""
         base, check, value, scores, lost = self.trie.base, self.trie.check, self.trie.value, self.scores, self.lost
-        # a marker of the text itself becomes bytes that no piece has
-        raw = b"\xf5\x80\x80".join(x.replace(" ", MARK).encode("utf-8", "surrogatepass") for x in chunk.split(MARK))
+        raw = self._raw(chunk)
         n = len(raw)
         best, start, piece = [0.0] + [-1e300] * n, [0] * (n + 1), [-1] * (n + 1)
         for i in range(n):
@@ -214,35 +303,45 @@ class Codec:
 
     def encode(self, text: str | None) -> bytes:
         """The text's ids as 32-bit integers."""
-        if not text:
-            return b""
-        if self.vocabulary.dummy_prefix:
-            text = " " + text
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as 32-bit integers."""
+        prefix = " " if self.vocabulary.dummy_prefix else ""
         if self.crosses:
-            return np.array(self._best(text), dtype=np.int32).tobytes()
-        known, head = self.known, b""
-        if "  " in text or text[0] != " ":
-            chunks = _CHUNK.findall(text)
-            if text[0] != " ":
-                first = text.split(" ", 1)[0]
-                head = np.array(self._best(first), dtype=np.int32).tobytes()
-        else:
-            chunks = text[1:].split(" ")
+            return [np.array(self._best(prefix + t), dtype=np.int32).tobytes() if t else b"" for t in texts]
+        known, cut = self.known, [self._chunks(prefix + t) if t else [] for t in texts]
         if len(known) > self.bound:
             known.clear()
-        new, long = set(chunks).difference(known), {}
-        for c in new:
-            ids = array("i", self._best(c if c[:1] == " " else " " + c)).tobytes()
-            (known if len(c) <= 64 else long)[c] = ids
+        new = list(set().union(*cut).difference(known))
+        short = [c for c in new if len(c) <= _LONG]
+        known.update(zip(short, self._best_of_each(short), strict=True)) if short else None
+        long = {c: np.array(self._best(c), dtype=np.int32).tobytes() for c in new if len(c) > _LONG}
         if long:
-            return head + b"".join([long.get(c) or known[c] for c in chunks])
-        return head + b"".join(map(known.__getitem__, chunks))
+            return [b"".join([long.get(c) or known[c] for c in chunks]) for chunks in cut]
+        return [b"".join(map(known.__getitem__, chunks)) for chunks in cut]
+
+    @staticmethod
+    def _chunks(text: str) -> list[str]:
+        """Runs of spaces with what follows them; what stands before the first space is a chunk of its own."""
+        if "  " not in text and text[0] == " ":
+            return [" " + x for x in text[1:].split(" ")]
+        return _CHUNK.findall(text)
 
     def decode(self, ids: np.ndarray) -> str:
+        return self.decode_all(ids, np.array([0, len(ids)]))[0]
+
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The texts of joined ids; ends: where each text's ids begin, and the end of the last."""
         if len(ids) and (ids.min() < 0 or ids.max() >= len(self.spelt)):
             raise ValueError("an id is outside the model")
-        text = b"".join(map(self.spelt.__getitem__, ids.tolist())).decode("utf-8", "replace")
-        return text[1:] if self.vocabulary.dummy_prefix and text[:1] == " " else text
+        if not len(ids):
+            return [""] * (len(ends) - 1)
+        spelt = self.spelt.take(pa.array(ids))
+        places, data = np.frombuffer(spelt.buffers()[1], dtype=np.int64)[spelt.offset :], spelt.buffers()[2]
+        whole, cut = (data.to_pybytes() if data is not None else b""), places[ends].tolist()
+        skip = self.vocabulary.dummy_prefix
+        return [whole[a + 1 if skip and whole[a:b].startswith(b" ") else a : b].decode("utf-8", "replace") for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def load(path: str) -> Vocabulary:
@@ -268,7 +367,7 @@ def _encoder(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(shared.value)
         for part in cut(batches, "__text"):
-            ids = [codec.encode(t) for t in part.column("__text").to_pylist()]
+            ids = codec.encode_all(part.column("__text").to_pylist())
             ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), dtype=np.int32)))
             keep = [n for n in part.schema.names if n != "__text"]
@@ -285,7 +384,7 @@ def _decoder(shared):
                 part = batch.slice(at, 256)
                 lists = part.column("ids")
                 ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-                texts = pa.array([codec.decode(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string())
+                texts = pa.array(codec.decode_all(flat[ends[0] : ends[-1]], ends - ends[0]), pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*part.schema.names, "decoded"])
 
     return run

@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -418,6 +419,58 @@ def test_pieces(spark, odd, none, clash):
     assert pieces.encode(none, vocabulary).count() == 0 and pieces.encode(clash, vocabulary).count() == 2
 
 
+def _message(*fields):
+    """A protocol buffer message of (number, value): text and bytes, floats, whole numbers."""
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    out = b""
+    for number, v in fields:
+        if isinstance(v, float):
+            out += varint(number << 3 | 5) + struct.pack("<f", v)
+        elif isinstance(v, int):
+            out += varint(number << 3) + varint(v)
+        else:
+            raw = v.encode() if isinstance(v, str) else v
+            out += varint(number << 3 | 2) + varint(len(raw)) + raw
+    return out
+
+
+def test_true_unigram_model():
+    """A model with log scores of its own against the public library."""
+    import sentencepiece
+
+    r = random.Random(21)
+    some = sorted({"".join(r.choice("abcdé") for _ in range(r.randint(1, 5))) for _ in range(150)} - {"e"})
+    known = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *[(f"<0x{b:02X}>", 0.0, 6) for b in range(256)]]
+    known += [(p, r.uniform(-9, -1), 1) for x in some for p in (x, pieces.MARK + x)] + [(pieces.MARK, -2.5, 1)]
+    model = b"".join(_message((1, _message((1, p), (2, float(s)), (3, k)))) for p, s, k in known)
+    model += _message((2, _message((3, 1), (35, 1))), (3, _message((1, "identity"), (3, 1), (4, 0), (5, 1))))
+    theirs = sentencepiece.SentencePieceProcessor(model_proto=model)
+    codec = pieces.Codec(pieces.Vocabulary.read(model))
+    texts = ["".join(r.choice("abcdé  xyz日") for _ in range(r.randint(1, 90))) for _ in range(400)] + ["x" * 300, "a" * 5000, " ", "  a"]
+    for text, ids in zip(texts, codec.encode_all(texts), strict=True):
+        mine = np.frombuffer(ids, dtype=np.int32).tolist()
+        score = lambda found: sum(codec.scores[i] if i > 258 else codec.lost for i in found)
+        assert mine == theirs.encode(text) or score(mine) == pytest.approx(score(theirs.encode(text)), abs=1e-3)
+        assert codec.decode(np.array(mine, dtype=np.int32)) == text
+
+
+def test_chunks_together_and_alone():
+    """Segmenting many chunks at once gives what one at a time gives."""
+    codec, r = pieces.Codec(pieces.load(MODEL)), random.Random(22)
+    texts = ["".join(r.choice(["th", "e", " ", "  ", "▁", "é", "日", "𝒳", "\n", "ing", "0", "q" * 70]) for _ in range(r.randint(0, 40))) for _ in range(300)]
+    for text, ids in zip(texts, codec.encode_all(texts), strict=True):
+        assert np.frombuffer(ids, dtype=np.int32).tolist() == [i for c in (codec._chunks(" " + text) if text else []) for i in codec._best(c)]
+    long = "wörd " * 300_000 + "z" * 100_000
+    ids = np.frombuffer(codec.encode(long), dtype=np.int32)
+    assert codec.decode(ids) == long
+
+
 def test_trie():
     r = random.Random(11)
     keys = {bytes(r.choice(b"ab\xc3\xe2\x81") for _ in range(r.randint(1, 6))): i for i in range(400)}
