@@ -1,7 +1,8 @@
 """Texts in blocks of bounded size, and questions that blocks put to buckets of keys.
 
 A block is one row: its number, its rows' keys and its texts, compressed. Written once, it is the same block in every
-later pass, whatever task reads it. In a round each block deals keys out to buckets by hash, sorted and each key once;
+later pass, whatever task reads it; the table is bucketed by block, so that answers come to the blocks and not the
+other way round. In a round each block deals keys out to buckets by hash, sorted and each key once;
 a bucket's task sees all blocks' keys of that bucket and answers each block in the block's own order. So the shuffle
 holds each key once for a block, without row overhead, and answers need no keys at all.
 """
@@ -17,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import placed, text_of
 from .lean import lean
 
 Answer = dict[int, bytes]
@@ -78,7 +79,7 @@ def in_blocks(docs: DataFrame, limit: int) -> DataFrame:
     """docs (doc_id, text) as a written table of blocks of about ``limit`` bytes: block, ids, lengths, data."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     cut = rows.mapInArrow(lean(_cutter(limit)), "ids array<bigint>, lengths array<bigint>, data binary")
-    return written(cut.withColumn("block", F.monotonically_increasing_id()), "blocks")
+    return placed(cut.withColumn("block", F.monotonically_increasing_id()), "blocks", "block")
 
 
 class Block:

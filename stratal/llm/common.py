@@ -57,5 +57,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def placed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As written, and bucketed by key into as many parts as shuffles have: joins on it later move only their other side."""
+    spark = df.sparkSession
+    table = f"stratal_{name}_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("compression", "zstd").option("path", f"{shared_folder(spark)}/stratal/{table}").bucketBy(parts, key).saveAsTable(table)
+    return spark.table(table)
+
+
 def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)

@@ -1,30 +1,42 @@
-"""Language-model scoring: a hierarchical Pitman-Yor model of words after words, with seatings sampled by Gibbs.
-
-Every context word has a restaurant whose customers are the words that follow it; their tables are customers of one
-parent restaurant that all contexts share; its tables come from a uniform base over the known words and one more.
-Restaurants are sampled where their context's counts meet. A customer leaves and sits down again: at a table of its
-dish in proportion to the table's size less the discount, or at a new one in proportion to strength plus discount times
-tables, times the parent's probability. Dishes of more than ``CAP`` customers are seated anew in each sweep, in steps of
-doubling size. The parent's probability while sampling is the word's share of all training tokens; the parent
-restaurant itself is then sampled from the tables of all contexts, each bucket with its part of the dishes, whose tables
-stand for those of all known words. After ``burn`` sweeps, ``samples`` sweeps are
-averaged, and so are the predictive probabilities, which are linear in them.
-
-Counts are gathered from all training documents: blocks of text deal their distinct word pairs out by context (see
-``blocks``) and get the averages back. Words are counted first, over all blocks. Contexts so common that one would fill
-a bucket, those with a thousandth of all tokens, are dealt out by the next word as well. So neither word shares nor
-common contexts depend on the order of rows, the blocks or the number of buckets. Shares travel as logarithms in 16 bits,
-within 0.04 percent.
+"""Language-model scoring: a hierarchical Pitman-Yor model of words after two words, its seatings sampled by Gibbs.
+
+Restaurants stand on four levels. Every pair of context words has one, whose customers are the words that follow; the
+tables of all pairs with the same second word are customers of that word's restaurant, which they share as parent; the
+tables of all of these are customers of one restaurant for the whole corpus; its tables come from the base, uniform
+over the known words and one more. Pairs whose second word is common (``common`` of all tokens or more) share one of
+``PARTS`` parents, by hash of the first word, so that no family of restaurants grows with the corpus unsplit.
+
+Gibbs sampling draws the number of tables of every dish from its conditional distribution, with the seatings of the
+dish's customers summed out: t tables of c customers weigh S(c, t) times (discount * x) ** t times the parent's
+probabilities of t draws, where S are generalised Stirling numbers. x, a Gamma variable of shape strength / discount +
+tables, makes the dishes of one restaurant independent without changing the distribution of their tables: the
+restaurant's factor of its number of tables is the integral over x. So all dishes are drawn at once, and each draw
+is as if its customers had been seated one by one. Levels take turns: pairs given their parents' predictive (without
+the dish's own customers), then the parents given the corpus restaurant's. While these are sampled that one predicts a
+word's share of all training tokens; then it is sampled itself, from the tables of all others. After ``burn`` sweeps,
+predictive probabilities are averaged over ``samples`` sweeps, level by level; on the second level weighted by the
+customers there. S comes from its recursion up to ``ROWS`` customers and from the contour integral of its generating
+function beyond.
+
+Random numbers are hashes of words, contexts and sweeps, and all sums are of whole numbers: scores do not depend on the
+order of rows, the blocks or the number of buckets.
+
+Counts are gathered from all training documents: blocks of text deal their distinct word triples out by the parent (see
+``blocks``) and get each restaurant's averages back. Words are counted first, over all blocks. A word's share travels as
+a logarithm in 16 bits, within 0.04 percent.
 
 Nulls and odd rows: a null or empty text is the end token alone. Documents outside the training fold are scored
-only. Without any training document all probabilities are the base's. Rows that repeat are counted and scored each.
-Words are told apart by 64-bit hashes, contexts by 48 bits and a word within one context by 40 bits of them.
+only. Without any training document all probabilities are the base's. Rows that repeat are counted and scored each;
+other columns are ignored. Words are told apart by 64-bit hashes, parents by 48 bits, words of one parent by 40 and
+first context words of one parent by 24 bits: of those that share all bits, the restaurants are one.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +49,13 @@ from .common import written
 from .lean import lean
 from .shingles import hashed, mix
 
-CAP = 50
 PARTS = 64
+ROWS = 2048
+NODES = 64
 _START, _END = np.uint64(0x5354415254), np.uint64(0x454E44)
 _OFFSET = 1 << 24  # numbers of the second round's buckets are below minus this
 _STEP = 40 / 65535  # of the logarithm of a word's share
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _squeezed(*arrays: np.ndarray) -> bytes:
@@ -61,9 +75,201 @@ def _whole(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x.reshape(4, -1).T).view("<u4").ravel()
 
 
-def _dealt(context: np.ndarray, part: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket of a part of a common context."""
-    return (mix(context + mix(part)) >> np.uint64(40)) % np.uint64(buckets)
+# random draws
+
+
+def uniform(key: np.ndarray, n: int) -> np.ndarray:
+    """Numbers between 0 and 1, both excluded, that follow from keys; n tells several of one key apart."""
+    return ((mix(key + np.uint64(n * int(_GOLD) % 2**64)) >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
+
+
+def gamma(shape: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Gamma variables of shapes of 1 or more, by squeezing a cubed normal one."""
+    d = shape - 1 / 3
+    out, todo, n = np.zeros(len(shape)), np.arange(len(shape)), 1
+    while len(todo):
+        k = key[todo]
+        x = np.sqrt(-2 * np.log(uniform(k, n))) * np.cos(2 * np.pi * uniform(k, n + 1))
+        v = (1 + x / np.sqrt(9 * d[todo])) ** 3
+        positive = np.maximum(v, 1e-300)
+        ok = (v > 0) & (np.log(uniform(k, n + 2)) < 0.5 * x * x + d[todo] * (1 - v + np.log(positive)))
+        out[todo[ok]] = d[todo[ok]] * v[ok]
+        todo, n = todo[~ok], n + 3
+    return out
+
+
+@lru_cache(maxsize=2)
+def stirling(discount: float) -> list[np.ndarray]:
+    """Logarithms of the generalised Stirling numbers: row c holds those of 1 to c tables."""
+    rows = [np.zeros(0), np.zeros(1)]
+    for c in range(1, ROWS):
+        with np.errstate(divide="ignore"):
+            stay = np.append(rows[c] + np.log(c - discount * np.arange(1, c + 1)), -np.inf)
+        rows.append(np.logaddexp(stay, np.concatenate([[-np.inf], rows[c]])))
+    return rows
+
+
+_LGAMMA = np.vectorize(math.lgamma, otypes=[float])
+
+
+def stirling_far(c: int, t: np.ndarray, discount: float) -> np.ndarray:
+    """The same for many customers, as the integral of the generating function (1 - (1 - z) ** discount) ** t along the
+    parabola 1 - z = e * (1 + iu) ** 2 through its saddle point, or further from the branch at 1 for few tables."""
+    want = np.log(np.maximum(c / t, 1 + 1e-12))
+    # s = -log(1 - z); the mean size of a table at the saddle point is c / t
+    log_mean = lambda s: np.log(discount) + np.log(-np.expm1(-s)) + s * (1 - discount) - np.log(-np.expm1(-discount * s))
+    low, high = np.full(len(t), 1e-12), (want + math.log(2 / discount)) / (1 - discount) + 5
+    for _ in range(50):
+        s = (low + high) / 2
+        more = log_mean(s) < want
+        low, high = np.where(more, s, low), np.where(more, high, s)
+    s = np.minimum(s, math.log(c / 4))  # few tables: the power of z falls off at about 1 / c
+    mean, e, z = np.exp(log_mean(s)), np.exp(-s), -np.expm1(-s)
+    spread = np.maximum(t * mean * (1 + (1 - discount) * np.expm1(s) - mean), 1e-9)
+    width = np.minimum(z / (2 * e * np.sqrt(spread)), 1 / np.sqrt(2 * c * e))
+    step = 14 * width / NODES
+    v = 1 + 1j * step[:, None] * np.arange(NODES)
+    at_saddle = t * np.log(-np.expm1(-discount * s)) - (c + 1) * np.log(z)
+    f = t[:, None] * np.log(1 - (e**discount)[:, None] * v ** (2 * discount)) - (c + 1) * np.log(1 - e[:, None] * v * v)
+    real = (np.exp(f - at_saddle[:, None]) * v).real
+    total = (real.sum(axis=1) - 0.5 * real[:, 0]) * step * 2 * e / np.pi
+    return math.lgamma(c + 1) - _LGAMMA(t + 1) - t * math.log(discount) + at_saddle + np.log(np.maximum(total, 1e-300))
+
+
+def _drawn_far(c: int, log_a: float, log_h: float, alpha: float, beta: float, u: float, discount: float) -> int:
+    def weight(t: np.ndarray) -> np.ndarray:
+        out = stirling_far(c, t, discount) + t * log_a + log_h
+        if beta < 0:
+            return out + (t - 1) * log_h
+        return out + _LGAMMA(alpha + t) - math.lgamma(alpha + 1) - _LGAMMA(beta + t) + math.lgamma(beta + 1)
+
+    low, high = 1.0, float(c)
+    while high - low > 64:  # the weights have one peak
+        t = np.linspace(low, high, 17)
+        k = int(np.argmax(weight(t)))
+        low, high = t[max(0, k - 1)], t[min(16, k + 1)]
+        if high - low < 0.02 * high:
+            break
+    top = (low + high) / 2
+    step = max(1.0, 0.01 * top)
+    bend = -(weight(np.array([max(1.0, top - step), top, min(float(c), top + step)])) @ np.array([1, -2, 1.0])) / step**2
+    reach = 12 / math.sqrt(max(bend, 1e-12)) + (high - low) + 30
+    t = np.arange(max(1, math.floor(top - reach)), min(c, math.ceil(top + reach)) + 1, dtype=float)
+    w = weight(t)
+    total = np.cumsum(np.exp(w - w.max()))
+    return int(t[min(len(t) - 1, int(np.searchsorted(total, u * total[-1])))])
+
+
+def drawn(c: np.ndarray, log_a: np.ndarray, log_h: np.ndarray, alpha: np.ndarray | None, beta: np.ndarray | None, u: np.ndarray, discount: float) -> np.ndarray:
+    """The number of tables of each dish of c customers. log_a: of discount times x; log_h: of the parent's probability of
+    the dish; the parent's i-th draw after the first one has (alpha + i) / (beta + i), or log_h again without them."""
+    out, rows = np.ones(len(c), dtype=np.int64), stirling(discount)
+    order = np.argsort(c, kind="stable")
+    sizes, first = np.unique(c[order], return_index=True)
+    for n, a, b in zip(sizes.tolist(), first, np.append(first[1:], len(c)), strict=True):
+        if n < 2:
+            continue
+        if n > ROWS:
+            for i in order[a:b]:
+                out[i] = _drawn_far(n, log_a[i], log_h[i], 0.0 if alpha is None else alpha[i], -1.0 if beta is None else beta[i], u[i], discount)
+            continue
+        t = np.arange(1, n + 1)
+        for x in range(a, b, max(1, 1_000_000 // n)):
+            i = order[x : min(b, x + max(1, 1_000_000 // n))]
+            w = np.empty((len(i), n))
+            w[:, 0] = log_h[i]
+            if beta is None:
+                w[:, 1:] = log_h[i][:, None]
+            else:
+                w[:, 1:] = np.log((alpha[i][:, None] + t[:-1]) / (beta[i][:, None] + t[:-1]))
+            w = np.cumsum(w + log_a[i][:, None], axis=1) + rows[n]
+            total = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
+            out[i] = (total < u[i][:, None] * total[:, -1:]).sum(axis=1) + 1
+    return out
+
+
+class Families:
+    """Restaurants of pairs of context words, with the parents that they share.
+
+    c2: customers of each dish of a pair's restaurant; dish: the same dish of the parent; pair: the restaurant. family:
+    the parent of each of its dishes; share: what the corpus restaurant predicts for it. Keys tell dishes and
+    restaurants apart, whatever else is in the same task. A dish without customers has no tables.
+    """
+
+    def __init__(self, c2: np.ndarray, dish: np.ndarray, pair: np.ndarray, family: np.ndarray, share: np.ndarray, keys: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], strength: float, discount: float) -> None:
+        self.c2, self.dish, self.pair, self.family, self.share = c2, dish, pair, family, share
+        self.keys, self.strength, self.discount = keys, strength, discount
+        self.pairs, self.families = (int(x.max()) + 1 if len(x) else 0 for x in (pair, family))
+        self.guests2 = np.bincount(pair, weights=c2, minlength=self.pairs)
+        self.t2 = np.minimum(c2, 1)
+        self.arrived()
+        self.t1 = np.minimum(self.c1, 1)
+        self.many = np.flatnonzero(c2 >= 2)  # a single customer has one table whatever happens
+        self.busy = np.unique(pair[self.many])
+
+    def arrived(self) -> None:
+        """The parents' customers are the tables of the pairs."""
+        self.held2 = np.bincount(self.pair, weights=self.t2, minlength=self.pairs)
+        self.c1 = np.bincount(self.dish, weights=self.t2, minlength=len(self.family)).astype(np.int64)
+        self.guests1 = np.bincount(self.family, weights=self.c1, minlength=self.families)
+
+    def sweep(self, number: int) -> None:
+        """Draws all tables once: pairs given their parents, then the parents."""
+        d, s, many, busy = self.discount, self.strength, self.many, self.busy
+        held1 = np.bincount(self.family, weights=self.t1, minlength=self.families)
+        if len(many):
+            x = np.zeros(self.pairs)
+            x[busy] = gamma(s / d + self.held2[busy], self.keys[0][busy] + np.uint64(2 * number))
+            at, f = self.dish[many], self.family[self.dish[many]]
+            # the parent without this dish's own customers there
+            own, c1, t1 = self.t2[many], self.c1[at], self.t1[at]
+            left = c1 - own
+            tables = np.where(left > 0, np.clip(t1 * left / np.maximum(c1, 1), 1, None), 0.0)
+            others = held1[f] - (t1 - tables)
+            guests = self.guests1[f] - own
+            h = (left - d * tables + (s + d * others) * self.share[at]) / (s + guests)
+            alpha = left - d * np.maximum(tables, 1) + (s + d * (others + (tables == 0))) * self.share[at]
+            self.t2[many] = drawn(self.c2[many], np.log(d * x[self.pair[many]]), np.log(h), alpha, s + guests, uniform(self.keys[1][many], number), d)
+            self.arrived()
+        self.t1 = np.minimum(np.maximum(self.t1, self.c1 > 0), self.c1)
+        held1 = np.bincount(self.family, weights=self.t1, minlength=self.families)
+        some = np.flatnonzero(self.c1 >= 2)
+        if len(some):
+            x = gamma(s / d + held1, self.keys[2] + np.uint64(2 * number))
+            self.t1[some] = drawn(self.c1[some], np.log(d * x[self.family[some]]), np.log(self.share[some]), None, None, uniform(self.keys[3][some], number), d)
+
+    def sampled(self, burn: int, samples: int) -> dict[str, np.ndarray]:
+        """Sums over the samples of tables (t2, t1), of the parents' customers (c1), and of both by restaurant."""
+        for n in range(burn):
+            self.sweep(n)
+        out = {k: np.zeros(n, dtype=np.int64) for k, n in (("t2", len(self.c2)), ("held2", self.pairs), ("c1", len(self.family)), ("t1", len(self.family)), ("guests1", self.families), ("held1", self.families))}
+        for n in range(samples):
+            self.sweep(burn + n)
+            held1 = np.bincount(self.family, weights=self.t1, minlength=self.families)
+            for k, x in (("t2", self.t2), ("held2", self.held2), ("c1", self.c1), ("t1", self.t1), ("guests1", self.guests1), ("held1", held1)):
+                out[k] += x.astype(np.int64)
+        return out
+
+
+def corpus_tables(customers: np.ndarray, words: np.ndarray, strength: float, discount: float, burn: int, samples: int) -> np.ndarray:
+    """The corpus restaurant's mean number of tables for words of so many customers; words: how many there are of each."""
+    known, rng, total = float(words.sum()), np.random.default_rng(1), np.zeros(len(customers))
+    held = known
+    for n in range(burn + samples):
+        log_a = math.log(discount * rng.gamma(strength / discount + held)) - math.log(known + 1)
+        mean = np.ones(len(customers))
+        for i, (c, k) in enumerate(zip(customers.tolist(), words.tolist(), strict=True)):
+            if 1 < c <= ROWS:
+                t = np.arange(1, c + 1)
+                w = stirling(discount)[c] + t * log_a
+                w = np.exp(w - w.max())
+                mean[i] = rng.multinomial(k, w / w.sum()) @ t / k
+            elif c > ROWS:
+                mean[i] = np.mean([_drawn_far(c, log_a, 0.0, 0.0, -1.0, rng.random(), discount) for _ in range(k)])
+        held = float(mean @ words)
+        if n >= burn:
+            total += mean
+    return total / max(1, samples)
 
 
 class _Words:
@@ -72,15 +278,17 @@ class _Words:
     def __init__(self, block: Block, buckets: int, modulus: int, held_out: int) -> None:
         of_words, begin = hashed(block.bytes, block.starts)
         self.lengths = np.diff(begin) + 1
-        # each text as a start, its words and an end
-        starts = np.concatenate([[0], np.cumsum(self.lengths + 1)]).astype(np.int64)
+        # each text as two starts, its words and an end
+        starts = np.concatenate([[0], np.cumsum(self.lengths + 2)]).astype(np.int64)
         h = np.full(starts[-1], _END, dtype=np.uint64)
         h[starts[:-1]] = _START
-        h[np.arange(len(of_words)) + 2 * np.repeat(np.arange(len(self.lengths)), np.diff(begin)) + 1] = of_words
+        h[starts[:-1] + 1] = _START
+        h[np.arange(len(of_words)) + 3 * np.repeat(np.arange(len(self.lengths)), np.diff(begin)) + 2] = of_words
         self.held_out = np.array([zlib.crc32(b"" if i is None else str(i).encode()) % modulus == held_out for i in block.ids], dtype=bool)
         self.words, self.place = np.unique(h, return_inverse=True)
         cur = np.ones(len(h), dtype=bool)
         cur[starts[:-1]] = False
+        cur[starts[:-1] + 1] = False
         self.at = np.flatnonzero(cur)
         self.token = self.place[self.at]  # of each token, the word
         self.train, self.buckets = np.repeat(~self.held_out, self.lengths), buckets
@@ -105,226 +313,185 @@ class _Words:
         return count
 
 
-class _Pairs(_Words):
-    """A block's distinct words and pairs of a context and a word, with the pair of each token."""
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    new = np.ones(len(x), dtype=bool)
+    new[1:] = x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+class _Triples(_Words):
+    """A block's distinct triples of a parent, a word and a first context word, with the triple of each token.
+
+    They are in the order of their parents' buckets, then parents, words and first context words.
+    """
 
-    def __init__(self, block: Block, hot: np.ndarray, buckets: int, modulus: int, held_out: int, samples: int) -> None:
+    def __init__(self, block: Block, hot: np.ndarray, buckets: int, modulus: int, held_out: int) -> None:
         super().__init__(block, buckets, modulus, held_out)
-        code = self.place[self.at - 1].astype(np.int64) * max(1, len(self.words)) + self.token
-        pairs, self.pair = np.unique(code, return_inverse=True)
-        self.count = np.bincount(self.pair, weights=self.train, minlength=len(pairs)).astype(np.int64)
-        self.left, self.right = np.divmod(pairs, max(1, len(self.words)))
-        dealt = ((self.words >> np.uint64(40)) % np.uint64(buckets)).astype(np.uint32)
-        bucket = dealt[self.left]
-        self.hot = np.isin(self.words, hot)
-        at_hot = np.flatnonzero(self.hot[self.left])
-        u, w = self.words[self.left[at_hot]], self.words[self.right[at_hot]]
-        bucket[at_hot] = _dealt(u, w % np.uint64(PARTS), buckets)
-        # pairs are in order of context and word already
-        self.order = np.argsort(bucket.astype(np.uint16) if buckets < 65536 else bucket, kind="stable")
-        self.cuts = np.searchsorted(bucket[self.order], np.arange(buckets + 1))
-        self.samples = samples
+        n = max(1, len(self.words))
+        first, second = self.place[self.at - 2].astype(np.int64), self.place[self.at - 1].astype(np.int64)
+        part = np.where(np.isin(self.words, hot)[second], (self.words[first] % np.uint64(PARTS)).astype(np.int64) + 1, 0)
+        families, family = np.unique(second * (PARTS + 1) + part, return_inverse=True)
+        keys = mix(self.words[families // (PARTS + 1)] + mix((families % (PARTS + 1)).astype(np.uint64)))
+        dealt = ((keys >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(dealt, kind="stable")
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        self.families, dealt = keys[order], dealt[order]
+        dishes, dish = np.unique(rank[family] * n + self.token, return_inverse=True)
+        triples, self.triple = np.unique(dish.astype(np.int64) * n + first, return_inverse=True)
+        self.count = np.bincount(self.triple, weights=self.train, minlength=len(triples)).astype(np.int64)
+        self.dish, self.first = np.divmod(triples, n)
+        self.family, self.right = np.divmod(dishes, n)
+        edges = np.arange(buckets + 1)
+        self.dish_cuts = np.searchsorted(dealt[self.family], edges)
+        self.triple_cuts = np.searchsorted(dealt[self.family[self.dish]], edges)
+
+    def _part(self, b: int) -> tuple[slice, slice]:
+        return slice(self.dish_cuts[b], self.dish_cuts[b + 1]), slice(self.triple_cuts[b], self.triple_cuts[b + 1])
 
     def questions(self, count: np.ndarray, n: float) -> list[tuple[int, bytes]]:
         """count: the training tokens of each word in all blocks, of n."""
         shares = np.rint(-np.log(np.maximum(count, 1e-9) / max(n, 1.0)) / _STEP).clip(0, 65535).astype(np.uint16)
         out = []
-        for b in np.flatnonzero(np.diff(self.cuts)):
-            some = self.order[self.cuts[b] : self.cuts[b + 1]]
-            left = self.left[some]
-            new = np.flatnonzero(np.concatenate([[True], left[1:] != left[:-1]]))
-            w, c = self.words[self.right[some]], self.count[some]
-            big = np.flatnonzero(c > 254)
-            small = np.minimum(c, 255).astype(np.uint8)
-            u = self.words[left[new]]
-            out.append((int(b), pack((u >> np.uint64(32)).astype(np.uint32), (u >> np.uint64(16)).astype(np.uint16), np.diff(np.append(new, len(some))).astype(np.int32), (w >> np.uint64(32)).astype(np.uint32), (w >> np.uint64(24)).astype(np.uint8), small, big.astype(np.int32), c[big], shares[self.right[some]], np.array([b], dtype=np.int64))))
+        for b in np.flatnonzero(np.diff(self.dish_cuts)):
+            dishes, triples = self._part(b)
+            family, w, c = self.family[dishes], self.words[self.right[dishes]], self.count[triples]
+            heads, each = _runs(family), np.bincount(self.dish[triples] - dishes.start)
+            first = mix(self.words[self.first[triples]])
+            key = self.families[family[heads]]
+            big, large = np.flatnonzero(c > 254), np.flatnonzero(each > 254)
+            out.append((int(b), pack(
+                (key >> np.uint64(32)).astype(np.uint32), (key >> np.uint64(16)).astype(np.uint16), np.diff(np.append(heads, len(family))).astype(np.int32),
+                (w >> np.uint64(32)).astype(np.uint32), (w >> np.uint64(24)).astype(np.uint8), shares[self.right[dishes]], np.minimum(each, 255).astype(np.uint8), large.astype(np.int32), each[large].astype(np.int64),
+                (first >> np.uint64(48)).astype(np.uint16), (first >> np.uint64(40)).astype(np.uint8), np.minimum(c, 255).astype(np.uint8), big.astype(np.int32), c[big],
+            )))
         return out
 
-    def told(self, answers: Answer, totals: dict[int, tuple[float, float]], strength: float, discount: float):
-        """For each pair its own share and the weight of the parent, and its tables for each customer."""
-        own, weight, share = np.zeros(len(self.left)), np.ones(len(self.left)), np.zeros(len(self.left))
+    def told(self, answers: Answer, strength: float, discount: float, samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each triple its probability without the corpus restaurant's part, and that part's weight; of the tables
+        of each of the parents' dishes those that this block is to pass on."""
+        own, weight, tables = np.zeros(len(self.dish)), np.ones(len(self.dish)), np.zeros(len(self.family), dtype=np.int64)
         for b, payload in answers.items():
             if b < 0:
                 continue
-            some = self.order[self.cuts[b] : self.cuts[b + 1]]
-            codes, upper, count, tables, guests, held = _spread_out(payload)
-            code = codes.astype(np.int64) | (upper.astype(np.int64) << 8)
-            left = self.left[some]
-            new = np.flatnonzero(np.concatenate([[True], left[1:] != left[:-1]]))
-            sizes = np.diff(np.append(new, len(some)))
-            guests, held = _whole(guests).astype(float), _whole(held) / self.samples
-            for n in np.flatnonzero(self.hot[left[new]]):
-                guests[n], held[n] = totals.get(int(self.words[left[new[n]]] >> np.uint64(16)), (guests[n], held[n]))
-            tables = tables / self.samples
-            own[some] = (count - discount * tables)[code] / np.repeat(strength + guests, sizes)
-            weight[some] = np.repeat((strength + discount * held) / (strength + guests), sizes)
-            share[some] = (tables / np.maximum(count, 1))[code]
-        return own, weight, share
-
-    def word_questions(self, share: np.ndarray) -> list[tuple[int, bytes]]:
-        tables = np.bincount(self.token, weights=share[self.pair] * self.train, minlength=len(self.words)).astype(np.float32)
+            dishes, triples = self._part(b)
+            low, high, c2, t2, guests2, held2, low1, high1, c1, t1, guests1, held1, passed, many, those = _spread_out(payload)
+            code, code1 = (x.astype(np.int64) | (y.astype(np.int64) << 8) for x, y in ((low, high), (low1, high1)))
+            family = self.family[dishes]
+            heads = _runs(family)
+            sizes = np.diff(np.append(heads, len(family)))
+            guests1, held1 = (np.repeat(_whole(x).astype(float), sizes) for x in (guests1, held1))
+            total1 = samples * strength + guests1
+            here = self.dish[triples] - dishes.start
+            a1, b1 = (c1 - discount * t1)[code1] / total1, (samples * strength + discount * held1) / total1
+            total2 = samples * (strength + guests2)
+            a2, b2 = ((samples * c2 - discount * t2) / total2)[code], ((samples * strength + discount * held2) / total2)[code]
+            own[triples], weight[triples] = a2 + b2 * a1[here], b2 * b1[here]
+            mine = passed.astype(np.int64)
+            mine[many] = those
+            tables[dishes] = mine
+        return own, weight, tables
+
+    def word_questions(self, tables: np.ndarray) -> list[tuple[int, bytes]]:
+        total = np.bincount(self.right, weights=tables, minlength=len(self.words))
         out = []
         for b in np.flatnonzero(np.diff(self.word_cuts)):
             some = self.word_order[self.word_cuts[b] : self.word_cuts[b + 1]]
-            out.append((-_OFFSET - int(b), _squeezed(self.words[some], self.word_count[some].astype(np.uint32), tables[some])))
+            out.append((-_OFFSET - int(b), _squeezed(self.words[some], self.word_count[some].astype(np.uint32), total[some].astype(np.uint32))))
         return out
 
-    def words_told(self, answers: Answer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        count, guests, tables = np.zeros(len(self.words)), np.zeros(len(self.words)), np.zeros(len(self.words))
+    def words_told(self, answers: Answer) -> tuple[np.ndarray, np.ndarray]:
+        count, guests = np.zeros(len(self.words)), np.zeros(len(self.words), dtype=np.int64)
         for b, payload in answers.items():
             if b <= -_OFFSET:
                 k = -b - _OFFSET
                 some = self.word_order[self.word_cuts[k] : self.word_cuts[k + 1]]
-                count[some], guests[some], tables[some] = _spread_out(payload)
-        return count, guests, tables
+                count[some], guests[some] = _spread_out(payload)
+        return count, guests
 
 
-def seat(c: np.ndarray, group: np.ndarray, parent: np.ndarray, strength: float, discount: float, burn: int, samples: int, rng: np.random.Generator, scale: np.ndarray | float = 1.0) -> np.ndarray:
-    """Mean number of tables of each dish over the sampled seatings.
+def _coded(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows of columns of whole numbers below 2**32, the most frequent first, and each row's number."""
+    code = np.zeros(len(columns[0]), dtype=np.int64)
+    for c in columns:
+        _, mine = np.unique(c, return_inverse=True)
+        _, code = np.unique(code * (int(mine.max(initial=0)) + 1) + mine, return_inverse=True)
+    times = np.bincount(code)
+    usual = np.argsort(-times, kind="stable")
+    rank = np.empty(len(usual), dtype=np.int64)
+    rank[usual] = np.arange(len(usual))
+    first = np.full(len(times), len(code), dtype=np.int64)
+    np.minimum.at(first, code, np.arange(len(code)))
+    return [c[first[usual]] for c in columns], rank[code]
 
-    c: customers of each dish (at least one), group: its restaurant, parent: its probability in the parent. scale:
-    by how much a restaurant is larger than the part of it that is here.
-    """
-    n_groups = int(group.max()) + 1 if len(group) else 0
-    total = np.zeros(len(c))
-    t = np.ones(len(c), dtype=np.int64)
-    scale = np.broadcast_to(np.asarray(scale, dtype=float), (n_groups,))
-    held = np.bincount(group, weights=t, minlength=n_groups)
-    some = np.flatnonzero((c >= 2) & (c <= CAP))
-    some = some[np.argsort(-c[some], kind="stable")]  # those with a j-th customer come first
-    n = c[some]
-    start = np.concatenate([[0], np.cumsum(n)])[:-1]
-    table = np.zeros(int(n.sum()), dtype=np.int16)  # of each customer
-    size = np.zeros(int(n.sum()), dtype=np.int16)  # of each table
-    if len(some):
-        size[start] = n
-    many = np.flatnonzero(c > CAP)
-    g, p = group[some], parent[some]
-    for sweep in range(burn + samples):
-        for j in range(int(n[0]) if len(some) else 0):
-            k = int(np.searchsorted(-n, -j, side="left"))  # dishes with more than j customers
-            s, at, gg = some[:k], start[:k], g[:k]
-            mine = at + table[at + j]
-            size[mine] -= 1
-            left = size[mine] == 0
-            t[s[left]] -= 1
-            np.subtract.at(held, gg[left], 1.0)
-            fresh = (strength + discount * held[gg] * scale[gg]) * p[:k]
-            known = np.maximum(n[:k] - 1 - discount * t[s], 0.0)
-            new = rng.random(k) * (fresh + known) < fresh
-            new |= known <= 0
-            # an old table: another customer's, kept in proportion to its size less the discount
-            choice = np.zeros(k, dtype=np.int64)
-            todo = np.flatnonzero(~new)
-            while len(todo):
-                other = (rng.random(len(todo)) * (n[todo] - 1)).astype(np.int64)
-                other += other >= j
-                where = table[at[todo] + other]
-                z = size[at[todo] + where]
-                ok = rng.random(len(todo)) * z < z - discount
-                choice[todo[ok]] = where[ok]
-                todo = todo[~ok]
-            if new.any():
-                x = np.flatnonzero(new)
-                # the first empty place for a table
-                free = np.full(len(x), -1, dtype=np.int64)
-                for q in range(int(n[0])):
-                    miss = np.flatnonzero(free < 0)
-                    miss = miss[q < n[x[miss]]]
-                    if not len(miss):
-                        break
-                    empty = size[at[x[miss]] + q] == 0
-                    free[miss[empty]] = q
-                choice[x] = free
-                t[s[x]] += 1
-                np.add.at(held, gg[x], 1.0)
-            table[at + j] = choice
-            size[at + choice] += 1
-        if len(many):
-            np.subtract.at(held, group[many], t[many].astype(float))
-            t[many] = _seated_anew(c[many], (strength + discount * held[group[many]] * scale[group[many]]), discount, parent[many], rng)
-            np.add.at(held, group[many], t[many].astype(float))
-        if sweep >= burn:
-            total += t
-    return total / max(1, samples)
 
+def _answer_codes(tables: list[np.ndarray], code: np.ndarray) -> list[np.ndarray]:
+    """The codes that a block needs, in two planes, and what they stand for."""
+    known, mine = np.unique(code, return_inverse=True)
+    return [mine.astype(np.uint8), (mine >> 8).astype(np.uint16), *[t[known].astype(np.float64) for t in tables]]
 
-def _seated_anew(c: np.ndarray, weight: np.ndarray, discount: float, parent: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Tables after all customers of a dish came one after another, the number of new tables drawn for steps that
-    double the customers. weight: strength and discount times the tables of the other dishes."""
-    t, seen = np.ones(len(c), dtype=np.int64), np.ones(len(c), dtype=np.int64)
-    while (seen < c).any():
-        step = np.minimum(np.maximum(1, seen // 2), c - seen)
-        fresh = (weight + discount * t) * parent
-        share = fresh / (fresh + np.maximum(seen - discount * t, 1e-9))
-        t += rng.binomial(step, np.clip(share, 0, 1))
-        seen += step
-    return t
 
-
-def _seater(hot: np.ndarray, buckets: int, strength: float, discount: float, burn: int, samples: int):
+def _seater(strength: float, discount: float, burn: int, samples: int):
     def answer(payloads: list[bytes]) -> list[bytes]:
         parts = [unpack(p) for p in payloads]
-        u = np.concatenate([(p[0].astype(np.uint64) << np.uint64(16)) | p[1] for p in parts])
-        w = np.concatenate([(p[3].astype(np.uint64) << np.uint64(8)) | p[4] for p in parts])
-        counts = []
+        join = lambda make: np.concatenate([make(p) for p in parts])
+
+        def full(small: int, places: int, values: int) -> np.ndarray:
+            out = []
+            for p in parts:
+                x = p[small].astype(np.int64)
+                x[p[places]] = p[values]
+                out.append(x)
+            return np.concatenate(out)
+
+        families, here = np.unique(join(lambda p: (p[0].astype(np.uint64) << np.uint64(16)) | p[1]), return_inverse=True)
+        of = np.repeat(here, join(lambda p: p[2]))
+        w = join(lambda p: (p[3].astype(np.uint64) << np.uint64(8)) | p[4])
+        each, count = full(6, 7, 8), full(11, 12, 13)
+        order = np.lexsort((w, of))
+        new = np.ones(len(w), dtype=bool)
+        new[1:] = (of[order][1:] != of[order][:-1]) | (w[order][1:] != w[order][:-1])
+        heads = order[new]  # of equal dishes the first block's, as the order is stable
+        dish = np.empty(len(w), dtype=np.int64)
+        dish[order] = np.cumsum(new) - 1
+        family, word = of[heads], w[heads]
+        share = np.exp(-_STEP * join(lambda p: p[5])[heads].astype(float))
+        first = join(lambda p: (p[9].astype(np.uint64) << np.uint64(8)) | p[10])
+        of_triple = np.repeat(dish, each)
+        # a dish's number has fewer than 40 bits, a first context word 24
+        kinds, triple = np.unique((of_triple.astype(np.uint64) << np.uint64(24)) | first, return_inverse=True)
+        c2 = np.bincount(triple, weights=count, minlength=len(kinds)).astype(np.int64)
+        at, context = (kinds >> np.uint64(24)).astype(np.int64), kinds & np.uint64((1 << 24) - 1)
+        contexts, pair = np.unique((family[at].astype(np.uint64) << np.uint64(24)) | context, return_inverse=True)
+        key1 = mix(families)
+        key_dish = mix(key1[family] + word)
+        key_pair = mix(key1[(contexts >> np.uint64(24)).astype(np.int64)] + mix((contexts & np.uint64((1 << 24) - 1)) + np.uint64(1)))
+        run = Families(c2, at, pair, family, share, (key_pair, mix(key_pair[pair] + key_dish[at]), key1, key_dish), strength, discount)
+        got = run.sampled(burn, samples)
+        table2, code2 = _coded(c2, got["t2"], run.guests2.astype(np.int64)[pair], got["held2"][pair])
+        table1, code1 = _coded(got["c1"], got["t1"])
+        guests1, held1 = got["guests1"], got["held1"]
+        passed = np.zeros(len(w), dtype=np.int64)
+        passed[heads] = run.t1
+        out, a, b, f = [], 0, 0, 0
         for p in parts:
-            c = p[5].astype(np.int64)
-            c[p[6]] = p[7]
-            counts.append(c)
-        contexts, here = np.unique(u, return_inverse=True)
-        if len(contexts) >= 1 << 24:
-            raise ValueError("too many contexts in one bucket; take smaller blocks")
-        of = np.repeat(here, np.concatenate([p[2] for p in parts])).astype(np.uint64)
-        # 40 bits of the word below 24 of the context's rank
-        kinds, kind = np.unique((of << np.uint64(40)) | w, return_inverse=True)
-        total = np.bincount(kind, weights=np.concatenate(counts)).astype(np.int64)
-        group = (kinds >> np.uint64(40)).astype(np.int64)
-        have = np.flatnonzero(total > 0)
-        shares = np.zeros(len(kinds), dtype=np.uint16)
-        shares[kind] = np.concatenate([p[8] for p in parts])
-        parent = np.exp(-_STEP * shares[have])
-        rng = np.random.default_rng(int(contexts[0]) % (1 << 32))
-        # restaurants without customers here have no number in between
-        used, gi = np.unique(group[have], return_inverse=True)
-        # of a common context, as many parts as are dealt to this bucket
-        here_of = (_dealt(np.repeat(hot, PARTS), np.tile(np.arange(PARTS, dtype=np.uint64), len(hot)), buckets) == np.uint64(parts[0][9][0])).reshape(-1, PARTS).sum(axis=1)
-        larger = dict(zip((hot >> np.uint64(16)).tolist(), (PARTS / np.maximum(here_of, 1)).tolist(), strict=True))
-        scale = np.array([larger.get(x, 1.0) for x in contexts[used].tolist()])
-        tables = np.zeros(len(total))
-        if len(have):
-            tables[have] = seat(total[have], gi, parent, strength, discount, burn, samples, rng, scale)
-        whole = np.rint(tables * samples).astype(np.int64)
-        guests = np.bincount(group, weights=total, minlength=len(contexts))
-        held = np.bincount(group, weights=whole, minlength=len(contexts))
-        # pairs of customers and tables by frequency: the usual ones have numbers of one byte
-        combos, code, times = np.unique((total << 32) | whole, return_inverse=True, return_counts=True)
-        rank = np.empty(len(combos), dtype=np.int64)
-        usual = np.argsort(-times, kind="stable")
-        rank[usual] = np.arange(len(combos))
-        combos, code = combos[usual], rank[code]
-        out, at, first = [], 0, 0
-        for n, p in enumerate(parts):
-            mine = code[kind[at : at + len(counts[n])]]
-            at += len(counts[n])
-            known, mine = np.unique(mine, return_inverse=True)
-            mine_contexts = here[first : first + len(p[0])]
-            first += len(p[0])
-            out.append(_squeezed(mine.astype(np.uint8), (mine >> 8).astype(np.uint16), (combos[known] >> 32).astype(np.float64), (combos[known] & (2**32 - 1)).astype(np.float64), _planes(guests[mine_contexts]), _planes(held[mine_contexts])))
-        # the first answer also carries what this bucket has of common contexts
-        some = np.flatnonzero(np.isin(contexts, hot >> np.uint64(16)))
-        out[0] = pack(np.frombuffer(out[0], dtype=np.uint8), contexts[some], guests[some], held[some] / samples)
-        return [out[0], *[pack(np.frombuffer(x, dtype=np.uint8), *[np.zeros(0)] * 3) for x in out[1:]]]
+            mine, those, mine_families = slice(a, a + len(p[3])), slice(b, b + len(p[9])), here[f : f + len(p[0])]
+            a, b, f = mine.stop, those.stop, f + len(p[0])
+            t = passed[mine]
+            many = np.flatnonzero(t > 255)
+            out.append(_squeezed(*_answer_codes(table2, code2[triple[those]]), *_answer_codes(table1, code1[dish[mine]]), _planes(guests1[mine_families]), _planes(held1[mine_families]), t.astype(np.uint8), many.astype(np.int32), t[many]))
+        return out
 
     return answer
 
 
-def _counter(payloads: list[bytes]) -> list[bytes]:
+def _counter(payloads: list[bytes], common: float) -> list[bytes]:
     parts = [_spread_out(p) for p in payloads]
     words, kind = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     count, every = (np.bincount(kind, weights=np.concatenate([p[k] for p in parts])) for k in (1, 2))
-    # words with a thousandth of all tokens have one of this bucket's too
-    some = np.flatnonzero((every > 0) & (every * 1000 >= every.sum()))
+    # words with a share of all tokens have it of this bucket's too
+    some = np.flatnonzero((every > 0) & (every >= common * every.sum()))
     head = [np.array([count.sum(), (count > 0).sum(), every.sum()]), words[some], every[some]]
     out, at = [], 0
     for n, p in enumerate(parts):
@@ -334,31 +501,24 @@ def _counter(payloads: list[bytes]) -> list[bytes]:
     return out
 
 
-def _word_seater(known: float, strength: float, discount: float, burn: int, samples: int):
-    def answer(payloads: list[bytes]) -> list[bytes]:
-        parts = [_spread_out(p) for p in payloads]
-        words, kind = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        count = np.bincount(kind, weights=np.concatenate([p[1] for p in parts]))
-        guests = np.bincount(kind, weights=np.concatenate([p[2] for p in parts]).astype(float))
-        have = np.flatnonzero(count > 0)
-        tables = np.zeros(len(words))
-        if len(have):
-            whole = np.maximum(1, np.rint(guests[have])).astype(np.int64)
-            rng = np.random.default_rng(int(words[0]) % (1 << 32))
-            tables[have] = seat(whole, np.zeros(len(have), dtype=np.int64), np.full(len(have), 1 / (known + 1)), strength, discount, burn, samples, rng, known / len(have))
-        out, at = [], 0
-        for p in parts:
-            mine = kind[at : at + len(p[0])]
-            at += len(p[0])
-            out.append(_squeezed(count[mine], guests[mine], tables[mine]))
-        head = np.array([count.sum(), len(have), guests[have].sum(), tables.sum()])
-        return [pack(np.frombuffer(x, dtype=np.uint8), head if n == 0 else np.zeros(0)) for n, x in enumerate(out)]
-
-    return answer
+def _word_adder(payloads: list[bytes]) -> list[bytes]:
+    """Training tokens and customers of the corpus restaurant by word; the first answer has numbers of words by customers."""
+    parts = [_spread_out(p) for p in payloads]
+    words, kind = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    count, guests = (np.bincount(kind, weights=np.concatenate([p[k] for p in parts]), minlength=len(words)) for k in (1, 2))
+    customers, times = np.unique(guests[guests > 0].astype(np.int64), return_counts=True)
+    out, at = [], 0
+    for n, p in enumerate(parts):
+        mine = kind[at : at + len(p[0])]
+        at += len(p[0])
+        some = slice(None) if n == 0 else slice(0)
+        out.append(pack(np.frombuffer(_squeezed(count[mine], guests[mine].astype(np.int64)), dtype=np.uint8), customers[some], times[some]))
+    return out
 
 
-def _plain(answers: list[dict] | None) -> Answer:
-    return {a["round_bucket"]: unpack(a["payload"])[0].tobytes() for a in answers or ()}
+def _plain(answers: Answer) -> Answer:
+    """Answers without what their bucket says in sum."""
+    return {b: unpack(x)[0].tobytes() if b <= -_OFFSET else x for b, x in answers.items()}
 
 
 def _totals_of_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,72 +531,73 @@ def _totals_of_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), *[pa.float64()] * 3), strict=True)], names=["word", "n", "v", "every"])
 
 
-def counted(blocks: DataFrame, buckets: int, modulus: int, held_out: int) -> tuple[DataFrame, float, float, np.ndarray]:
-    """Answers with each word's training tokens, their sum, the number of known words, and the words with a thousandth
+def counted(blocks: DataFrame, buckets: int, modulus: int, held_out: int, common: float = 0.001) -> tuple[DataFrame, float, float, np.ndarray]:
+    """Answers with each word's training tokens, their sum, the number of known words, and the words with that share
     of all tokens or more."""
-    answers = written(answered(asked(blocks, lambda block, _: _Words(block, buckets, modulus, held_out).count_questions()), _counter), "counts")
+    answers = written(answered(asked(blocks, lambda block, _: _Words(block, buckets, modulus, held_out).count_questions()), lambda payloads: _counter(payloads, common)), "counts")
     totals = answers.select("payload").mapInArrow(lean(_totals_of_counts), "word long, n double, v double, every double")
     n, v, every = (x or 0.0 for x in totals.where("word IS NULL").agg(F.sum("n"), F.sum("v"), F.sum("every")).first())
-    common = totals.where(F.col("word").isNotNull() & (F.col("every") * 1000 >= every)).select("word").collect()
-    return answers, n, v, np.unique(np.array([r[0] for r in common], dtype=np.int64).view(np.uint64))
+    found = totals.where(F.col("word").isNotNull() & (F.col("every") >= common * every)).select("word").collect()
+    return answers, n, v, np.unique(np.array([r[0] for r in found], dtype=np.int64).view(np.uint64))
 
 
-def _totals_of_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _by_customers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for p in batch.column("payload").to_pylist():
-            _, u, g, t = unpack(p)
-            if len(u):
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(g.astype(float)), pa.array(t.astype(float))], names=["u", "guests", "tables"])
+            _, customers, times = unpack(p)
+            if len(customers):
+                yield pa.RecordBatch.from_arrays([pa.array(customers), pa.array(times.astype(np.int64))], names=["customers", "words"])
 
 
-def _totals_of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for p in batch.column("payload").to_pylist():
-            head = unpack(p)[1]
-            if len(head):
-                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in head], names=["n", "v", "guests", "tables"])
-
-
-def score(docs: DataFrame, modulus: int = 5, held_out: int = 1, strength: float = 1.0, discount: float = 0.75, burn: int = 2, samples: int = 3, block_bytes: int = 8_000_000) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: log10 probabilities of whole texts."""
+def score(docs: DataFrame, modulus: int = 5, held_out: int = 1, strength: float = 1.0, discount: float = 0.75, burn: int = 2, samples: int = 4, common: float = 0.001, block_bytes: int = 8_000_000, by_token: bool = False) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: log10 probabilities of whole texts; with
+    by_token also those of the tokens in order, as token_scores."""
     blocks = in_blocks(docs, block_bytes)
     buckets = max(8, blocks.count())
-    zeroth, tokens, known_words, hot = counted(blocks, buckets, modulus, held_out)
+    zeroth, tokens, known_words, hot = counted(blocks, buckets, modulus, held_out, common)
 
-    def pairs(block: Block) -> _Pairs:
-        return _Pairs(block, np.append(hot, _START), buckets, modulus, held_out, samples)
+    def triples(block: Block) -> _Triples:
+        return _Triples(block, hot, buckets, modulus, held_out)
 
-    def ask_pairs(block: Block, answers: Answer) -> list[tuple[int, bytes]]:
-        p = pairs(block)
+    def ask_triples(block: Block, answers: Answer) -> list[tuple[int, bytes]]:
+        p = triples(block)
         return p.questions(p.counts_told({b: unpack(x)[0].tobytes() for b, x in answers.items()}), tokens)
 
-    first = written(answered(asked(with_answers(blocks, zeroth), ask_pairs), _seater(np.append(hot, _START), buckets, strength, discount, burn, samples)), "seatings")
-    summed = first.select("payload").mapInArrow(lean(_totals_of_contexts), "u long, guests double, tables double").groupBy("u").agg(F.sum("guests"), F.sum("tables"))
-    totals = {r[0]: (r[1], r[2]) for r in summed.collect()}  # a row for each common context
+    first = written(answered(asked(with_answers(blocks, zeroth), ask_triples), _seater(strength, discount, burn, samples)), "seatings")
 
     def ask_words(block: Block, answers: Answer) -> list[tuple[int, bytes]]:
-        p = pairs(block)
-        return p.word_questions(p.told({b: unpack(x)[0].tobytes() for b, x in answers.items()}, totals, strength, discount)[2])
-
-    second = written(answered(asked(with_answers(blocks, first), ask_words), _word_seater(known_words, strength, discount, burn, samples)), "words")
-    n, v, guests, tables = (x or 0.0 for x in second.select("payload").mapInArrow(lean(_totals_of_words), "n double, v double, guests double, tables double").agg(*[F.sum(c) for c in ("n", "v", "guests", "tables")]).first())
+        p = triples(block)
+        return p.word_questions(p.told(answers, strength, discount, samples)[2])
+
+    second = written(answered(asked(with_answers(blocks, first), ask_words), _word_adder), "words")
+    # numbers of customers that differ are fewer than the root of twice their sum
+    by_customers = second.select("payload").mapInArrow(lean(_by_customers), "customers long, words long").groupBy("customers").agg(F.sum("words").alias("words")).orderBy("customers").collect()
+    customers, words = (np.array([r[i] for r in by_customers], dtype=np.int64) for i in range(2))
+    tables = corpus_tables(customers, words, strength, discount, burn, samples)
+    guests, held = float(customers @ words), float(tables @ words)
+    with_base = (np.maximum(np.append(customers, 0) - discount * np.append(tables, 0.0), 0) + (strength + discount * held) / (known_words + 1)) / (strength + guests)
+    shared = docs.sparkSession.sparkContext.broadcast((np.append(customers, 0), with_base))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        customers, with_base = shared.value
         for batch in batches:
             for i in range(batch.num_rows):
                 block = Block(*(batch.column(c)[i].as_py() for c in ("ids", "lengths", "data")))
-                answers = _plain(batch.column("answers")[i].as_py())
-                p = pairs(block)
-                own, weight, _ = p.told(answers, totals, strength, discount)
-                count, g, t = p.words_told(answers)
-                parent = (np.maximum(g - discount * t, 0) + (strength + discount * tables) / (v + 1)) / (strength + guests)
-                logs = np.log10(own + weight * parent[p.right])[p.pair]
-                base = np.log10((count + 0.5) / (n + 0.5 * (v + 1)))[p.token]
-                at = np.concatenate([[0], np.cumsum(p.lengths)])[:-1]
-                add = lambda x: np.add.reduceat(x, at) if len(at) else np.zeros(0)  # noqa: B023, E731
+                answers = _plain({a["round_bucket"]: a["payload"] for a in batch.column("answers")[i].as_py() or ()})
+                p = triples(block)
+                own, weight, _ = p.told(answers, strength, discount, samples)
+                count, g = p.words_told(answers)
+                corpus = with_base[np.where(g > 0, np.searchsorted(customers[:-1], g), len(customers) - 1)]
+                logs = np.log10(own + weight * corpus[p.right][p.dish])[p.triple]
+                base = np.log10((count + 0.5) / (tokens + 0.5 * (known_words + 1)))[p.token]
+                ends = np.concatenate([[0], np.cumsum(p.lengths)])
+                add = lambda x: np.add.reduceat(x, ends[:-1]) if len(ends) > 1 else np.zeros(0)  # noqa: B023, E731
                 known = add((count[p.token] > 0).astype(np.int64))
-                cols = [pa.array(block.ids, pa.int64()), pa.array(p.held_out), pa.array(p.lengths), pa.array(known.astype(np.int64)), pa.array(np.full(len(at), int(n)), pa.int64()), pa.array(add(base)), pa.array(add(logs))]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                cols = [pa.array(block.ids, pa.int64()), pa.array(p.held_out), pa.array(p.lengths), pa.array(known.astype(np.int64)), pa.array(np.full(len(p.lengths), int(tokens)), pa.int64()), pa.array(add(base)), pa.array(add(logs))]
+                names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+                if by_token:
+                    cols, names = [*cols, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(logs))], [*names, "token_scores"]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    kind = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    kind = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double" + (", token_scores array<double>" if by_token else "")
     return with_answers(blocks, first.unionAll(second)).select("ids", "lengths", "data", "answers").mapInArrow(lean(finish), kind)

@@ -136,27 +136,143 @@ def test_language_model(spark, odd, none):
     assert pitman_yor.score(none).count() == 0 and pitman_yor.score(odd).count() == len(ODD)
 
 
-def test_probabilities_sum_to_one(spark):
-    texts = ["a b a c", "b a b", "c c a", "a"]
-    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 != 1][:4]
-    ask = [i for i in range(200, 400) if zlib.crc32(str(i).encode()) % 5 == 1][:4]
-    # P(w, end) over one-word texts with P(end | w) divided out
-    rows = list(zip(ids, texts, strict=True)) + list(zip(ask, ["a", "b", "c", "zzz"], strict=True)) + [(ids[-1] + 500, None)] * 0
-    got = {r.doc_id: r.score for r in pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert sum(10 ** got[i] for i in ask) < 1
+def folds(n, modulus=5, held_out=1):
+    """n ids that train and n that are held out."""
+    out = {i: zlib.crc32(str(i).encode()) % modulus == held_out for i in range(20 * n + 100)}
+    return [i for i in out if not out[i]][:n], [i for i in out if out[i]][:n]
 
 
-def test_seating():
+def test_probabilities_sum_to_one(spark):
+    texts = ["a b a c", "b a b", "c c a", "a", "a b c", "b a c b a c"]
+    train, held = folds(40)
+    # the last word of each: every known word, one unknown, and the end stands for itself
+    starts = ["", "a ", "b a ", "zzz ", "c zzz ", "c c ", "a b a "]
+    asked = [x + w for x in starts for w in ("a", "b", "c", "zzz", "")]
+    rows = list(zip(train, texts, strict=False)) + list(zip(held, asked, strict=False))
+    got = {r.doc_id: r.token_scores for r in pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string"), by_token=True).collect()}
+    for n, start in enumerate(starts):
+        assert sum(10 ** got[i][len(start.split())] for i in held[5 * n : 5 * n + 5]) == pytest.approx(1, abs=1e-9), start
+
+
+def seated(texts, strength, discount, sweeps, burn, seed):
+    """The same model customer by customer: probabilities of a word after a context, averaged over sweeps."""
+    r = random.Random(seed)
+    vocabulary = {w for t in texts for w in t}
+    #: by context (two words, one, none): dish -> sizes of tables
+    rooms = {}
+
+    def probability(w, context):
+        if context is None:
+            return 1 / (len(vocabulary) + 1)
+        parent = None if context == () else context[1:]
+        room = rooms.get(context, {})
+        guests, held = sum(map(sum, room.values())), sum(map(len, room.values()))
+        mine = room.get(w, [])
+        return (sum(mine) - discount * len(mine) + (strength + discount * held) * probability(w, parent)) / (strength + guests)
+
+    def sit(w, context):
+        if context is None:
+            return
+        room = rooms.setdefault(context, {})
+        tables = room.setdefault(w, [])
+        parent = None if context == () else context[1:]
+        fresh = (strength + discount * sum(map(len, room.values()))) * probability(w, parent)
+        k = r.choices(range(len(tables) + 1), [z - discount for z in tables] + [fresh])[0]
+        if k < len(tables):
+            tables[k] += 1
+        else:
+            tables.append(1)
+            sit(w, parent)
+
+    def leave(w, context):
+        if context is None:
+            return
+        tables = rooms[context][w]
+        k = r.choices(range(len(tables)), tables)[0]
+        tables[k] -= 1
+        if not tables[k]:
+            tables.pop(k)
+            leave(w, None if context == () else context[1:])
+
+    customers = [(w, tuple(c)) for t in texts for padded in [["<", "<", *t]] for w, c in zip(t, zip(padded, padded[1:], strict=False), strict=False)]
+    for c in customers:
+        sit(*c)
+    asked = sorted(set(customers))
+    total = dict.fromkeys(asked, 0.0)
+    for n in range(burn + sweeps):
+        for c in customers:
+            leave(*c)
+            sit(*c)
+        if n >= burn:
+            for c in asked:
+                total[c] += probability(*c) / sweeps
+    return total
+
+
+def test_language_model_against_seats_one_by_one(spark):
+    r, (train, _) = random.Random(31), folds(40)
+    texts = [[r.choice("aaabbcdefgh") for _ in range(r.randint(3, 12))] for _ in range(30)] + [list("abcabcabd")] * 6
+    got = pitman_yor.score(spark.createDataFrame([(i, " ".join(t)) for i, t in zip(train, texts, strict=False)], "doc_id long, text string"), samples=40, burn=10, common=2.0, by_token=True).collect()
+    got = {x.doc_id: x.token_scores for x in got}
+    want = seated([[*t, "."] for t in texts], 1.0, 0.75, 300, 30, 7)
+    pairs = []
+    for i, t in zip(train, texts, strict=False):
+        padded = ["<", "<", *t, "."]
+        pairs += [(got[i][k], math.log10(want[padded[k + 2], (padded[k], padded[k + 1])])) for k in range(len(t) + 1)]
+    off = np.array([a - b for a, b in pairs])
+    print(abs(off.mean()), np.abs(off).mean(), np.abs(off).max())
+    assert abs(off.mean()) < 0.01 and np.abs(off).mean() < 0.03 and np.abs(off).max() < 0.15
+
+
+def test_tables_of_one_restaurant():
+    """Mean numbers of tables against seats one by one, the parent's probabilities held."""
+    strength, discount = 1.0, 0.75
+    counts, share = [1, 2, 7, 30, 4], [0.05, 0.3, 0.2, 0.4, 0.0001]
+    r, tables, total = random.Random(5), [[1] * 1 + [c - 1] * (c > 1) for c in counts], np.zeros(5)
+    for n in range(6000):
+        for w, c in enumerate(counts):
+            for _ in range(c):
+                k = r.choices(range(len(tables[w])), tables[w])[0]
+                tables[w][k] -= 1
+                if not tables[w][k]:
+                    tables[w].pop(k)
+                fresh = (strength + discount * sum(map(len, tables))) * share[w]
+                k = r.choices(range(len(tables[w]) + 1), [z - discount for z in tables[w]] + [fresh])[0]
+                tables[w][k : k + 1] = [tables[w][k] + 1] if k < len(tables[w]) else [1]
+        if n >= 500:
+            total += [len(t) for t in tables]
+    copies = 3000  # of the restaurant, with keys of their own; each customer comes from a pair of its own
+    c1 = np.tile(counts, copies)
+    dish, family = np.repeat(np.arange(len(c1)), c1), np.repeat(np.arange(copies), 5)
+    keys = [np.arange(n).astype(np.uint64) * np.uint64(7919) + np.uint64(k << 40) for k, n in enumerate((len(dish), len(dish), copies, len(c1)))]
+    run = pitman_yor.Families(np.ones(len(dish), dtype=np.int64), dish, np.arange(len(dish)), family, np.tile(share, copies), tuple(keys), strength, discount)
+    got = run.sampled(15, 10)["t1"].reshape(copies, 5).mean(axis=0) / 10
+    assert got == pytest.approx(total / 5500, rel=0.04), (got, total / 5500)
+
+
+@pytest.mark.parametrize("discount", [0.3, 0.75, 0.9])
+def test_stirling_numbers(discount):
+    rows = pitman_yor.stirling(discount)
+    assert [math.exp(x) for x in rows[3]] == pytest.approx([(1 - discount) * (2 - discount), 3 * (1 - discount), 1])
+    for c in (500, 2000):
+        t = np.arange(1.0, c - 60)
+        assert np.abs(pitman_yor.stirling_far(c, t, discount) - rows[c][: len(t)]).max() < 1e-6
     rng = np.random.default_rng(0)
-    c, group = np.array([1, 1, 5, 40, 3000, 2]), np.array([0, 0, 0, 1, 1, 2])
-    t = pitman_yor.seat(c, group, np.full(6, 0.1), 1.0, 0.75, 2, 4, rng)
-    assert (t >= 1).all() and (t <= c).all() and t[0] == 1 and t[4] > t[3]
-    likely = pitman_yor.seat(np.full(500, 8), np.arange(500), np.full(500, 0.9), 1.0, 0.5, 3, 5, rng).mean()
-    rare = pitman_yor.seat(np.full(500, 8), np.arange(500), np.full(500, 1e-6), 1.0, 0.5, 3, 5, rng).mean()
-    assert likely > 2 * rare
+    u, log_a, log_h = rng.random(60), np.log(rng.uniform(3, 5000, 60)), np.log(rng.uniform(1e-4, 0.5, 60))
+    near = pitman_yor.drawn(np.full(60, 1500), log_a, log_h, np.full(60, 2.5), np.full(60, 900.0), u, discount)
+    far = [pitman_yor._drawn_far(1500, a, h, 2.5, 900.0, x, discount) for a, h, x in zip(log_a, log_h, u, strict=True)]
+    assert near.tolist() == far
+
+
+def test_random_numbers():
+    key = np.arange(200_000).astype(np.uint64)
+    assert pitman_yor.uniform(key, 3).mean() == pytest.approx(0.5, abs=0.003)
+    for shape in (1.3, 9.0, 4000.0):
+        x = pitman_yor.gamma(np.full(len(key), shape), key)
+        assert x.mean() == pytest.approx(shape, rel=0.01) and x.var() == pytest.approx(shape, rel=0.03)
 
 
-def test_scores_do_not_depend_on_buckets(spark):
+def test_scores_do_not_depend_on_layout(spark):
     r = random.Random(14)
     follow = {w: [r.randrange(3000) for _ in range(3)] for w in range(3000)}
 
@@ -167,23 +283,18 @@ def test_scores_do_not_depend_on_buckets(spark):
             w = r.choice(follow[w])
 
     docs = spark.createDataFrame([(i, " ".join(chain())) for i in range(400)], "doc_id long, text string")
-    few, many = ({x.doc_id: x for x in pitman_yor.score(docs, samples=20, block_bytes=n).collect()} for n in (1_000_000, 400))
-    held = [i for i in few if few[i].held_out]
-    per_token = lambda got: sum(got[i].score for i in held) / sum(got[i].n_tokens for i in held)
-    print(per_token(few), per_token(many))
-    assert per_token(few) == pytest.approx(per_token(many), abs=0.002)
-
-
-def test_parent_restaurant_does_not_depend_on_buckets():
-    rng = np.random.default_rng(3)
-    words, guests = np.unique(rng.integers(1, 1 << 62, 2000).astype(np.uint64)), rng.integers(1, 40, 2000).astype(np.float32)
-
-    def tables(buckets):
-        seat = pitman_yor._word_seater(2000, 1.0, 0.75, 2, 10)
-        payloads = [pitman_yor._squeezed(words[k::buckets], guests[k::buckets].astype(np.uint32), guests[k::buckets]) for k in range(buckets)]
-        return sum(pitman_yor.unpack(seat([p])[0])[1][3] for p in payloads)
-
-    assert tables(100) == pytest.approx(tables(1), rel=0.05)
+    few = {x.doc_id: x.score for x in pitman_yor.score(docs).collect()}
+    many = {x.doc_id: x.score for x in pitman_yor.score(docs.orderBy(F.desc("text")).repartition(3), block_bytes=400).collect()}
+    assert len(few) == 400 and all(few[i] == pytest.approx(many[i], abs=1e-9) for i in few)
+
+
+def test_language_model_odd_rows_by_value(spark, odd):
+    """Nulls and empty texts are the end alone; rows that repeat score alike; extra columns change nothing."""
+    got = sorted((x.doc_id or 0, x.n_tokens, x.score) for x in pitman_yor.score(odd).collect())
+    assert [x[:2] for x in got] == [(0, 3), (1, 8), (2, 1), (3, 1), (4, 1), (5, 8), (5, 8), (6, 3001), (7, 5)]
+    assert got[2][2] == got[3][2] == got[4][2] and got[5] == got[6] and got[1][2] == got[5][2]
+    extra = odd.selectExpr("*", "1 AS block", "2 AS score", "'x' AS ids", "3 AS answers")
+    assert sorted((x.doc_id or 0, x.n_tokens, x.score) for x in pitman_yor.score(extra).collect()) == got
 
 
 def test_common_contexts_come_from_all_blocks(spark):
