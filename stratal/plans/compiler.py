@@ -14,6 +14,24 @@ from .errors import AnalysisError
 from .types import NUMERIC, SIMPLE, common, is_list, is_struct, shown, supported, to_spark
 
 
+#: Seconds and days of the years 1 to 9999, which dates and times keep to; beyond them is NULL.
+SECONDS, DAYS = (-62135596800, 253402300799), (-719162, 2932896)
+
+
+def _time_at(seconds: str) -> str:
+    return f"(CASE WHEN {seconds} BETWEEN {SECONDS[0]}L AND {SECONDS[1]}L THEN timestamp_seconds({seconds}) END)"
+
+
+def _plain_digits(sql: str) -> str:
+    """A double's text without an exponent, and without a fraction if it is whole."""
+    text = f"CAST({sql} AS STRING)"
+    part = lambda n: f"regexp_extract({text}, '^(-?)([0-9])[.]([0-9]+)E(-?[0-9]+)$', {n})"
+    rest, power = f"regexp_replace({part(3)}, '0+$', '')", f"try_cast({part(4)} AS INT)"
+    large = f"CASE WHEN length({rest}) <= {power} THEN concat({part(2)}, rpad({rest}, {power}, '0')) ELSE concat({part(2)}, substring({rest}, 1, {power}), '.', substring({rest}, {power} + 1)) END"
+    spelt = f"concat({part(1)}, CASE WHEN {power} >= 0 THEN {large} ELSE concat('0.', repeat('0', -{power} - 1), {part(2)}, {rest}) END)"
+    return f"(CASE WHEN {text} LIKE '%E%' THEN {spelt} ELSE replace(regexp_replace({text}, '[.]0$', ''), 'Infinity', 'inf') END)"
+
+
 @dataclass
 class Field:
     name: str
@@ -366,9 +384,10 @@ class Compiler:
                 (a, ta), (b, tb) = (b, tb), (a, ta)
             sign = "-" if op == "-" else ""
             if ta == "date" and tb == "interval":
-                return f"(CASE WHEN {b} % 86400L = 0 THEN date_add({a}, CAST({sign}({b} div 86400L) AS INT)) END)", "date"
+                days = f"(CAST(unix_date({a}) AS BIGINT) + {sign}({b} div 86400L))"
+                return f"(CASE WHEN {b} % 86400L = 0 AND {days} BETWEEN {DAYS[0]}L AND {DAYS[1]}L THEN date_from_unix_date(CAST({days} AS INT)) END)", "date"
             if ta == "timestamp" and tb == "interval":
-                return f"({a} + make_dt_interval(0, 0, 0, {sign}{b}))", "timestamp"
+                return _time_at(f"try_{'subtract' if sign else 'add'}(unix_seconds({a}), {b})"), "timestamp"
             if ta == tb:
                 return f"try_{'add' if op == '+' else 'subtract'}({a}, {b})", "interval"
             if a == "0L":
@@ -418,17 +437,17 @@ class Compiler:
         if t == "timestamp" and k == "int":
             return f"unix_seconds({sql})", k
         if t == "int" and k == "timestamp":
-            return f"timestamp_seconds({sql})", k
+            return _time_at(sql), k
         if t == "int" and k == "date":
-            return f"CAST(timestamp_seconds({sql}) AS DATE)", k
+            return f"CAST({_time_at(sql)} AS DATE)", k
         if t in (*NUMERIC, "bool") and k in (*NUMERIC, "bool") or {t, k} == {"date", "timestamp"}:
             return f"try_cast({sql} AS {SIMPLE[k]})", k
         raise AnalysisError(f"CAST from {shown(t)} to {to} is not supported")
 
     @staticmethod
     def text(sql: str, t: object) -> str:
-        if t == "double":  # whole numbers without a fraction
-            return f"regexp_replace(CAST({sql} AS STRING), '\\\\.0$', '')"
+        if t == "double":
+            return _plain_digits(sql)
         return sql if t == "string" else f"CAST({sql} AS STRING)"
 
     @staticmethod
@@ -484,16 +503,24 @@ class Compiler:
             raise AnalysisError(f"{name} takes one to three arguments")
         value, t = self.expr(args[0], scope)
         by = 1
-        if len(args) > 1:
-            if not isinstance(args[1], S.Literal) or args[1].kind != "int":
-                raise AnalysisError(f"{name} needs a whole number as its offset")
-            by = args[1].value if args[1].value >= 0 else 1
         default = ""
         if len(args) > 2:
-            (_, d), t = self.both(name, scope, args[0], args[2])
+            (value, d), t = self.both(name, scope, args[0], args[2])
             default = f", {d}"
+        if len(args) > 1 and (not isinstance(args[1], S.Literal) or args[1].kind != "int"):
+            return self._moved(name, value, self.typed(args[1], scope, name, "int"), default.removeprefix(", ") or "NULL", inner), t
+        if len(args) > 1:
+            by = args[1].value if args[1].value >= 0 else 1
         return f"{name}({value}, {by}{default}) OVER ({inner})", t
 
+    @staticmethod
+    def _moved(name: str, value: str, offset: str, default: str, inner: str) -> str:
+        """LAG and LEAD by an offset of each row, from a list of the partition's values: one partition must fit a task."""
+        whole = f"OVER ({inner} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+        by = f"(CASE WHEN {offset} >= 0 THEN {offset} ELSE 1L END)"
+        place = f"try_{'subtract' if name == 'lag' else 'add'}(CAST(row_number() OVER ({inner}) AS BIGINT) - 1L, {by})"
+        return f"(CASE WHEN {place} BETWEEN 0L AND count(1) {whole} - 1L THEN get(collect_list(struct({value} AS v)) {whole}, CAST({place} AS INT)).v ELSE {default} END)"
+
     def call(self, name: str, args: tuple, scope: Scope) -> tuple[str, object]:
         low, high = {"coalesce": (1, 99), "nullif": (2, 2), "abs": (1, 1), "lower": (1, 1), "upper": (1, 1), "length": (1, 1), "substring": (2, 3), "concat": (1, 99), "date": (1, 1), "timestamp": (1, 1), "interval": (1, 1), "extract": (2, 2), "date_trunc": (2, 2), "cardinality": (1, 1)}.get(name, (-1, -1))
         if low < 0:

@@ -35,31 +35,60 @@ def normalised(df: DataFrame, timestamps: str = "strict") -> DataFrame:
     return df.select(*out)
 
 
+class _Asked(dict):
+    """Tables by name, with the names that were asked for."""
+
+    def __init__(self, tables: dict) -> None:
+        super().__init__(tables)
+        self.names: set[str] = set()
+
+    def __contains__(self, name: object) -> bool:
+        self.names.add(name)
+        return super().__contains__(name)
+
+    def __getitem__(self, name: str) -> tuple[str, list[tuple[str, object]]]:
+        self.names.add(name)
+        return super().__getitem__(name)
+
+    def get(self, name: str, default: object = None) -> object:
+        self.names.add(name)
+        return super().get(name, default)
+
+
 class Prepared:
-    """A compiled query, tied to the fields of the tables it was compiled for."""
+    """A parsed query, tied to the fields of the tables that it reads. Tables registered anew under the same name with
+    the same fields are read as they are then."""
 
     def __init__(self, engine: Engine, text: str) -> None:
-        self.engine, self.text = engine, text
-        compiler = Compiler(engine.tables)
-        self.sql, self.columns, _ = compiler.query(syntax.parse(text))
-        self.fields = {n: list(cols) for n, (_, cols) in engine.tables.items()}
+        self.engine, self.text, self.tree = engine, text, syntax.parse(text)
+        self.columns, self.fields = None, {}
+        self._compiled()
+
+    def _compiled(self) -> str:
+        for name, cols in self.fields.items():
+            if name not in self.engine.tables or self.engine.tables[name][1] != cols:
+                raise AnalysisError("query input schema changed")
+        asked = _Asked(self.engine.tables)
+        sql, self.columns, _ = Compiler(asked).query(self.tree)
+        self.fields = {n: list(self.engine.tables[n][1]) for n in asked.names if n in self.engine.tables}
+        return sql
 
     @property
     def output_schema(self) -> list[tuple[str, str]]:
         return [(n, to_spark(t)) for n, t in self.columns]
 
     def execute(self, max_rows: int | None = None) -> DataFrame:
-        """The result; with max_rows an error if it has more rows than that."""
-        for name, cols in self.fields.items():
-            if name not in self.engine.tables or self.engine.tables[name][1] != cols:
-                raise AnalysisError("query input schema changed")
-        df = self.engine.spark.sql(self.sql)
-        if max_rows is not None and df.limit(max_rows + 1).count() > max_rows:
+        """The result; with max_rows it is fetched now, and an error if it has more rows than that."""
+        df = self.engine.spark.sql(self._compiled())
+        if max_rows is None:
+            return df
+        rows = df.limit(max_rows + 1).collect()
+        if len(rows) > max_rows:
             raise ResourceExhausted(f"the result has more than {max_rows} rows")
-        return df
+        return self.engine.spark.createDataFrame(rows, df.schema)
 
     def explain(self, mode: str = "formatted") -> str:
-        plan = self.engine.spark.sql(self.sql)
+        plan = self.engine.spark.sql(self._compiled())
         return plan._sc._jvm.PythonSQLUtils.explainString(plan._jdf.queryExecution(), mode)
 
 
@@ -75,6 +104,8 @@ class Engine:
         df = normalised(self.spark.read.parquet(table) if isinstance(table, str) else table, timestamps)
         view = f"stratal_{name}_{uuid.uuid4().hex[:12]}"
         df.createOrReplaceTempView(view)
+        if name.lower() in self.tables:
+            self.spark.catalog.dropTempView(self.tables[name.lower()][0])
         self.tables[name.lower()] = (view, [(f.name, of_spark(f.dataType)) for f in df.schema.fields])
         return self
 

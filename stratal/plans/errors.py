@@ -15,3 +15,11 @@ class AnalysisError(DialectError):
 
 class ResourceExhausted(RuntimeError):
     """A limit on rows or memory was passed."""
+
+
+class MemoryLimit(ResourceExhausted):
+    """A query needs, or is expected to need, more memory than its limit."""
+
+
+class JobFailed(RuntimeError):
+    """A scheduled query failed, was cancelled or came too late."""

@@ -169,10 +169,46 @@ def test_prepared_and_limits(engine, spark):
     e.register("t", spark.createDataFrame([("x",)], "a string"))
     with pytest.raises(AnalysisError, match="schema changed"):
         p.execute()
+    # a table with the same fields is read as it is then; other tables do not matter
+    e.register("t", spark.createDataFrame([(1,)], "a int"))
+    p = e.prepare("SELECT a FROM t")
+    e.register("t", spark.createDataFrame([(2,)], "a int")).register("u", spark.range(2).toDF("z")).register("u", spark.createDataFrame([("x",)], "y string"))
+    assert [r.a for r in p.execute().collect()] == [2] and [r.a for r in p.execute(max_rows=1).collect()] == [2]
+    assert sum(t.name.startswith("stratal_t_") for t in spark.catalog.listTables()) >= 1
     with pytest.raises(ParseError):
         e.prepare("SELECT")
 
 
+def test_values_beyond_their_range(engine):
+    got = rows(engine, "SELECT CAST(9223372036854775807 AS TIMESTAMP) AS a, CAST(-9223372036854775807 AS DATE) AS b, d + INTERVAL '99999999999 days' AS c, TIMESTAMP '2024-01-01 00:00:00' - INTERVAL '99999999999 days' AS e, d - INTERVAL '31 days' AS f, TIMESTAMP '2024-01-01 00:00:00' - INTERVAL '1 minute' AS g FROM one")
+    assert [tuple(x if x is None or not isinstance(x, datetime.datetime) else x.replace(tzinfo=None) for x in r) for r in got] == [(None, None, None, None, datetime.date(2023, 12, 31), datetime.datetime(2023, 12, 31, 23, 59))]
+    got = rows(engine, "SELECT CAST(100000000.0 AS VARCHAR) AS a, CAST(0.00000125 AS VARCHAR) AS b, CAST(-12345678.25 AS VARCHAR) AS c, CAST(1.5 AS VARCHAR) AS d, CONCAT(30000000.0, '') AS e FROM one")
+    assert got == [("100000000", "0.00000125", "-12345678.25", "1.5", "30000000")]
+
+
+def test_lag_by_row(engine):
+    got = rows(engine, "SELECT event_id, LAG(bytes, event_id - 2) OVER (ORDER BY event_id) AS a, LEAD(bytes, NULLIF(event_id, 1), -1) OVER (ORDER BY event_id) AS b FROM events ORDER BY event_id")
+    # an offset below 0 or NULL is 1
+    assert got == [(1, None, 200), (2, 200, 400), (3, 200, -1), (4, 200, -1)]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "SELECT a.i FROM one a JOIN one b USING (i)",
+        "SELECT i FROM one NATURAL JOIN events",
+        "SELECT i FROM one INTERSECT SELECT i FROM one",
+        "SELECT i FROM one EXCEPT SELECT i FROM one",
+        "SELECT i, s FROM one UNION ALL SELECT i FROM one",
+        "SELECT r.record_id FROM records r CROSS JOIN UNNEST(u.value.tags) AS t CROSS JOIN UNNEST(r.items) AS u",
+        "SELECT LAG(bytes, 'x') OVER (ORDER BY event_id) AS a FROM events",
+    ],
+)
+def test_what_the_dialect_refuses(engine, text):
+    with pytest.raises(DialectError):
+        engine.sql(text)
+
+
 def test_plans(engine, spark, tmp_path):
     path = f"{tmp_path}/t.parquet"
     spark.range(1000).selectExpr("id", "id % 7 AS k", "named_struct('a', id, 'B', 'x') AS s").write.parquet(path)
