@@ -53,10 +53,16 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: lineage ends there, and lost executors take nothing with them."""
     path = f"{shared_folder(df.sparkSession)}/stratal/{name}-{uuid.uuid4().hex}"
+    forget(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Lets Spark's cleaner find shuffles that no table needs any more, so that their files go before more are written."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def placed(df: DataFrame, name: str, key: str) -> DataFrame:
     """As written, and bucketed by key into as many parts as shuffles have: joins on it later move only their other side."""
     spark = df.sparkSession

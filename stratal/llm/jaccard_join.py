@@ -10,8 +10,9 @@ Sets that are equal are one class and take part once. Keys met by one set only e
 are told apart by size and by a bound that parity bitmaps give: the bits in which two bitmaps differ are at most the
 elements in which the sets differ. Pairs that this leaves open hold groups of sets together. Within a group the links
 are found exactly, by counting common shingles on inverted lists: each set that is reached scans the lists of those not
-reached yet. Groups too large for one task are dealt into slices of which every two meet. So no link is lost, and no
-pairs of a group are ever written as rows.
+reached yet. Groups too large for one task are dealt into slices, in which all sets meet a few of the group first; those
+that this leaves outside the group's largest component then meet all others. So no link is lost, and no pairs of a group
+are ever written as rows.
 
 Dense shingles can number at most the mean set size over ``dense``, whatever the corpus: that bounds what is broadcast.
 
@@ -39,6 +40,7 @@ from .lean import lean
 from .shingles import hashed, mix, shingled
 
 SIZE = 5
+PIVOTS = 16
 
 
 class _Sets:
@@ -309,21 +311,59 @@ def _linked_sets(sets: list[np.ndarray], threshold: int) -> list[list[int]]:
     return out
 
 
-def _verified(blocks: DataFrame, groups: DataFrame, places: DataFrame, threshold: int, most: int = 4000) -> DataFrame:
-    """Links (a, b) within the groups (node, root). Small groups share parts; those of more than ``most`` sets are dealt
-    into slices, and every two slices meet in a part of their own."""
+def _parts(rows: DataFrame, most: int, shared: int) -> DataFrame:
+    """part, root, set: in which parts the sets of groups are met. rows: node, root and open, whether links of the set
+    may still be missing. Groups of at most ``most`` sets are dealt over ``shared`` parts. A larger one is dealt into slices; every set is
+    sent where a slice of the open ones is, so that each open set meets all others, and two that are closed need not."""
+    slices = lambda n: F.greatest(F.lit(1), F.ceil(n / (most / 2))).cast("int")
+    counts = rows.groupBy("root").agg(F.count("*").alias("n"), F.count_if("open").alias("n_open"))
+    rows = rows.join(counts.where("n_open > 0"), "root").withColumns({"k": slices(F.col("n")), "k_open": slices(F.col("n_open"))})
+    large = F.col("n") > most
+    own, mine = F.pmod(F.xxhash64("node"), F.col("k")).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("k_open")).cast("int")
+    # part (slice of all, slice of the open): closed sets go to their own slice's parts, open ones to those as well, and
+    # to all parts of their open slice
+    across = F.transform(F.sequence(F.lit(0), F.col("k_open") - 1), lambda j: F.struct(own.alias("i"), j.cast("int").alias("j")))
+    along = F.when(F.col("open"), F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.struct(i.cast("int").alias("i"), mine.alias("j")))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
+    places = F.when(large, F.array_union(across, along)).otherwise(F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))))
+    part = F.when(F.col("large"), F.xxhash64("root", "at.i", "at.j")).otherwise(F.pmod(F.xxhash64("root"), F.lit(shared)))
+    return rows.select(F.explode(places).alias("at"), "root", "node", large.alias("large")).select(part.alias("part"), "root", F.col("node").alias("set"))
+
+
+def _sets_in(parts: DataFrame, blocks: DataFrame, places: DataFrame) -> DataFrame:
+    wanted = parts.join(places, "set").groupBy("block").agg(F.collect_list(F.struct("part", "root", "set", "place")).alias("wanted"))
+    return blocks.join(wanted, "block").select("ids", "lengths", "data", "wanted").mapInArrow(lean(_fetcher), "part long, root long, set long, data binary")
+
+
+def _verified(blocks: DataFrame, groups: DataFrame, places: DataFrame, threshold: int, most: int = 500) -> DataFrame:
+    """Links (a, b) within the groups (node, root).
+
+    Groups of at most ``most`` sets are worked on whole, some hundred sets in a part. In a larger one all sets first meet its
+    ``PIVOTS`` sets of least hash, dealt into slices with the pivots in each. Sets that link with what the largest
+    component holds are closed: they need no more links among themselves. Only the others go on to meet all sets.
+    So a group of true near copies costs rows in proportion to its size, whatever that is.
+    """
+    groups = written(groups, "groups")
+    shared = groups.count() // 200 + 1
     sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
+    large = sizes.where(F.col("size") > most)
+    few = groups.join(large, "root", "left_anti").select("node", "root", F.lit(True).alias("open"))
+    if large.isEmpty():
+        return _sets_in(_parts(few, most, shared), blocks, places).groupBy("part").applyInArrow(_linker(threshold), "a long, b long")
+    many = written(groups.join(large, "root"), "large")
+    least = many.groupBy("root").agg(F.slice(F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("node", F.lit(2)), F.ceil(F.col("size") / (4 * PIVOTS))) == 0, F.col("node")))), 1, PIVOTS).alias("pivots"))
     k = F.ceil(F.col("size") / (most / 2)).cast("int")
-    rows = groups.join(sizes, "root").withColumn("k", F.when(F.col("size") <= most, 1).otherwise(k))
-    parts = max(1, (groups.count() // 1000))
-    slice_of = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
-    met = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")
-    rows = rows.select("node", "root", "k", slice_of.alias("own"), met)
-    part = F.when(F.col("k") == 1, F.pmod(F.xxhash64("root"), F.lit(parts))).otherwise(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")))
-    rows = rows.select(part.alias("part"), "root", F.col("node").alias("set"))
-    wanted = rows.join(places, "set").groupBy("block").agg(F.collect_list(F.struct("part", "root", "set", "place")).alias("wanted"))
-    sets = blocks.join(wanted, "block").select("ids", "lengths", "data", "wanted").mapInArrow(lean(_fetcher), "part long, root long, set long, data binary")
-    return sets.groupBy("part").applyInArrow(_linker(threshold), "a long, b long")
+    slices = many.select("node", "root", F.pmod(F.xxhash64("node"), k).cast("int").alias("i"))
+    pivots = least.join(large, "root").select("root", k.alias("k"), F.explode("pivots").alias("node"))
+    pivots = pivots.select("node", "root", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"))
+    met = slices.unionAll(pivots.select("node", "root", F.col("i").cast("int"))).distinct()
+    parts = met.select(F.xxhash64("root", "i").alias("part"), "root", F.col("node").alias("set"))
+    first = written(_sets_in(parts, blocks, places).groupBy("part").applyInArrow(_linker(threshold), "a long, b long"), "links")
+    known = components(first)
+    named = many.select("node", "root").join(known.withColumnRenamed("root", "component"), "node", "left")
+    largest = named.where("component IS NOT NULL").groupBy("root", "component").agg(F.count("*").alias("n")).groupBy("root").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+    rest = named.join(largest, "root", "left").select("node", "root", (~F.col("component").eqNullSafe(F.col("main")) | F.col("main").isNull()).alias("open"))
+    second = _sets_in(_parts(few.unionAll(rest), most, shared), blocks, places).groupBy("part").applyInArrow(_linker(threshold), "a long, b long")
+    return first.unionAll(second)
 
 
 def linked(docs: DataFrame, threshold: int = 80, dense: float = 0.001, block_bytes: int = 4_000_000) -> DataFrame:

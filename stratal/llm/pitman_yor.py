@@ -22,13 +22,13 @@ Random numbers are hashes of words, contexts and sweeps, and all sums are of who
 order of rows, the blocks or the number of buckets.
 
 Counts are gathered from all training documents: blocks of text deal their distinct word triples out by the parent (see
-``blocks``) and get each restaurant's averages back. Words are counted first, over all blocks. A word's share travels as
-a logarithm in 16 bits, within 0.04 percent.
+``blocks``) and get each restaurant's averages back. Words are counted first, over all blocks, and numbered: by hash into
+``SHARDS``, and within each by frequency, so that numbers are the same in every layout and frequent words have small ones.
+A word's share travels as a logarithm in 8 bits, within five percent; the base score and the probabilities use whole counts.
 
 Nulls and odd rows: a null or empty text is the end token alone. Documents outside the training fold are scored
 only. Without any training document all probabilities are the base's. Rows that repeat are counted and scored each;
-other columns are ignored. Words are told apart by 64-bit hashes, parents by 48 bits, words of one parent by 40 and
-first context words of one parent by 24 bits: of those that share all bits, the restaurants are one.
+other columns are ignored. Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Answer, Block, answered, asked, in_blocks, pack, unpack, with_answers
-from .common import written
+from .common import forget, written
 from .lean import lean
 from .shingles import hashed, mix
 
@@ -54,7 +54,9 @@ ROWS = 2048
 NODES = 64
 _START, _END = np.uint64(0x5354415254), np.uint64(0x454E44)
 _OFFSET = 1 << 24  # numbers of the second round's buckets are below minus this
-_STEP = 40 / 65535  # of the logarithm of a word's share
+_STEP = 0.1  # of the logarithm of a word's share
+SHARDS = 4096
+_ID = 5  # bytes of a word's number
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -66,13 +68,15 @@ def _spread_out(data: bytes) -> list[np.ndarray]:
     return unpack(zstandard.ZstdDecompressor().decompress(data))
 
 
-def _planes(x: np.ndarray) -> np.ndarray:
-    """32-bit whole numbers as their lowest bytes, then the next, and so on: what small numbers compress well in."""
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).ravel()
+def _planes(x: np.ndarray, n: int = 5) -> np.ndarray:
+    """Whole numbers as their lowest bytes, then the next, up to n: what small numbers compress well in."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T).ravel()
 
 
-def _whole(x: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(x.reshape(4, -1).T).view("<u4").ravel()
+def _whole(x: np.ndarray, n: int = 5) -> np.ndarray:
+    out = np.zeros((len(x) // n, 8), dtype=np.uint8)
+    out[:, :n] = x.reshape(n, -1).T
+    return out.view("<i8").ravel()
 
 
 # random draws
@@ -119,7 +123,7 @@ def stirling_far(c: int, t: np.ndarray, discount: float) -> np.ndarray:
     # s = -log(1 - z); the mean size of a table at the saddle point is c / t
     log_mean = lambda s: np.log(discount) + np.log(-np.expm1(-s)) + s * (1 - discount) - np.log(-np.expm1(-discount * s))
     low, high = np.full(len(t), 1e-12), (want + math.log(2 / discount)) / (1 - discount) + 5
-    for _ in range(50):
+    for _ in range(36):  # any point near it will do
         s = (low + high) / 2
         more = log_mean(s) < want
         low, high = np.where(more, s, low), np.where(more, high, s)
@@ -136,7 +140,9 @@ def stirling_far(c: int, t: np.ndarray, discount: float) -> np.ndarray:
     return math.lgamma(c + 1) - _LGAMMA(t + 1) - t * math.log(discount) + at_saddle + np.log(np.maximum(total, 1e-300))
 
 
-def _drawn_far(c: int, log_a: float, log_h: float, alpha: float, beta: float, u: float, discount: float) -> int:
+def _far(c: int, log_a: float, log_h: float, alpha: float, beta: float, discount: float) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of tables of a dish of many customers, and the sums of their weights; see drawn. beta below 0: no alpha."""
+
     def weight(t: np.ndarray) -> np.ndarray:
         out = stirling_far(c, t, discount) + t * log_a + log_h
         if beta < 0:
@@ -153,11 +159,20 @@ def _drawn_far(c: int, log_a: float, log_h: float, alpha: float, beta: float, u:
     top = (low + high) / 2
     step = max(1.0, 0.01 * top)
     bend = -(weight(np.array([max(1.0, top - step), top, min(float(c), top + step)])) @ np.array([1, -2, 1.0])) / step**2
-    reach = 12 / math.sqrt(max(bend, 1e-12)) + (high - low) + 30
+    reach = 9 / math.sqrt(max(bend, 1e-12)) + (high - low) + 20
     t = np.arange(max(1, math.floor(top - reach)), min(c, math.ceil(top + reach)) + 1, dtype=float)
-    w = weight(t)
-    total = np.cumsum(np.exp(w - w.max()))
-    return int(t[min(len(t) - 1, int(np.searchsorted(total, u * total[-1])))])
+    if len(t) > 64:  # the logarithms are smooth: a polynomial through 25 of them gives the others
+        half = (t[-1] - t[0]) / 2
+        fit = np.polynomial.chebyshev.chebinterpolate(lambda x: weight(t[0] + half * (x + 1)), 24)
+        w = np.polynomial.chebyshev.chebval((t - t[0]) / half - 1, fit)
+    else:
+        w = weight(t)
+    return t, np.cumsum(np.exp(w - w.max()))
+
+
+def _pick(found: tuple[np.ndarray, np.ndarray], u: np.ndarray | float) -> np.ndarray:
+    t, total = found
+    return t[np.minimum(np.searchsorted(total, u * total[-1]), len(t) - 1)].astype(np.int64)
 
 
 def drawn(c: np.ndarray, log_a: np.ndarray, log_h: np.ndarray, alpha: np.ndarray | None, beta: np.ndarray | None, u: np.ndarray, discount: float) -> np.ndarray:
@@ -171,7 +186,7 @@ def drawn(c: np.ndarray, log_a: np.ndarray, log_h: np.ndarray, alpha: np.ndarray
             continue
         if n > ROWS:
             for i in order[a:b]:
-                out[i] = _drawn_far(n, log_a[i], log_h[i], 0.0 if alpha is None else alpha[i], -1.0 if beta is None else beta[i], u[i], discount)
+                out[i] = _pick(_far(n, log_a[i], log_h[i], 0.0 if alpha is None else alpha[i], -1.0 if beta is None else beta[i], discount), u[i])
             continue
         t = np.arange(1, n + 1)
         for x in range(a, b, max(1, 1_000_000 // n)):
@@ -265,13 +280,17 @@ def corpus_tables(customers: np.ndarray, words: np.ndarray, strength: float, dis
                 w = np.exp(w - w.max())
                 mean[i] = rng.multinomial(k, w / w.sum()) @ t / k
             elif c > ROWS:
-                mean[i] = np.mean([_drawn_far(c, log_a, 0.0, 0.0, -1.0, rng.random(), discount) for _ in range(k)])
+                mean[i] = _pick(_far(c, log_a, 0.0, 0.0, -1.0, discount), rng.random(k)).mean()
         held = float(mean @ words)
         if n >= burn:
             total += mean
     return total / max(1, samples)
 
 
+def shard_of(words: np.ndarray) -> np.ndarray:
+    return ((words >> np.uint64(36)) % np.uint64(SHARDS)).astype(np.int64)
+
+
 class _Words:
     """A block's distinct words, with the word of each token."""
 
@@ -293,7 +312,7 @@ class _Words:
         self.token = self.place[self.at]  # of each token, the word
         self.train, self.buckets = np.repeat(~self.held_out, self.lengths), buckets
         self.word_count = np.bincount(self.token, weights=self.train, minlength=len(self.words)).astype(np.int64)
-        self.word_bucket = ((self.words >> np.uint64(36)) % np.uint64(buckets)).astype(np.int64)
+        self.word_bucket = shard_of(self.words) % buckets
         self.word_order = np.argsort(self.word_bucket, kind="stable")
         self.word_cuts = np.searchsorted(self.word_bucket[self.word_order], np.arange(buckets + 1))
 
@@ -302,15 +321,17 @@ class _Words:
         out = []
         for b in np.flatnonzero(np.diff(self.word_cuts)):
             some = self.word_order[self.word_cuts[b] : self.word_cuts[b + 1]]
-            out.append((int(b), _squeezed(self.words[some], self.word_count[some].astype(np.uint32), every[some].astype(np.uint32))))
+            out.append((int(b), _squeezed(self.words[some], _planes(self.word_count[some]), _planes(every[some]))))
         return out
 
-    def counts_told(self, answers: Answer) -> np.ndarray:
-        """The training tokens of each word in all blocks."""
-        count = np.zeros(len(self.words))
+    def counts_told(self, answers: Answer) -> tuple[np.ndarray, np.ndarray]:
+        """The training tokens of each word in all blocks, and its number."""
+        count, number = np.zeros(len(self.words), dtype=np.int64), np.zeros(len(self.words), dtype=np.int64)
         for b, payload in answers.items():
-            (count[self.word_order[self.word_cuts[b] : self.word_cuts[b + 1]]],) = _spread_out(payload)
-        return count
+            some = self.word_order[self.word_cuts[b] : self.word_cuts[b + 1]]
+            c, n = _spread_out(payload)
+            count[some], number[some] = _whole(c), _whole(n)
+        return count, number * SHARDS + shard_of(self.words)
 
 
 def _runs(x: np.ndarray) -> np.ndarray:
@@ -332,12 +353,12 @@ class _Triples(_Words):
         first, second = self.place[self.at - 2].astype(np.int64), self.place[self.at - 1].astype(np.int64)
         part = np.where(np.isin(self.words, hot)[second], (self.words[first] % np.uint64(PARTS)).astype(np.int64) + 1, 0)
         families, family = np.unique(second * (PARTS + 1) + part, return_inverse=True)
-        keys = mix(self.words[families // (PARTS + 1)] + mix((families % (PARTS + 1)).astype(np.uint64)))
+        keys = mix(mix(self.words[families // (PARTS + 1)]) + (families % (PARTS + 1)).astype(np.uint64))
         dealt = ((keys >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(dealt, kind="stable")
         rank = np.empty(len(order), dtype=np.int64)
         rank[order] = np.arange(len(order))
-        self.families, dealt = keys[order], dealt[order]
+        self.families, dealt = families[order], dealt[order]
         dishes, dish = np.unique(rank[family] * n + self.token, return_inverse=True)
         triples, self.triple = np.unique(dish.astype(np.int64) * n + first, return_inverse=True)
         self.count = np.bincount(self.triple, weights=self.train, minlength=len(triples)).astype(np.int64)
@@ -350,22 +371,16 @@ class _Triples(_Words):
     def _part(self, b: int) -> tuple[slice, slice]:
         return slice(self.dish_cuts[b], self.dish_cuts[b + 1]), slice(self.triple_cuts[b], self.triple_cuts[b + 1])
 
-    def questions(self, count: np.ndarray, n: float) -> list[tuple[int, bytes]]:
-        """count: the training tokens of each word in all blocks, of n."""
-        shares = np.rint(-np.log(np.maximum(count, 1e-9) / max(n, 1.0)) / _STEP).clip(0, 65535).astype(np.uint16)
+    def questions(self, count: np.ndarray, number: np.ndarray, n: float) -> list[tuple[int, bytes]]:
+        """count: the training tokens of each word in all blocks, of n; number: the word's."""
+        shares = np.rint(-np.log(np.maximum(count, 1e-9) / max(n, 1.0)) / _STEP).clip(0, 255).astype(np.uint8)
         out = []
         for b in np.flatnonzero(np.diff(self.dish_cuts)):
             dishes, triples = self._part(b)
-            family, w, c = self.family[dishes], self.words[self.right[dishes]], self.count[triples]
+            family, w, c = self.family[dishes], self.right[dishes], self.count[triples]
             heads, each = _runs(family), np.bincount(self.dish[triples] - dishes.start)
-            first = mix(self.words[self.first[triples]])
-            key = self.families[family[heads]]
-            big, large = np.flatnonzero(c > 254), np.flatnonzero(each > 254)
-            out.append((int(b), pack(
-                (key >> np.uint64(32)).astype(np.uint32), (key >> np.uint64(16)).astype(np.uint16), np.diff(np.append(heads, len(family))).astype(np.int32),
-                (w >> np.uint64(32)).astype(np.uint32), (w >> np.uint64(24)).astype(np.uint8), shares[self.right[dishes]], np.minimum(each, 255).astype(np.uint8), large.astype(np.int32), each[large].astype(np.int64),
-                (first >> np.uint64(48)).astype(np.uint16), (first >> np.uint64(40)).astype(np.uint8), np.minimum(c, 255).astype(np.uint8), big.astype(np.int32), c[big],
-            )))
+            second, part = np.divmod(self.families[family[heads]], PARTS + 1)
+            out.append((int(b), _squeezed(_planes(number[second], _ID), part.astype(np.uint8), _planes(np.diff(np.append(heads, len(family)))), _planes(number[w], _ID), shares[w], _planes(each), _planes(number[self.first[triples]], _ID), _planes(c))))
         return out
 
     def told(self, answers: Answer, strength: float, discount: float, samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -376,7 +391,8 @@ class _Triples(_Words):
             if b < 0:
                 continue
             dishes, triples = self._part(b)
-            low, high, c2, t2, guests2, held2, low1, high1, c1, t1, guests1, held1, passed, many, those = _spread_out(payload)
+            low, high, c2, t2, guests2, held2, low1, high1, c1, t1, guests1, held1, passed = _spread_out(payload)
+            c2, t2, guests2, held2, c1, t1 = (_whole(x).astype(float) for x in (c2, t2, guests2, held2, c1, t1))
             code, code1 = (x.astype(np.int64) | (y.astype(np.int64) << 8) for x, y in ((low, high), (low1, high1)))
             family = self.family[dishes]
             heads = _runs(family)
@@ -388,9 +404,7 @@ class _Triples(_Words):
             total2 = samples * (strength + guests2)
             a2, b2 = ((samples * c2 - discount * t2) / total2)[code], ((samples * strength + discount * held2) / total2)[code]
             own[triples], weight[triples] = a2 + b2 * a1[here], b2 * b1[here]
-            mine = passed.astype(np.int64)
-            mine[many] = those
-            tables[dishes] = mine
+            tables[dishes] = _whole(passed)
         return own, weight, tables
 
     def word_questions(self, tables: np.ndarray) -> list[tuple[int, bytes]]:
@@ -398,7 +412,7 @@ class _Triples(_Words):
         out = []
         for b in np.flatnonzero(np.diff(self.word_cuts)):
             some = self.word_order[self.word_cuts[b] : self.word_cuts[b + 1]]
-            out.append((-_OFFSET - int(b), _squeezed(self.words[some], self.word_count[some].astype(np.uint32), total[some].astype(np.uint32))))
+            out.append((-_OFFSET - int(b), _squeezed(self.words[some], _planes(self.word_count[some]), _planes(total[some]))))
         return out
 
     def words_told(self, answers: Answer) -> tuple[np.ndarray, np.ndarray]:
@@ -407,48 +421,46 @@ class _Triples(_Words):
             if b <= -_OFFSET:
                 k = -b - _OFFSET
                 some = self.word_order[self.word_cuts[k] : self.word_cuts[k + 1]]
-                count[some], guests[some] = _spread_out(payload)
+                count[some], guests[some] = (_whole(x) for x in _spread_out(payload))
         return count, guests
 
 
-def _coded(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """The distinct rows of columns of whole numbers below 2**32, the most frequent first, and each row's number."""
-    code = np.zeros(len(columns[0]), dtype=np.int64)
+def _coded(usual: np.ndarray, *columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of columns of whole numbers and each row's number among them. usual: rows that are all the same."""
+    odd = np.flatnonzero(~usual)
+    code = np.zeros(len(odd), dtype=np.int64)
     for c in columns:
-        _, mine = np.unique(c, return_inverse=True)
+        _, mine = np.unique(c[odd], return_inverse=True)
         _, code = np.unique(code * (int(mine.max(initial=0)) + 1) + mine, return_inverse=True)
     times = np.bincount(code)
-    usual = np.argsort(-times, kind="stable")
-    rank = np.empty(len(usual), dtype=np.int64)
-    rank[usual] = np.arange(len(usual))
-    first = np.full(len(times), len(code), dtype=np.int64)
-    np.minimum.at(first, code, np.arange(len(code)))
-    return [c[first[usual]] for c in columns], rank[code]
+    order = np.argsort(-times, kind="stable")
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order)) + 1
+    first = np.full(len(times), len(columns[0]), dtype=np.int64)
+    np.minimum.at(first, code, odd)
+    first = np.append(np.argmax(usual), first[order])  # the row that is usual stands first, if there is one
+    out = np.zeros(len(usual), dtype=np.int64)
+    out[odd] = rank[code]
+    return [c[first] for c in columns], out
 
 
 def _answer_codes(tables: list[np.ndarray], code: np.ndarray) -> list[np.ndarray]:
     """The codes that a block needs, in two planes, and what they stand for."""
-    known, mine = np.unique(code, return_inverse=True)
-    return [mine.astype(np.uint8), (mine >> 8).astype(np.uint16), *[t[known].astype(np.float64) for t in tables]]
+    times = np.bincount(code, minlength=1)
+    known = np.flatnonzero(times)
+    place = np.zeros(len(times), dtype=np.int64)
+    place[known] = np.arange(len(known))
+    mine = place[code]
+    return [mine.astype(np.uint8), (mine >> 8).astype(np.uint16), *[_planes(t[known]) for t in tables]]
 
 
 def _seater(strength: float, discount: float, burn: int, samples: int):
     def answer(payloads: list[bytes]) -> list[bytes]:
-        parts = [unpack(p) for p in payloads]
-        join = lambda make: np.concatenate([make(p) for p in parts])
-
-        def full(small: int, places: int, values: int) -> np.ndarray:
-            out = []
-            for p in parts:
-                x = p[small].astype(np.int64)
-                x[p[places]] = p[values]
-                out.append(x)
-            return np.concatenate(out)
-
-        families, here = np.unique(join(lambda p: (p[0].astype(np.uint64) << np.uint64(16)) | p[1]), return_inverse=True)
-        of = np.repeat(here, join(lambda p: p[2]))
-        w = join(lambda p: (p[3].astype(np.uint64) << np.uint64(8)) | p[4])
-        each, count = full(6, 7, 8), full(11, 12, 13)
+        parts = [_spread_out(p) for p in payloads]
+        parts = [[_whole(p[0], _ID), p[1].astype(np.int64), _whole(p[2]), _whole(p[3], _ID), p[4], _whole(p[5]), _whole(p[6], _ID), _whole(p[7])] for p in parts]
+        join = lambda i: np.concatenate([p[i] for p in parts])
+        families, here = np.unique(join(0) * (PARTS + 1) + join(1), return_inverse=True)
+        of, w, each, first, count = np.repeat(here, join(2)), join(3), join(5), join(6), join(7)
         order = np.lexsort((w, of))
         new = np.ones(len(w), dtype=bool)
         new[1:] = (of[order][1:] != of[order][:-1]) | (w[order][1:] != w[order][:-1])
@@ -456,31 +468,27 @@ def _seater(strength: float, discount: float, burn: int, samples: int):
         dish = np.empty(len(w), dtype=np.int64)
         dish[order] = np.cumsum(new) - 1
         family, word = of[heads], w[heads]
-        share = np.exp(-_STEP * join(lambda p: p[5])[heads].astype(float))
-        first = join(lambda p: (p[9].astype(np.uint64) << np.uint64(8)) | p[10])
-        of_triple = np.repeat(dish, each)
-        # a dish's number has fewer than 40 bits, a first context word 24
-        kinds, triple = np.unique((of_triple.astype(np.uint64) << np.uint64(24)) | first, return_inverse=True)
+        share = np.exp(-_STEP * join(4)[heads].astype(float))
+        # first context words get numbers of this task, so that a pair of numbers fits into one
+        numbers, first = np.unique(first, return_inverse=True)
+        kinds, triple = np.unique(np.repeat(dish, each) * len(numbers) + first, return_inverse=True)
         c2 = np.bincount(triple, weights=count, minlength=len(kinds)).astype(np.int64)
-        at, context = (kinds >> np.uint64(24)).astype(np.int64), kinds & np.uint64((1 << 24) - 1)
-        contexts, pair = np.unique((family[at].astype(np.uint64) << np.uint64(24)) | context, return_inverse=True)
-        key1 = mix(families)
-        key_dish = mix(key1[family] + word)
-        key_pair = mix(key1[(contexts >> np.uint64(24)).astype(np.int64)] + mix((contexts & np.uint64((1 << 24) - 1)) + np.uint64(1)))
+        at, context = np.divmod(kinds, len(numbers))
+        contexts, pair = np.unique(family[at] * len(numbers) + context, return_inverse=True)
+        key1, key_word, key_first = mix(families.astype(np.uint64)), mix(word.astype(np.uint64)), mix(numbers.astype(np.uint64) + _GOLD)
+        key_dish, key_pair = mix(key1[family] + key_word), mix(key1[contexts // len(numbers)] + key_first[contexts % len(numbers)])
         run = Families(c2, at, pair, family, share, (key_pair, mix(key_pair[pair] + key_dish[at]), key1, key_dish), strength, discount)
         got = run.sampled(burn, samples)
-        table2, code2 = _coded(c2, got["t2"], run.guests2.astype(np.int64)[pair], got["held2"][pair])
-        table1, code1 = _coded(got["c1"], got["t1"])
-        guests1, held1 = got["guests1"], got["held1"]
+        held2, guests2 = got["held2"][pair], run.guests2.astype(np.int64)[pair]
+        table2, code2 = _coded((c2 == 1) & (guests2 == 1), c2, got["t2"], guests2, held2)
+        table1, code1 = _coded((got["c1"] == samples) & (got["t1"] == samples), got["c1"], got["t1"])
         passed = np.zeros(len(w), dtype=np.int64)
         passed[heads] = run.t1
         out, a, b, f = [], 0, 0, 0
         for p in parts:
-            mine, those, mine_families = slice(a, a + len(p[3])), slice(b, b + len(p[9])), here[f : f + len(p[0])]
+            mine, those, mine_families = slice(a, a + len(p[3])), slice(b, b + len(p[6])), here[f : f + len(p[0])]
             a, b, f = mine.stop, those.stop, f + len(p[0])
-            t = passed[mine]
-            many = np.flatnonzero(t > 255)
-            out.append(_squeezed(*_answer_codes(table2, code2[triple[those]]), *_answer_codes(table1, code1[dish[mine]]), _planes(guests1[mine_families]), _planes(held1[mine_families]), t.astype(np.uint8), many.astype(np.int32), t[many]))
+            out.append(_squeezed(*_answer_codes(table2, code2[triple[those]]), *_answer_codes(table1, code1[dish[mine]]), _planes(got["guests1"][mine_families]), _planes(got["held1"][mine_families]), _planes(passed[mine])))
         return out
 
     return answer
@@ -489,15 +497,18 @@ def _seater(strength: float, discount: float, burn: int, samples: int):
 def _counter(payloads: list[bytes], common: float) -> list[bytes]:
     parts = [_spread_out(p) for p in payloads]
     words, kind = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    count, every = (np.bincount(kind, weights=np.concatenate([p[k] for p in parts])) for k in (1, 2))
+    count, every = (np.bincount(kind, weights=np.concatenate([_whole(p[k]) for p in parts]), minlength=len(words)) for k in (1, 2))
     # words with a share of all tokens have it of this bucket's too
     some = np.flatnonzero((every > 0) & (every >= common * every.sum()))
     head = [np.array([count.sum(), (count > 0).sum(), every.sum()]), words[some], every[some]]
+    shard, number = shard_of(words), np.empty(len(words), dtype=np.int64)
+    order = np.lexsort((words, -every, shard))
+    number[order] = np.arange(len(words)) - np.searchsorted(shard[order], shard[order])
     out, at = [], 0
     for n, p in enumerate(parts):
         mine = kind[at : at + len(p[0])]
         at += len(p[0])
-        out.append(pack(np.frombuffer(_squeezed(count[mine]), dtype=np.uint8), *(head if n == 0 else [np.zeros(0)] * 3)))
+        out.append(pack(np.frombuffer(_squeezed(_planes(count[mine]), _planes(number[mine])), dtype=np.uint8), *(head if n == 0 else [np.zeros(0)] * 3)))
     return out
 
 
@@ -505,14 +516,14 @@ def _word_adder(payloads: list[bytes]) -> list[bytes]:
     """Training tokens and customers of the corpus restaurant by word; the first answer has numbers of words by customers."""
     parts = [_spread_out(p) for p in payloads]
     words, kind = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    count, guests = (np.bincount(kind, weights=np.concatenate([p[k] for p in parts]), minlength=len(words)) for k in (1, 2))
+    count, guests = (np.bincount(kind, weights=np.concatenate([_whole(p[k]) for p in parts]), minlength=len(words)) for k in (1, 2))
     customers, times = np.unique(guests[guests > 0].astype(np.int64), return_counts=True)
     out, at = [], 0
     for n, p in enumerate(parts):
         mine = kind[at : at + len(p[0])]
         at += len(p[0])
         some = slice(None) if n == 0 else slice(0)
-        out.append(pack(np.frombuffer(_squeezed(count[mine], guests[mine].astype(np.int64)), dtype=np.uint8), customers[some], times[some]))
+        out.append(pack(np.frombuffer(_squeezed(_planes(count[mine]), _planes(guests[mine])), dtype=np.uint8), customers[some], times[some]))
     return out
 
 
@@ -549,7 +560,7 @@ def _by_customers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 yield pa.RecordBatch.from_arrays([pa.array(customers), pa.array(times.astype(np.int64))], names=["customers", "words"])
 
 
-def score(docs: DataFrame, modulus: int = 5, held_out: int = 1, strength: float = 1.0, discount: float = 0.75, burn: int = 2, samples: int = 4, common: float = 0.001, block_bytes: int = 8_000_000, by_token: bool = False) -> DataFrame:
+def score(docs: DataFrame, modulus: int = 5, held_out: int = 1, strength: float = 1.0, discount: float = 0.75, burn: int = 2, samples: int = 3, common: float = 0.001, block_bytes: int = 5_000_000, by_token: bool = False) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: log10 probabilities of whole texts; with
     by_token also those of the tokens in order, as token_scores."""
     blocks = in_blocks(docs, block_bytes)
@@ -561,7 +572,7 @@ def score(docs: DataFrame, modulus: int = 5, held_out: int = 1, strength: float
 
     def ask_triples(block: Block, answers: Answer) -> list[tuple[int, bytes]]:
         p = triples(block)
-        return p.questions(p.counts_told({b: unpack(x)[0].tobytes() for b, x in answers.items()}), tokens)
+        return p.questions(*p.counts_told({b: unpack(x)[0].tobytes() for b, x in answers.items()}), tokens)
 
     first = written(answered(asked(with_answers(blocks, zeroth), ask_triples), _seater(strength, discount, burn, samples)), "seatings")
 
@@ -599,5 +610,6 @@ def score(docs: DataFrame, modulus: int = 5, held_out: int = 1, strength: float
                     cols, names = [*cols, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(logs))], [*names, "token_scores"]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
+    forget(docs.sparkSession)
     kind = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double" + (", token_scores array<double>" if by_token else "")
     return with_answers(blocks, first.unionAll(second)).select("ids", "lengths", "data", "answers").mapInArrow(lean(finish), kind)
