@@ -239,6 +239,21 @@ def test_new_queries_on_the_second_engine(spark, tiny):
         assert sorted(map(tuple, df.collect()), key=repr) == sorted(want.fetchall(), key=repr), name
 
 
+def test_sinks_of_executors(spark, tmp_path):
+    from stratal.streaming.batches import must_stream, record_batches
+
+    df = spark.range(20, numPartitions=3).selectExpr("id", "IF(id % 3 = 0, NULL, named_struct('a', id, 'b', array(1.5D, NULL))) AS s", "CAST(id AS DECIMAL(18,2)) AS d", "DATE '2024-01-02' AS day", "TIMESTAMP '2024-01-02 03:04:05' AS t")
+    assert [r[0] for r in ndjson.typed_lines(df).collect()] == list(ndjson.lines(df))
+    ndjson.write_ndjson_folder(df, f"{tmp_path}/out")
+    assert sorted(r[0] for r in spark.read.text(f"{tmp_path}/out").collect()) == sorted(ndjson.lines(df))
+    got = list(record_batches(df, 4))
+    assert all(b.num_rows <= 4 for b in got) and [x for b in got for x in b.column("id").to_pylist()] == list(range(20))
+    assert [x for b in got for x in b.column("s").to_pylist()][1] == {"a": 1, "b": [1.5, None]}
+    assert must_stream(df.where("id > 3")).count() == 16
+    with pytest.raises(ResourceExhausted, match="STREAMING_UNSUPPORTED"):
+        must_stream(df.orderBy("d"))
+
+
 def test_command_line(spark, tmp_path, capsys):
     from stratal.__main__ import main
 
