@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import string
 import tempfile
 import uuid
@@ -60,6 +61,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def forget(spark: SparkSession) -> None:
     """Lets Spark's cleaner find shuffles that no table needs any more, so that their files go before more are written."""
+    gc.collect()  # frames in cycles hold on to plans
     spark.sparkContext._jvm.System.gc()
 
 

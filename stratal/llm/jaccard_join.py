@@ -379,7 +379,8 @@ def linked(docs: DataFrame, threshold: int = 80, dense: float = 0.001, block_byt
     # a set of n has C(p, 2) subsets or p lists, p about 0.2 n + 2; lists cost their length on top
     boundary = int((2 * (1 + 4 * shingles / distinct_) - 1) * 100 / (100 - threshold))
     shared = spark.sparkContext.broadcast((dense_keys, boundary))
-    buckets = max(8, blocks.count() // 6)
+    # a set's bitmap goes to as many buckets as it has keys there: with fewer buckets than keys that would grow with them
+    buckets = max(64, blocks.count() // 6)
 
     def ask(block: Block, _: Answer) -> list[tuple[int, bytes]]:
         _, keys, _, order, cuts = _asked_keys(_Sets(block), *shared.value, threshold, buckets)
@@ -395,7 +396,9 @@ def linked(docs: DataFrame, threshold: int = 80, dense: float = 0.001, block_byt
     full = docs.where("n_shingles > 0")
     classes = full.groupBy("set").agg(F.min("doc_id").alias("least")).join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     named = classes.join(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("set", "component_id")
-    found = full.join(named, "set").select("doc_id", "n_shingles", "component_id", "text_hash")
+    # copies in one block are one row until they have met their class
+    copies = full.groupBy("block", "set").agg(F.collect_list(F.struct("doc_id", "n_shingles", "text_hash")).alias("copies"))
+    found = copies.join(named, "set").select("component_id", F.explode("copies").alias("c")).select("c.doc_id", "c.n_shingles", "component_id", "c.text_hash")
     empty = docs.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_hash")
     return found.unionAll(empty)
 
