@@ -6,7 +6,8 @@ import gc
 import string
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,7 +56,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: lineage ends there, and lost executors take nothing with them."""
     path = f"{shared_folder(df.sparkSession)}/stratal/{name}-{uuid.uuid4().hex}"
     forget(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
+    with _without_shuffles(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -65,12 +67,32 @@ def forget(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Whether the shuffle files of a query go when it ends, rather than when its plan is collected as garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _without_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries that end in here leave no shuffle files: what they made stands in the shared folder, and nothing reads
+    those files again."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def placed(df: DataFrame, name: str, key: str) -> DataFrame:
     """As written, and bucketed by key into as many parts as shuffles have: joins on it later move only their other side."""
     spark = df.sparkSession
     table = f"stratal_{name}_{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.format("parquet").option("compression", "zstd").option("path", f"{shared_folder(spark)}/stratal/{table}").bucketBy(parts, key).saveAsTable(table)
+    with _without_shuffles(spark):
+        df.write.format("parquet").option("compression", "zstd").option("path", f"{shared_folder(spark)}/stratal/{table}").bucketBy(parts, key).saveAsTable(table)
     return spark.table(table)
 
 
