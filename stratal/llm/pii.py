@@ -7,7 +7,8 @@ n(e,t) that hold both. t discloses e to the degree pmi / ic, at most 1. Terms at
 at least ``support``, are taken out wherever they stand, in documents without e as well: words that contain digits are
 generalised to [NUMBER], others removed in favour of [TERM]; entities become [EMAIL], [IP], [CARD] and [PHONE]. Words
 that touch an entity are no terms. All of it runs as SQL functions. Counts are summed before they are shuffled, so hot
-terms and entities cost a row for each task.
+terms and entities cost a row for each task. Bits of the disclosing terms, and then of the rows that hold one, go to the
+texts: only words and texts that pass them move to a join, which decides, and so does the same share at every size.
 
 Nulls and odd rows: a null or empty text has no spans. Rows that repeat are each counted and each answered. Spans of
 one kind never overlap; spans of different kinds may, and sanitising merges those. Further columns pass through.
@@ -15,17 +16,22 @@ one kind never overlap; spans of different kinds may, and sanitising merges thos
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, ascii_lower, let, text_of, words_of, written
+from .url_filter import _hit, _positions
 
 KINDS = ("email", "ip", "card", "phone")
 #: Marks for a span's ends and for a replaced character; where a text has them itself, _NONE stands in.
 _OPEN, _CLOSE, _OTHER, _NONE = "\x02", "\x03", "\x01", "\ufffd"
 _SPAN = "array<struct<start:int,end:int,value:string>>"
+#: Size of the largest sieve. Keys beyond it make it pass more of the others; none of its own is lost.
+_MOST_BITS = 1 << 27
 
 
 def matches(text: Column, pattern: str, marked: Column | None = None) -> Column:
@@ -171,18 +177,34 @@ def _places(text: Column, terms: Column, taken: Column) -> Column:
     return F.aggregate(pieces, zero, step, lambda acc: acc["out"])
 
 
+def _sieve(keys: DataFrame, rate: float = 0.01, most: int = _MOST_BITS) -> Callable[[Column], Column]:
+    """A test by bits alone that each key (the first column) passes, and others at about this rate."""
+    spark, n = keys.sparkSession, max(1, keys.count())
+    bits = 64 * math.ceil(min(most, -n * math.log(rate) / math.log(2) ** 2) / 64)
+    hashes = max(1, min(round(-math.log2(rate)), round(bits / n * math.log(2))))
+    spots = keys.select(F.explode(F.array(*_positions(F.col(keys.columns[0]), 0, hashes, bits))).alias("p"))
+    ones = spots.select(F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("b"))
+    zeros = spark.range(bits // 64).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("b"))
+    full = ones.union(zeros).groupBy("w").agg(F.bit_or("b").alias("b"))
+    table = written(full.agg(F.transform(F.sort_array(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("words")), "sieve")
+    return lambda key: _hit(table.scalar(), _positions(key, 0, hashes, bits))
+
+
 def find_personal_data(docs: DataFrame, threshold: float = 0.9, support: int = 2) -> DataFrame:
     """docs with a column of spans for each kind and for term."""
     own = [c for c in docs.columns if c not in (*KINDS, "term", "__row")]
     found = with_entities(docs.select(*[F.col(f"`{c}`") for c in own]))
     rows = written(found.withColumn("__row", F.monotonically_increasing_id()), "entities")
     told = written(disclosing(rows, rows.where(_any()), threshold, support).select("term").distinct(), "disclosing")
-    each = rows.select("__row", F.explode(F.array_distinct(words_of(text_of()))).alias("term"))
-    # written, so that its size is known: while it is small, texts need not move to meet it
+    each = rows.select("__row", F.explode(F.array_distinct(words_of(text_of()))).alias("term")).where(_sieve(told)(F.col("term")))
     hits = written(each.join(told, "term", "left_semi").groupBy("__row").agg(F.collect_list("term").alias("__terms")), "hits")
+    near = _sieve(hits)(F.col("__row"))
     none = F.array().cast(_SPAN)
     term = F.when(F.col("__terms").isNotNull(), _places(text_of(), F.col("__terms"), F.concat(*KINDS))).otherwise(none)
-    return rows.join(hits, "__row", "left").select(*[F.col(f"`{c}`") for c in own], *KINDS, term.alias("term"))
+    kept = [*[F.col(f"`{c}`") for c in own], *KINDS]
+    # hits grow with the corpus: no broadcast while they are few, so that a small run moves what a large one does
+    held = rows.where(near).join(hits.hint("merge"), "__row", "left").select(*kept, term.alias("term"))
+    return held.union(rows.where(~near).select(*kept, none.alias("term")))
 
 
 def digest(kinds: tuple[str, ...]) -> Column:

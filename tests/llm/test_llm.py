@@ -473,6 +473,46 @@ def test_disclosing_terms_at_any_distance(spark):
         assert terms[i] == want, i
 
 
+def shuffled(spark):
+    """Bytes that all stages so far have written to shuffle files."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_texts_without_terms_do_not_move(spark):
+    r = random.Random(66)
+    rows = [(i, " ".join(f"{r.getrandbits(64):x}" for _ in range(200))) for i in range(1000)]
+    rows += [(2000 + i, "call zebulon42 quagmire at q.z@mail.org about it") for i in range(4)] + [(3000, "zebulon42 again"), (3001, None), (3002, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept, moved = {}, {}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for threshold in (before, "-1"):  # few hits, and more than a broadcast takes
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+            found = pii.find_personal_data(docs)
+            at = shuffled(spark)
+            found.write.format("noop").mode("overwrite").save()
+            moved[threshold] = shuffled(spark) - at
+            kept[threshold] = sorted((x.doc_id, x.text, x.spans) for x in found.withColumn("spans", pii.digest((*pii.KINDS, "term"))).collect() if x.text)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert kept[before] == kept["-1"] and len(kept["-1"]) == len(rows) - 2
+    assert {i: s for i, _, s in kept["-1"]}[3000] == "term:0:9" and {i: s for i, _, s in kept["-1"]}[2000].startswith("email:27:39,term:0:4,term:5:14")
+    whole = sum(len(t or "") for _, t in rows)
+    assert moved["-1"] < 0.1 * whole and moved["-1"] < 2 * max(moved[before], 0.01 * whole)
+
+
+def test_sieve_loses_no_key(spark):
+    keys = spark.createDataFrame([(f"k{i}",) for i in range(500)], "k string")
+    for most, least, top in ((1 << 27, 500, 600), (64, 500, 3500)):  # sized by the keys; far too small for them
+        test = pii._sieve(keys, most=most)
+        passed = {x.k for x in spark.createDataFrame([(f"k{i}",) for i in range(3500)], "k string").where(test(F.col("k"))).collect()}
+        assert {f"k{i}" for i in range(500)} <= passed and least <= len(passed) <= top
+    assert spark.createDataFrame([("k1",)], "k string").where(pii._sieve(keys.limit(0))(F.col("k"))).count() == 0
+
+
 # op7
 def test_leaks(spark, odd, none, clash):
     r = random.Random(7)
