@@ -35,7 +35,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -74,9 +74,64 @@ def _planes(x: np.ndarray, n: int = 5) -> np.ndarray:
 
 
 def _whole(x: np.ndarray, n: int = 5) -> np.ndarray:
-    out = np.zeros((len(x) // n, 8), dtype=np.uint8)
-    out[:, :n] = x.reshape(n, -1).T
-    return out.view("<i8").ravel()
+    planes = x.reshape(n, -1)
+    out = planes[0].astype(np.int64)
+    for k in range(1, n):
+        if planes[k].any():
+            out |= planes[k].astype(np.int64) << (8 * k)
+    return out
+
+
+def _packed(x: np.ndarray, low: int) -> np.ndarray:
+    """Sorted numbers that hold a value, and in their lowest bits its place. Sorting them takes a fraction of the time
+    of sorting places by value."""
+    out = x << np.uint64(low)
+    out |= np.arange(len(x), dtype=np.uint64)
+    out.sort()
+    return out
+
+
+def _order(x: np.ndarray, bits: int) -> np.ndarray:
+    """Stable order of whole numbers from 0 to 2 ** bits - 1."""
+    low = max(1, len(x).bit_length())
+    if bits + low > 64:
+        return np.argsort(x, kind="stable")
+    out = _packed(x.astype(np.uint64, copy=False), low)
+    out &= np.uint64((1 << low) - 1)
+    return out.view(np.int64)
+
+
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct whole numbers of 0 or more in order, where each first stands, and each number's place among them. Where
+    value and place need more than 64 bits, the highest bits of the value are tried first."""
+    if not len(x):
+        return x, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    u = x.view(np.uint64)
+    low = max(1, len(x).bit_length())
+    drop = max(0, int(u.max()).bit_length() + low - 64)
+    order = _packed(u >> np.uint64(drop) if drop else u, low)
+    found = None if drop else order >> np.uint64(low)
+    order &= np.uint64((1 << low) - 1)
+    order = order.view(np.int64)
+    if found is None:
+        found = u[order]
+        if (found[1:] < found[:-1]).any():  # values that differ in their lowest bits alone
+            order = np.argsort(u, kind="stable")
+            found = u[order]
+    new = np.ones(len(found), dtype=bool)
+    np.not_equal(found[1:], found[:-1], out=new[1:])
+    inverse = np.empty(len(x), dtype=np.int64)
+    place = np.cumsum(new)
+    place -= 1
+    inverse[order] = place
+    return found[new].view(x.dtype), order[new], inverse
+
+
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    new = np.ones(len(x), dtype=bool)
+    new[1:] = x[1:] != x[:-1]
+    return np.flatnonzero(new)
 
 
 # random draws
@@ -116,9 +171,11 @@ def stirling(discount: float) -> list[np.ndarray]:
 _LGAMMA = np.vectorize(math.lgamma, otypes=[float])
 
 
-def stirling_far(c: int, t: np.ndarray, discount: float) -> np.ndarray:
-    """The same for many customers, as the integral of the generating function (1 - (1 - z) ** discount) ** t along the
-    parabola 1 - z = e * (1 + iu) ** 2 through its saddle point, or further from the branch at 1 for few tables."""
+def stirling_far(c: int | np.ndarray, t: np.ndarray, discount: float) -> np.ndarray:
+    """The same for many customers (one number, or one for each t), as the integral of the generating function
+    (1 - (1 - z) ** discount) ** t along the parabola 1 - z = e * (1 + iu) ** 2 through its saddle point, or further from
+    the branch at 1 for few tables."""
+    c = np.broadcast_to(np.asarray(c, dtype=float), t.shape)
     want = np.log(np.maximum(c / t, 1 + 1e-12))
     # s = -log(1 - z); the mean size of a table at the saddle point is c / t
     log_mean = lambda s: np.log(discount) + np.log(-np.expm1(-s)) + s * (1 - discount) - np.log(-np.expm1(-discount * s))
@@ -127,47 +184,75 @@ def stirling_far(c: int, t: np.ndarray, discount: float) -> np.ndarray:
         s = (low + high) / 2
         more = log_mean(s) < want
         low, high = np.where(more, s, low), np.where(more, high, s)
-    s = np.minimum(s, math.log(c / 4))  # few tables: the power of z falls off at about 1 / c
+    s = np.minimum(s, np.log(c / 4))  # few tables: the power of z falls off at about 1 / c
     mean, e, z = np.exp(log_mean(s)), np.exp(-s), -np.expm1(-s)
     spread = np.maximum(t * mean * (1 + (1 - discount) * np.expm1(s) - mean), 1e-9)
     width = np.minimum(z / (2 * e * np.sqrt(spread)), 1 / np.sqrt(2 * c * e))
     step = 14 * width / NODES
     v = 1 + 1j * step[:, None] * np.arange(NODES)
     at_saddle = t * np.log(-np.expm1(-discount * s)) - (c + 1) * np.log(z)
-    f = t[:, None] * np.log(1 - (e**discount)[:, None] * v ** (2 * discount)) - (c + 1) * np.log(1 - e[:, None] * v * v)
+    f = t[:, None] * np.log(1 - (e**discount)[:, None] * v ** (2 * discount)) - (c + 1)[:, None] * np.log(1 - e[:, None] * v * v)
     real = (np.exp(f - at_saddle[:, None]) * v).real
     total = (real.sum(axis=1) - 0.5 * real[:, 0]) * step * 2 * e / np.pi
-    return math.lgamma(c + 1) - _LGAMMA(t + 1) - t * math.log(discount) + at_saddle + np.log(np.maximum(total, 1e-300))
+    return _LGAMMA(c + 1) - _LGAMMA(t + 1) - t * math.log(discount) + at_saddle + np.log(np.maximum(total, 1e-300))
 
 
 def _far(c: int, log_a: float, log_h: float, alpha: float, beta: float, discount: float) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of tables of a dish of many customers, and the sums of their weights; see drawn. beta below 0: no alpha."""
-
-    def weight(t: np.ndarray) -> np.ndarray:
-        out = stirling_far(c, t, discount) + t * log_a + log_h
-        if beta < 0:
-            return out + (t - 1) * log_h
-        return out + _LGAMMA(alpha + t) - math.lgamma(alpha + 1) - _LGAMMA(beta + t) + math.lgamma(beta + 1)
-
-    low, high = 1.0, float(c)
-    while high - low > 64:  # the weights have one peak
-        t = np.linspace(low, high, 17)
-        k = int(np.argmax(weight(t)))
-        low, high = t[max(0, k - 1)], t[min(16, k + 1)]
-        if high - low < 0.02 * high:
-            break
+    return next(_far_each(*(np.array([x]) for x in (c, log_a, log_h, alpha, beta)), discount))
+
+
+def _far_each(c: np.ndarray, log_a: np.ndarray, log_h: np.ndarray, alpha: np.ndarray, beta: np.ndarray, discount: float, known: dict | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """_far for each of many dishes. known: rows of Stirling numbers that earlier calls met in their search."""
+    for x in range(0, len(c), 256):
+        yield from _far_at_once(*(y[x : x + 256].astype(float) for y in (c, log_a, log_h, alpha, beta)), discount, {} if known is None else known)
+
+
+def _far_at_once(c: np.ndarray, log_a: np.ndarray, log_h: np.ndarray, alpha: np.ndarray, beta: np.ndarray, discount: float, known: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def numbers(t: np.ndarray, some: np.ndarray) -> np.ndarray:
+        """Stirling numbers for rows of t between the same ends, with those that are not known yet added."""
+        keys = list(zip(c[some].tolist(), t[:, 0].tolist(), t[:, -1].tolist(), [t.shape[1]] * len(some), strict=True))
+        new = np.array([i for i, k in enumerate(keys) if k not in known], dtype=np.int64)
+        if len(new):
+            rows = stirling_far(np.repeat(c[some[new]], t.shape[1]), t[new].ravel(), discount).reshape(-1, t.shape[1])
+            known.update((keys[i], row) for i, row in zip(new.tolist(), rows, strict=True))
+        return np.array([known[k] for k in keys]).ravel()
+
+    def weight(t: np.ndarray, some: np.ndarray, search: bool = False) -> np.ndarray:
+        """A row of numbers of tables for each of some dishes."""
+        each = np.repeat(some, t.shape[1])
+        flat, h, a, b = t.ravel(), log_h[each], alpha[each], beta[each]
+        plain = b < 0
+        out = (numbers(t, some) if search else stirling_far(c[each], flat, discount)) + flat * log_a[each] + h
+        out[plain] += (flat[plain] - 1) * h[plain]
+        flat, a, b = flat[~plain], a[~plain], b[~plain]
+        if len(flat):
+            out[~plain] += _LGAMMA(a + flat) - _LGAMMA(a + 1) - _LGAMMA(b + flat) + _LGAMMA(b + 1)
+        return out.reshape(t.shape)
+
+    low, high = np.ones(len(c)), c.copy()
+    todo = np.flatnonzero(high - low > 64)
+    while len(todo):  # the weights have one peak
+        t = np.linspace(low[todo], high[todo], 17, axis=1)
+        k, row = np.argmax(weight(t, todo, True), axis=1), np.arange(len(todo))
+        low[todo], high[todo] = t[row, np.maximum(0, k - 1)], t[row, np.minimum(16, k + 1)]
+        wide = high[todo] - low[todo]
+        todo = todo[(wide >= 0.02 * high[todo]) & (wide > 64)]
+    every = np.arange(len(c))
     top = (low + high) / 2
-    step = max(1.0, 0.01 * top)
-    bend = -(weight(np.array([max(1.0, top - step), top, min(float(c), top + step)])) @ np.array([1, -2, 1.0])) / step**2
-    reach = 9 / math.sqrt(max(bend, 1e-12)) + (high - low) + 20
-    t = np.arange(max(1, math.floor(top - reach)), min(c, math.ceil(top + reach)) + 1, dtype=float)
-    if len(t) > 64:  # the logarithms are smooth: a polynomial through 25 of them gives the others
-        half = (t[-1] - t[0]) / 2
-        fit = np.polynomial.chebyshev.chebinterpolate(lambda x: weight(t[0] + half * (x + 1)), 24)
-        w = np.polynomial.chebyshev.chebval((t - t[0]) / half - 1, fit)
-    else:
-        w = weight(t)
-    return t, np.cumsum(np.exp(w - w.max()))
+    step = np.maximum(1.0, 0.01 * top)
+    bend = -(weight(np.stack([np.maximum(1.0, top - step), top, np.minimum(c, top + step)], axis=1), every, True) @ np.array([1, -2, 1.0])) / step**2
+    reach = 9 / np.sqrt(np.maximum(bend, 1e-12)) + (high - low) + 20
+    first, last = np.maximum(1.0, np.floor(top - reach)), np.minimum(c, np.ceil(top + reach))
+    # the logarithms are smooth: a polynomial through 25 of them gives the others, where there are more than 64
+    half = (last - first) / 2
+    nodes = np.polynomial.chebyshev.chebpts1(25)
+    fits = np.polynomial.chebyshev.chebvander(nodes, 24).T @ weight(first[:, None] + half[:, None] * (nodes + 1), every).T * (2 / 25)
+    fits[0] /= 2
+    for i in every:
+        t = np.arange(first[i], last[i] + 1)
+        w = np.polynomial.chebyshev.chebval((t - t[0]) / half[i] - 1, fits[:, i]) if len(t) > 64 else weight(t[None, :], every[i : i + 1])[0]
+        yield t, np.cumsum(np.exp(w - w.max()))
 
 
 def _pick(found: tuple[np.ndarray, np.ndarray], u: np.ndarray | float) -> np.ndarray:
@@ -179,30 +264,60 @@ def drawn(c: np.ndarray, log_a: np.ndarray, log_h: np.ndarray, alpha: np.ndarray
     """The number of tables of each dish of c customers. log_a: of discount times x; log_h: of the parent's probability of
     the dish; the parent's i-th draw after the first one has (alpha + i) / (beta + i), or log_h again without them."""
     out, rows = np.ones(len(c), dtype=np.int64), stirling(discount)
-    order = np.argsort(c, kind="stable")
-    sizes, first = np.unique(c[order], return_index=True)
-    for n, a, b in zip(sizes.tolist(), first, np.append(first[1:], len(c)), strict=True):
+    order = _order(c, int(c.max(initial=0)).bit_length())
+    first = _runs(c[order])
+    sizes, ends = c[order][first].tolist(), np.append(first[1:], len(c)).tolist()
+    first, k = first.tolist(), 0
+    while k < len(sizes):
+        n, a, b = sizes[k], first[k], ends[k]
+        k += 1
         if n < 2:
             continue
         if n > ROWS:
-            for i in order[a:b]:
-                out[i] = _pick(_far(n, log_a[i], log_h[i], 0.0 if alpha is None else alpha[i], -1.0 if beta is None else beta[i], discount), u[i])
-            continue
-        t = np.arange(1, n + 1)
-        for x in range(a, b, max(1, 1_000_000 // n)):
-            i = order[x : min(b, x + max(1, 1_000_000 // n))]
-            w = np.empty((len(i), n))
-            w[:, 0] = log_h[i]
-            if beta is None:
-                w[:, 1:] = log_h[i][:, None]
-            else:
-                w[:, 1:] = np.log((alpha[i][:, None] + t[:-1]) / (beta[i][:, None] + t[:-1]))
-            w = np.cumsum(w + log_a[i][:, None], axis=1) + rows[n]
-            total = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
-            out[i] = (total < u[i][:, None] * total[:, -1:]).sum(axis=1) + 1
+            i = order[a:]
+            none = np.zeros(len(i)), np.full(len(i), -1.0)
+            found = _far_each(c[i], log_a[i], log_h[i], none[0] if alpha is None else alpha[i], none[1] if beta is None else beta[i], discount)
+            out[i] = [int(_pick(f, x)) for f, x in zip(found, u[i], strict=True)]
+            break
+        if n > 8:  # sizes that are almost the same go together, as none has many dishes
+            while k < len(sizes) and sizes[k] <= min(ROWS, n + n // 4) and ends[k] - a <= 1_000_000 // sizes[k]:
+                b, k = ends[k], k + 1
+        top = sizes[k - 1]
+        for x in range(a, b, max(1, 1_000_000 // top)):
+            i = order[x : min(b, x + max(1, 1_000_000 // top))]
+            out[i] = _drawn_alike(c[i], top, log_a[i], log_h[i], None if alpha is None else alpha[i], None if beta is None else beta[i], u[i], rows)
     return out
 
 
+def _drawn_alike(c: np.ndarray, top: int, log_a: np.ndarray, log_h: np.ndarray, alpha: np.ndarray | None, beta: np.ndarray | None, u: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    """drawn for dishes in the order of their customers, of which none has more than top."""
+    if top <= 8:  # dishes of one size, one number of tables after the other
+        w, total = [log_h + log_a], []
+        for t in range(1, top):
+            w.append(w[-1] + ((log_h if beta is None else np.log((alpha + t) / (beta + t))) + log_a))
+        w = [x + y for x, y in zip(w, rows[top], strict=True)]
+        best = np.maximum.reduce(w)
+        for x in w:
+            x = np.exp(x - best)
+            total.append(total[-1] + x if total else x)
+        bound = u * total[-1]
+        return sum((x < bound).astype(np.int64) for x in total) + 1
+    t = np.arange(1, top + 1)
+    w = np.empty((len(c), top))
+    w[:, 0] = log_h
+    if beta is None:
+        w[:, 1:] = log_h[:, None]
+    else:
+        w[:, 1:] = np.log((alpha[:, None] + t[:-1]) / (beta[:, None] + t[:-1]))
+    w = np.cumsum(w + log_a[:, None], axis=1)
+    begin = _runs(c)
+    for x, y in zip(begin.tolist(), [*begin[1:].tolist(), len(c)], strict=True):
+        w[x:y, : c[x]] += rows[c[x]]
+        w[x:y, c[x] :] = -np.inf
+    total = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
+    return (total < u[:, None] * total[:, -1:]).sum(axis=1) + 1
+
+
 class Families:
     """Restaurants of pairs of context words, with the parents that they share.
 
@@ -268,11 +383,13 @@ class Families:
 
 def corpus_tables(customers: np.ndarray, words: np.ndarray, strength: float, discount: float, burn: int, samples: int) -> np.ndarray:
     """The corpus restaurant's mean number of tables for words of so many customers; words: how many there are of each."""
-    known, rng, total = float(words.sum()), np.random.default_rng(1), np.zeros(len(customers))
+    known, rng, total, met = float(words.sum()), np.random.default_rng(1), np.zeros(len(customers)), {}
     held = known
     for n in range(burn + samples):
         log_a = math.log(discount * rng.gamma(strength / discount + held)) - math.log(known + 1)
         mean = np.ones(len(customers))
+        large = customers[customers > ROWS]
+        far = _far_each(large, np.full(len(large), log_a), np.zeros(len(large)), np.zeros(len(large)), np.full(len(large), -1.0), discount, met)
         for i, (c, k) in enumerate(zip(customers.tolist(), words.tolist(), strict=True)):
             if 1 < c <= ROWS:
                 t = np.arange(1, c + 1)
@@ -280,7 +397,7 @@ def corpus_tables(customers: np.ndarray, words: np.ndarray, strength: float, dis
                 w = np.exp(w - w.max())
                 mean[i] = rng.multinomial(k, w / w.sum()) @ t / k
             elif c > ROWS:
-                mean[i] = _pick(_far(c, log_a, 0.0, 0.0, -1.0, discount), rng.random(k)).mean()
+                mean[i] = _pick(next(far), rng.random(k)).mean()
         held = float(mean @ words)
         if n >= burn:
             total += mean
@@ -304,7 +421,7 @@ class _Words:
         h[starts[:-1] + 1] = _START
         h[np.arange(len(of_words)) + 3 * np.repeat(np.arange(len(self.lengths)), np.diff(begin)) + 2] = of_words
         self.held_out = np.array([zlib.crc32(b"" if i is None else str(i).encode()) % modulus == held_out for i in block.ids], dtype=bool)
-        self.words, self.place = np.unique(h, return_inverse=True)
+        self.words, _, self.place = _distinct(h)
         cur = np.ones(len(h), dtype=bool)
         cur[starts[:-1]] = False
         cur[starts[:-1] + 1] = False
@@ -313,7 +430,7 @@ class _Words:
         self.train, self.buckets = np.repeat(~self.held_out, self.lengths), buckets
         self.word_count = np.bincount(self.token, weights=self.train, minlength=len(self.words)).astype(np.int64)
         self.word_bucket = shard_of(self.words) % buckets
-        self.word_order = np.argsort(self.word_bucket, kind="stable")
+        self.word_order = _order(self.word_bucket, SHARDS.bit_length())
         self.word_cuts = np.searchsorted(self.word_bucket[self.word_order], np.arange(buckets + 1))
 
     def count_questions(self) -> list[tuple[int, bytes]]:
@@ -329,18 +446,11 @@ class _Words:
         count, number = np.zeros(len(self.words), dtype=np.int64), np.zeros(len(self.words), dtype=np.int64)
         for b, payload in answers.items():
             some = self.word_order[self.word_cuts[b] : self.word_cuts[b + 1]]
-            c, n = _spread_out(payload)
+            c, n, _ = _spread_out(payload)
             count[some], number[some] = _whole(c), _whole(n)
         return count, number * SHARDS + shard_of(self.words)
 
 
-def _runs(x: np.ndarray) -> np.ndarray:
-    """Where each run of equal values begins."""
-    new = np.ones(len(x), dtype=bool)
-    new[1:] = x[1:] != x[:-1]
-    return np.flatnonzero(new)
-
-
 class _Triples(_Words):
     """A block's distinct triples of a parent, a word and a first context word, with the triple of each token.
 
@@ -349,21 +459,21 @@ class _Triples(_Words):
 
     def __init__(self, block: Block, hot: np.ndarray, buckets: int, modulus: int, held_out: int) -> None:
         super().__init__(block, buckets, modulus, held_out)
-        n = max(1, len(self.words))
+        bits = len(self.words).bit_length()
         first, second = self.place[self.at - 2].astype(np.int64), self.place[self.at - 1].astype(np.int64)
         part = np.where(np.isin(self.words, hot)[second], (self.words[first] % np.uint64(PARTS)).astype(np.int64) + 1, 0)
-        families, family = np.unique(second * (PARTS + 1) + part, return_inverse=True)
+        families, _, family = _distinct(second * (PARTS + 1) + part)
         keys = mix(mix(self.words[families // (PARTS + 1)]) + (families % (PARTS + 1)).astype(np.uint64))
         dealt = ((keys >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(dealt, kind="stable")
+        order = _order(dealt, buckets.bit_length())
         rank = np.empty(len(order), dtype=np.int64)
         rank[order] = np.arange(len(order))
         self.families, dealt = families[order], dealt[order]
-        dishes, dish = np.unique(rank[family] * n + self.token, return_inverse=True)
-        triples, self.triple = np.unique(dish.astype(np.int64) * n + first, return_inverse=True)
+        dishes, _, dish = _distinct((rank[family] << bits) | self.token)
+        triples, _, self.triple = _distinct((dish << bits) | first)
         self.count = np.bincount(self.triple, weights=self.train, minlength=len(triples)).astype(np.int64)
-        self.dish, self.first = np.divmod(triples, n)
-        self.family, self.right = np.divmod(dishes, n)
+        self.dish, self.first = triples >> bits, triples & ((1 << bits) - 1)
+        self.family, self.right = dishes >> bits, dishes & ((1 << bits) - 1)
         edges = np.arange(buckets + 1)
         self.dish_cuts = np.searchsorted(dealt[self.family], edges)
         self.triple_cuts = np.searchsorted(dealt[self.family[self.dish]], edges)
@@ -383,15 +493,14 @@ class _Triples(_Words):
             out.append((int(b), _squeezed(_planes(number[second], _ID), part.astype(np.uint8), _planes(np.diff(np.append(heads, len(family)))), _planes(number[w], _ID), shares[w], _planes(each), _planes(number[self.first[triples]], _ID), _planes(c))))
         return out
 
-    def told(self, answers: Answer, strength: float, discount: float, samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each triple its probability without the corpus restaurant's part, and that part's weight; of the tables
-        of each of the parents' dishes those that this block is to pass on."""
-        own, weight, tables = np.zeros(len(self.dish)), np.ones(len(self.dish)), np.zeros(len(self.family), dtype=np.int64)
+    def told(self, answers: Answer, strength: float, discount: float, samples: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each triple its probability without the corpus restaurant's part, and that part's weight."""
+        own, weight = np.zeros(len(self.dish)), np.ones(len(self.dish))
         for b, payload in answers.items():
             if b < 0:
                 continue
             dishes, triples = self._part(b)
-            low, high, c2, t2, guests2, held2, low1, high1, c1, t1, guests1, held1, passed = _spread_out(payload)
+            low, high, c2, t2, guests2, held2, low1, high1, c1, t1, guests1, held1 = _spread_out(payload)
             c2, t2, guests2, held2, c1, t1 = (_whole(x).astype(float) for x in (c2, t2, guests2, held2, c1, t1))
             code, code1 = (x.astype(np.int64) | (y.astype(np.int64) << 8) for x, y in ((low, high), (low1, high1)))
             family = self.family[dishes]
@@ -404,16 +513,7 @@ class _Triples(_Words):
             total2 = samples * (strength + guests2)
             a2, b2 = ((samples * c2 - discount * t2) / total2)[code], ((samples * strength + discount * held2) / total2)[code]
             own[triples], weight[triples] = a2 + b2 * a1[here], b2 * b1[here]
-            tables[dishes] = _whole(passed)
-        return own, weight, tables
-
-    def word_questions(self, tables: np.ndarray) -> list[tuple[int, bytes]]:
-        total = np.bincount(self.right, weights=tables, minlength=len(self.words))
-        out = []
-        for b in np.flatnonzero(np.diff(self.word_cuts)):
-            some = self.word_order[self.word_cuts[b] : self.word_cuts[b + 1]]
-            out.append((-_OFFSET - int(b), _squeezed(self.words[some], _planes(self.word_count[some]), _planes(total[some]))))
-        return out
+        return own, weight
 
     def words_told(self, answers: Answer) -> tuple[np.ndarray, np.ndarray]:
         count, guests = np.zeros(len(self.words)), np.zeros(len(self.words), dtype=np.int64)
@@ -428,16 +528,21 @@ class _Triples(_Words):
 def _coded(usual: np.ndarray, *columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct rows of columns of whole numbers and each row's number among them. usual: rows that are all the same."""
     odd = np.flatnonzero(~usual)
-    code = np.zeros(len(odd), dtype=np.int64)
+    code, high = np.zeros(len(odd), dtype=np.int64), 0
     for c in columns:
-        _, mine = np.unique(c[odd], return_inverse=True)
-        _, code = np.unique(code * (int(mine.max(initial=0)) + 1) + mine, return_inverse=True)
+        mine = c[odd]
+        more = int(mine.max(initial=0))
+        if (high + 1) * (more + 1) >= 1 << 40:  # numbers instead of values, which are smaller
+            _, _, code = _distinct(code)
+            _, _, mine = _distinct(mine)
+            high, more = int(code.max(initial=0)), int(mine.max(initial=0))
+        code, high = code * (more + 1) + mine, high * (more + 1) + more
+    _, first, code = _distinct(code)
     times = np.bincount(code)
     order = np.argsort(-times, kind="stable")
     rank = np.empty(len(order), dtype=np.int64)
     rank[order] = np.arange(len(order)) + 1
-    first = np.full(len(times), len(columns[0]), dtype=np.int64)
-    np.minimum.at(first, code, odd)
+    first = odd[first]
     first = np.append(np.argmax(usual), first[order])  # the row that is usual stands first, if there is one
     out = np.zeros(len(usual), dtype=np.int64)
     out[odd] = rank[code]
@@ -454,27 +559,27 @@ def _answer_codes(tables: list[np.ndarray], code: np.ndarray) -> list[np.ndarray
     return [mine.astype(np.uint8), (mine >> 8).astype(np.uint16), *[_planes(t[known]) for t in tables]]
 
 
-def _seater(strength: float, discount: float, burn: int, samples: int):
-    def answer(payloads: list[bytes]) -> list[bytes]:
+def _seater(strength: float, discount: float, burn: int, samples: int, buckets: int):
+    """Answers to blocks, and by bucket of words what all its parents' tables are for the corpus restaurant."""
+
+    def answer(payloads: list[bytes]) -> tuple[list[bytes], list[tuple[int, bytes]]]:
         parts = [_spread_out(p) for p in payloads]
         parts = [[_whole(p[0], _ID), p[1].astype(np.int64), _whole(p[2]), _whole(p[3], _ID), p[4], _whole(p[5]), _whole(p[6], _ID), _whole(p[7])] for p in parts]
         join = lambda i: np.concatenate([p[i] for p in parts])
-        families, here = np.unique(join(0) * (PARTS + 1) + join(1), return_inverse=True)
-        of, w, each, first, count = np.repeat(here, join(2)), join(3), join(5), join(6), join(7)
-        order = np.lexsort((w, of))
-        new = np.ones(len(w), dtype=bool)
-        new[1:] = (of[order][1:] != of[order][:-1]) | (w[order][1:] != w[order][:-1])
-        heads = order[new]  # of equal dishes the first block's, as the order is stable
-        dish = np.empty(len(w), dtype=np.int64)
-        dish[order] = np.cumsum(new) - 1
-        family, word = of[heads], w[heads]
+        families, _, here = _distinct(join(0) * (PARTS + 1) + join(1))
+        of, each, first, count = np.repeat(here, join(2)), join(5), join(6), join(7)
+        # words and first context words get numbers of this task, so that a pair of numbers fits into one
+        words, _, w = _distinct(join(3))
+        numbers, _, first = _distinct(first)
+        dishes, heads, dish = _distinct(of * len(words) + w)
+        family = of[heads]
+        right = dishes - family * len(words)
+        word = words[right]
         share = np.exp(-_STEP * join(4)[heads].astype(float))
-        # first context words get numbers of this task, so that a pair of numbers fits into one
-        numbers, first = np.unique(first, return_inverse=True)
-        kinds, triple = np.unique(np.repeat(dish, each) * len(numbers) + first, return_inverse=True)
+        kinds, _, triple = _distinct(np.repeat(dish, each) * len(numbers) + first)
         c2 = np.bincount(triple, weights=count, minlength=len(kinds)).astype(np.int64)
-        at, context = np.divmod(kinds, len(numbers))
-        contexts, pair = np.unique(family[at] * len(numbers) + context, return_inverse=True)
+        at = kinds // len(numbers)
+        contexts, _, pair = _distinct(family[at] * len(numbers) + (kinds - at * len(numbers)))
         key1, key_word, key_first = mix(families.astype(np.uint64)), mix(word.astype(np.uint64)), mix(numbers.astype(np.uint64) + _GOLD)
         key_dish, key_pair = mix(key1[family] + key_word), mix(key1[contexts // len(numbers)] + key_first[contexts % len(numbers)])
         run = Families(c2, at, pair, family, share, (key_pair, mix(key_pair[pair] + key_dish[at]), key1, key_dish), strength, discount)
@@ -482,21 +587,41 @@ def _seater(strength: float, discount: float, burn: int, samples: int):
         held2, guests2 = got["held2"][pair], run.guests2.astype(np.int64)[pair]
         table2, code2 = _coded((c2 == 1) & (guests2 == 1), c2, got["t2"], guests2, held2)
         table1, code1 = _coded((got["c1"] == samples) & (got["t1"] == samples), got["c1"], got["t1"])
-        passed = np.zeros(len(w), dtype=np.int64)
-        passed[heads] = run.t1
         out, a, b, f = [], 0, 0, 0
         for p in parts:
             mine, those, mine_families = slice(a, a + len(p[3])), slice(b, b + len(p[6])), here[f : f + len(p[0])]
             a, b, f = mine.stop, those.stop, f + len(p[0])
-            out.append(_squeezed(*_answer_codes(table2, code2[triple[those]]), *_answer_codes(table1, code1[dish[mine]]), _planes(got["guests1"][mine_families]), _planes(got["held1"][mine_families]), _planes(passed[mine])))
-        return out
+            out.append(_squeezed(*_answer_codes(table2, code2[triple[those]]), *_answer_codes(table1, code1[dish[mine]]), _planes(got["guests1"][mine_families]), _planes(got["held1"][mine_families])))
+        tables = np.bincount(right, weights=run.t1, minlength=len(words)).astype(np.int64)
+        words, tables = words[tables > 0], tables[tables > 0]
+        bucket = words % SHARDS % buckets
+        order = _order(bucket, SHARDS.bit_length())
+        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        passed = []
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
+            some = order[cuts[b] : cuts[b + 1]]
+            passed.append((b, _squeezed(_planes(np.diff(words[some], prepend=0), _ID), _planes(tables[some]))))
+        return out, passed
 
     return answer
 
 
-def _counter(payloads: list[bytes], common: float) -> list[bytes]:
+def _seated(requests: DataFrame, answer: Callable[[list[bytes]], tuple[list[bytes], list[tuple[int, bytes]]]]) -> DataFrame:
+    """As answered, and with the first row of a bucket what it passes on to others: passed, of bucket and payload."""
+    passes = pa.list_(pa.struct([("bucket", pa.int32()), ("payload", pa.binary())]))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")
+        out, passed = answer(table.column("payload").to_pylist())
+        passed = pa.array([[{"bucket": b, "payload": p} for b, p in passed]] + [None] * (len(out) - 1), passes)
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "payload": pa.array(out, pa.binary()), "passed": passed}, schema=pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary()), ("passed", passes)]))
+
+    return requests.groupBy("bucket").applyInArrow(run, "block long, bucket int, payload binary, passed array<struct<bucket int, payload binary>>")
+
+
+def _counter(payloads: list[bytes], common: float, buckets: int) -> list[bytes]:
     parts = [_spread_out(p) for p in payloads]
-    words, kind = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    words, _, kind = _distinct(np.concatenate([p[0] for p in parts]))
     count, every = (np.bincount(kind, weights=np.concatenate([_whole(p[k]) for p in parts]), minlength=len(words)) for k in (1, 2))
     # words with a share of all tokens have it of this bucket's too
     some = np.flatnonzero((every > 0) & (every >= common * every.sum()))
@@ -508,25 +633,41 @@ def _counter(payloads: list[bytes], common: float) -> list[bytes]:
     for n, p in enumerate(parts):
         mine = kind[at : at + len(p[0])]
         at += len(p[0])
-        out.append(pack(np.frombuffer(_squeezed(_planes(count[mine]), _planes(number[mine])), dtype=np.uint8), *(head if n == 0 else [np.zeros(0)] * 3)))
+        out.append(pack(np.frombuffer(_squeezed(_planes(count[mine]), _planes(number[mine]), _planes(shard[mine] // buckets, 2)), dtype=np.uint8), *(head if n == 0 else [np.zeros(0)] * 3)))
     return out
 
 
-def _word_adder(payloads: list[bytes]) -> list[bytes]:
-    """Training tokens and customers of the corpus restaurant by word; the first answer has numbers of words by customers."""
-    parts = [_spread_out(p) for p in payloads]
-    words, kind = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    count, guests = (np.bincount(kind, weights=np.concatenate([_whole(p[k]) for p in parts]), minlength=len(words)) for k in (1, 2))
-    customers, times = np.unique(guests[guests > 0].astype(np.int64), return_counts=True)
-    out, at = [], 0
-    for n, p in enumerate(parts):
-        mine = kind[at : at + len(p[0])]
-        at += len(p[0])
+def _word_adder(bucket: int, buckets: int, counts: list[bytes], passed: list[bytes]) -> list[bytes]:
+    """For each block's answer from _counter training tokens and customers of the corpus restaurant by word, from what
+    was passed to this bucket; the first answer has numbers of words by customers."""
+    parts = [_spread_out(p) for p in passed]
+    words, _, kind = _distinct(np.concatenate([np.zeros(0, dtype=np.int64), *(np.cumsum(_whole(p[0], _ID)) for p in parts)]))
+    guests = np.bincount(kind, weights=np.concatenate([np.zeros(0), *(_whole(p[1]) for p in parts)]), minlength=len(words))
+    customers, times = np.unique(guests.astype(np.int64), return_counts=True)
+    words, guests = np.append(words, 1 << 62), np.append(guests, 0)
+    out = []
+    for n, p in enumerate(counts):
+        count, number, turn = _spread_out(unpack(p)[0].tobytes())
+        asked_for = _whole(number) * SHARDS + bucket + _whole(turn, 2) * buckets
+        at = np.searchsorted(words, asked_for)
         some = slice(None) if n == 0 else slice(0)
-        out.append(pack(np.frombuffer(_squeezed(_planes(count[mine]), _planes(guests[mine])), dtype=np.uint8), customers[some], times[some]))
+        out.append(pack(np.frombuffer(_squeezed(count, _planes(np.where(words[at] == asked_for, guests[at], 0))), dtype=np.uint8), customers[some], times[some]))
     return out
 
 
+def _words_added(counts: DataFrame, seatings: DataFrame, buckets: int) -> DataFrame:
+    """The answers of _word_adder, in buckets below minus _OFFSET."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")
+        bucket, rows = table.column("bucket")[0].as_py(), list(zip(table.column("block").to_pylist(), table.column("payload").to_pylist(), strict=True))
+        out = _word_adder(bucket, buckets, [p for b, p in rows if b >= 0], [p for b, p in rows if b < 0])
+        return pa.table({"block": pa.array([b for b, _ in rows if b >= 0], pa.int64()), "bucket": pa.array([-_OFFSET - bucket] * len(out), pa.int32()), "payload": pa.array(out, pa.binary())})
+
+    passed = seatings.select(F.explode("passed").alias("p")).select(F.lit(-1).cast("long").alias("block"), "p.bucket", "p.payload")
+    return counts.unionByName(passed).groupBy("bucket").applyInArrow(run, "block long, bucket int, payload binary")
+
+
 def _plain(answers: Answer) -> Answer:
     """Answers without what their bucket says in sum."""
     return {b: unpack(x)[0].tobytes() if b <= -_OFFSET else x for b, x in answers.items()}
@@ -545,7 +686,7 @@ def _totals_of_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 def counted(blocks: DataFrame, buckets: int, modulus: int, held_out: int, common: float = 0.001) -> tuple[DataFrame, float, float, np.ndarray]:
     """Answers with each word's training tokens, their sum, the number of known words, and the words with that share
     of all tokens or more."""
-    answers = written(answered(asked(blocks, lambda block, _: _Words(block, buckets, modulus, held_out).count_questions()), lambda payloads: _counter(payloads, common)), "counts")
+    answers = written(answered(asked(blocks, lambda block, _: _Words(block, buckets, modulus, held_out).count_questions()), lambda payloads: _counter(payloads, common, buckets)), "counts")
     totals = answers.select("payload").mapInArrow(lean(_totals_of_counts), "word long, n double, v double, every double")
     n, v, every = (x or 0.0 for x in totals.where("word IS NULL").agg(F.sum("n"), F.sum("v"), F.sum("every")).first())
     found = totals.where(F.col("word").isNotNull() & (F.col("every") >= common * every)).select("word").collect()
@@ -574,13 +715,8 @@ def score(docs: DataFrame, modulus: int = 5, held_out: int = 1, strength: float
         p = triples(block)
         return p.questions(*p.counts_told({b: unpack(x)[0].tobytes() for b, x in answers.items()}), tokens)
 
-    first = written(answered(asked(with_answers(blocks, zeroth), ask_triples), _seater(strength, discount, burn, samples)), "seatings")
-
-    def ask_words(block: Block, answers: Answer) -> list[tuple[int, bytes]]:
-        p = triples(block)
-        return p.word_questions(p.told(answers, strength, discount, samples)[2])
-
-    second = written(answered(asked(with_answers(blocks, first), ask_words), _word_adder), "words")
+    first = written(_seated(asked(with_answers(blocks, zeroth), ask_triples), _seater(strength, discount, burn, samples, buckets)), "seatings")
+    second = written(_words_added(zeroth, first, buckets), "words")
     # numbers of customers that differ are fewer than the root of twice their sum
     by_customers = second.select("payload").mapInArrow(lean(_by_customers), "customers long, words long").groupBy("customers").agg(F.sum("words").alias("words")).orderBy("customers").collect()
     customers, words = (np.array([r[i] for r in by_customers], dtype=np.int64) for i in range(2))
@@ -596,7 +732,7 @@ def score(docs: DataFrame, modulus: int = 5, held_out: int = 1, strength: float
                 block = Block(*(batch.column(c)[i].as_py() for c in ("ids", "lengths", "data")))
                 answers = _plain({a["round_bucket"]: a["payload"] for a in batch.column("answers")[i].as_py() or ()})
                 p = triples(block)
-                own, weight, _ = p.told(answers, strength, discount, samples)
+                own, weight = p.told(answers, strength, discount, samples)
                 count, g = p.words_told(answers)
                 corpus = with_base[np.where(g > 0, np.searchsorted(customers[:-1], g), len(customers) - 1)]
                 logs = np.log10(own + weight * corpus[p.right][p.dish])[p.triple]
@@ -612,4 +748,4 @@ def score(docs: DataFrame, modulus: int = 5, held_out: int = 1, strength: float
 
     forget(docs.sparkSession)
     kind = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double" + (", token_scores array<double>" if by_token else "")
-    return with_answers(blocks, first.unionAll(second)).select("ids", "lengths", "data", "answers").mapInArrow(lean(finish), kind)
+    return with_answers(blocks, first.drop("passed").unionAll(second)).select("ids", "lengths", "data", "answers").mapInArrow(lean(finish), kind)

@@ -314,6 +314,61 @@ def test_common_contexts_come_from_all_blocks(spark):
     assert "late" in names and set(hot.tolist()) == want
 
 
+def test_texts_are_read_three_times(spark, monkeypatch):
+    """Counts, triples and scores; what words get from their parents' tables comes from the seatings alone."""
+    asks, asked = [], pitman_yor.asked
+    monkeypatch.setattr(pitman_yor, "asked", lambda *a: asks.append(a) or asked(*a))
+    docs = spark.createDataFrame(list(enumerate(made(8, 60))), "doc_id long, text string")
+    assert pitman_yor.score(docs, block_bytes=1500).count() == 60 and len(asks) == 2
+
+
+def test_customers_of_words_are_the_tables_passed_on():
+    buckets, words = 3, np.array([5, 4096 + 5, 9 * 4096 + 5, 2 * 4096 + 8], dtype=np.int64)  # bucket 2, by shards 5 and 8
+    squeezed, planes = pitman_yor._squeezed, pitman_yor._planes
+    passed = [squeezed(planes(np.diff(x, prepend=0)), planes(np.array(n))) for x, n in ((words[[0, 1]], [3, 1]), (np.sort(words[[0, 3]]), [2, 7]))]
+    counts = []
+    for mine in ([1, 0, 3], [2, 0]):
+        shard = words[mine] % 4096
+        payload = squeezed(planes(np.array(mine) + 10), planes(words[mine] // 4096), planes(shard // buckets, 2))
+        counts.append(pitman_yor.pack(np.frombuffer(payload, dtype=np.uint8), *[np.zeros(0)] * 3))
+    got = [pitman_yor.unpack(x) for x in pitman_yor._word_adder(2, buckets, counts, passed)]
+    told = [[pitman_yor._whole(x).tolist() for x in pitman_yor._spread_out(g[0].tobytes())] for g in got]
+    assert told == [[[11, 10, 13], [1, 5, 7]], [[12, 10], [0, 5]]]
+    assert [g[k].tolist() for g in got for k in (1, 2)] == [[1, 5, 7], [1, 1, 1], [], []]
+    assert [len(x) for x in pitman_yor.unpack(pitman_yor._word_adder(2, buckets, counts[:1], [])[0])[1:]] == [0, 0]
+
+
+def test_distinct_numbers():
+    r = np.random.default_rng(2)
+    for x in (
+        np.zeros(0, dtype=np.int64),
+        np.array([7]),
+        r.integers(0, 50, 3000),
+        r.integers(0, 2**62, 3000),
+        r.integers(0, 2**64, 500, dtype=np.uint64)[r.integers(0, 500, 3000)],
+        # the same highest bits, so that places cannot be told by them
+        np.uint64(2**63) + r.integers(0, 9, 3000).astype(np.uint64),
+        np.array([2**64 - 1, 0, 2**64 - 2, 2**64 - 1], dtype=np.uint64),
+    ):
+        got, want = pitman_yor._distinct(x), np.unique(x, return_index=True, return_inverse=True)
+        assert got[0].dtype == x.dtype and all(np.array_equal(a, b) for a, b in zip(got, want, strict=True))
+    x = r.integers(0, 40, 3000)
+    assert np.array_equal(pitman_yor._order(x, 6), np.argsort(x, kind="stable"))
+    assert np.array_equal(pitman_yor._whole(pitman_yor._planes(np.array([0, 255, 256, 2**39]))), [0, 255, 256, 2**39])
+
+
+@pytest.mark.parametrize("alike", [True, False])
+def test_dishes_drawn_together_are_drawn_alone(alike):
+    r = np.random.default_rng(3)
+    c = np.concatenate([r.integers(1, 60, 400), r.integers(60, 2048, 60), r.integers(2049, 90_000, 12), [2048, 2049, 0]])
+    n = len(c)
+    log_a, log_h, u = np.log(r.uniform(1, 500, n)), np.log(r.uniform(1e-5, 0.5, n)), r.random(n)
+    alpha, beta = (None, None) if alike else (r.uniform(0.5, 90, n), r.uniform(90, 900, n))
+    one = lambda x, i: None if x is None else x[i : i + 1]
+    alone = [int(pitman_yor.drawn(*(one(x, i) for x in (c, log_a, log_h, alpha, beta, u)), 0.75)[0]) for i in range(n)]
+    assert pitman_yor.drawn(c, log_a, log_h, alpha, beta, u, 0.75).tolist() == alone
+
+
 # op4
 def test_url_filter(spark):
     r = random.Random(5)
