@@ -565,32 +565,36 @@ def _seater(strength: float, discount: float, burn: int, samples: int, buckets:
     def answer(payloads: list[bytes]) -> tuple[list[bytes], list[tuple[int, bytes]]]:
         parts = [_spread_out(p) for p in payloads]
         parts = [[_whole(p[0], _ID), p[1].astype(np.int64), _whole(p[2]), _whole(p[3], _ID), p[4], _whole(p[5]), _whole(p[6], _ID), _whole(p[7])] for p in parts]
-        join = lambda i: np.concatenate([p[i] for p in parts])
-        families, _, here = _distinct(join(0) * (PARTS + 1) + join(1))
-        of, each, first, count = np.repeat(here, join(2)), join(5), join(6), join(7)
+        sizes = [(len(p[0]), len(p[3]), len(p[6])) for p in parts]
+        second, part, long, right, level, each, first, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts  # here and below: what is not needed in the sweeps is not held there
+        families, _, here = _distinct(second * (PARTS + 1) + part)
+        of = np.repeat(here, long)
         # words and first context words get numbers of this task, so that a pair of numbers fits into one
-        words, _, w = _distinct(join(3))
+        words, _, w = _distinct(right)
         numbers, _, first = _distinct(first)
         dishes, heads, dish = _distinct(of * len(words) + w)
         family = of[heads]
         right = dishes - family * len(words)
         word = words[right]
-        share = np.exp(-_STEP * join(4)[heads].astype(float))
+        share = np.exp(-_STEP * level[heads].astype(float))
         kinds, _, triple = _distinct(np.repeat(dish, each) * len(numbers) + first)
         c2 = np.bincount(triple, weights=count, minlength=len(kinds)).astype(np.int64)
+        del second, part, long, level, each, first, count, of, w, heads
         at = kinds // len(numbers)
         contexts, _, pair = _distinct(family[at] * len(numbers) + (kinds - at * len(numbers)))
         key1, key_word, key_first = mix(families.astype(np.uint64)), mix(word.astype(np.uint64)), mix(numbers.astype(np.uint64) + _GOLD)
         key_dish, key_pair = mix(key1[family] + key_word), mix(key1[contexts // len(numbers)] + key_first[contexts % len(numbers)])
+        del kinds, dishes, word, key_word, key_first
         run = Families(c2, at, pair, family, share, (key_pair, mix(key_pair[pair] + key_dish[at]), key1, key_dish), strength, discount)
         got = run.sampled(burn, samples)
         held2, guests2 = got["held2"][pair], run.guests2.astype(np.int64)[pair]
         table2, code2 = _coded((c2 == 1) & (guests2 == 1), c2, got["t2"], guests2, held2)
         table1, code1 = _coded((got["c1"] == samples) & (got["t1"] == samples), got["c1"], got["t1"])
         out, a, b, f = [], 0, 0, 0
-        for p in parts:
-            mine, those, mine_families = slice(a, a + len(p[3])), slice(b, b + len(p[6])), here[f : f + len(p[0])]
-            a, b, f = mine.stop, those.stop, f + len(p[0])
+        for of_families, of_dishes, of_triples in sizes:
+            mine, those, mine_families = slice(a, a + of_dishes), slice(b, b + of_triples), here[f : f + of_families]
+            a, b, f = mine.stop, those.stop, f + of_families
             out.append(_squeezed(*_answer_codes(table2, code2[triple[those]]), *_answer_codes(table1, code1[dish[mine]]), _planes(got["guests1"][mine_families]), _planes(got["held1"][mine_families])))
         tables = np.bincount(right, weights=run.t1, minlength=len(words)).astype(np.int64)
         words, tables = words[tables > 0], tables[tables > 0]
